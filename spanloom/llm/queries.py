@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
+from .language import identify
+from .lm_scoring import score_documents
 from .packing import pack_documents
+from .quality import quality
+from .suffix_dedup import suffix_dedup
 from .topk_search import topk_search
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_documents(_table(spark, sf_dir, "documents"), good)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +36,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -35,12 +58,32 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=400, later=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op6_topk_search, op7_best_fit_packing, op9_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_byte_bpe,
+        op3_ngram_jaccard_join,
+        op4_language_id,
+        op5_quality_classifier,
+        op6_topk_search,
+        op7_best_fit_packing,
+        op8_toxicity,
+        op9_exact_dedup,
+        op10_suffix_array_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
