@@ -8,15 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembering, is_held_out, text_or_empty
+from .common import Remembering, is_held_out
 from .features import word_blocks
 
 WIDTH = 1 << 15
 UNKNOWN = "und"
-OUT = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
+PREDICTION = "lang_pred string, score double, languages array<string>, shares array<double>"
+ARROW_PREDICTION = pa.struct(
+    [("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]
+)
 #: Rows of word likelihoods that one round of the EM holds; longer texts are counted by word first.
 ROWS = 400_000
 
@@ -117,34 +120,14 @@ class Mixture:
         return chosen
 
 
-def identify(
-    docs: DataFrame,
-    per_language: int = 1000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    train_on: DataFrame | None = None,
-) -> DataFrame:
-    """The language of every whole text: ``doc_id, held_out, lang_pred, score, languages, shares``.
-
-    Character n-grams of 1 to 4 give each word a likelihood under each language; EM finds the
-    proportions of languages that explain a text's words best, and a penalised likelihood
-    picks the set of languages. ``lang_pred`` is the one with the largest proportion (ties:
-    first in alphabetical order) and ``score`` that proportion; ``languages`` and ``shares``
-    hold the whole set, largest first.
+def language_column(model, text: Column) -> Column:
+    """The inference as a column: struct of ``lang_pred, score, languages, shares``.
 
-    The models learn from at most ``per_language`` documents of each language, those with the
-    smallest hash of the id, with a text and a language and outside the held-out fold, of
-    ``train_on`` or else of ``docs``. A text that is null or has no letter is ``und`` with
-    score 0 and no languages, as is every text when nothing can be learnt. Repeated rows
-    repeat their result; other columns are ignored; a very long text is counted in blocks.
+    ``model`` is a broadcast of languages and the table of n-gram log likelihoods.
     """
-    langs, counts = language_counts(docs if train_on is None else train_on, per_language, id_col, text_col, lang_col)
-    smooth = 0.5
-    table = np.log((counts + smooth) / (counts + smooth).sum(1, keepdims=True)).T.astype(np.float32)
-    model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(PREDICTION)
+    def infer(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, table = model.value
         mixture = Mixture(len(names)) if names else None
         width = 4 * len(names)
@@ -153,14 +136,14 @@ def identify(
             grams = word_grams(word)
             if not grams:
                 return b""
-            # Overlapping n-grams tell a letter several times over; the mean per size undoes that.
+            # Overlapping n-grams tell a letter several times over; a quarter of the sum undoes that.
             s = table[grams].sum(0) / 4
             return np.exp(s - s.max()).astype(np.float32).tobytes()
 
         get = Remembering(likelihoods, 200_000).__getitem__
 
-        def rows(text: str) -> tuple[bytes, np.ndarray | None]:
-            if not names:
+        def rows(text: str | None) -> tuple[bytes, np.ndarray | None]:
+            if not names or not text:
                 return b"", None
             blocks = word_blocks(text)
             if len(text) <= 1_000_000:
@@ -172,47 +155,84 @@ def identify(
             own = [x for x in own if x[0]]
             return b"".join(x[0] for x in own), np.array([x[1] for x in own], np.float32)
 
-        def solve(waiting: list) -> tuple[list, list, list, list]:
-            pred, score, sets, parts = ([UNKNOWN] * len(waiting), [0.0] * len(waiting), [[] for _ in waiting], [[] for _ in waiting])
+        def solve(waiting: list) -> list[dict]:
+            out = [{"lang_pred": UNKNOWN, "score": 0.0, "languages": [], "shares": []} for _ in waiting]
             real = [i for i, (flat, _) in enumerate(waiting) if flat]
             if real:
                 p = np.frombuffer(b"".join(waiting[i][0] for i in real), np.float32).reshape(-1, len(names))
                 lengths = np.array([len(waiting[i][0]) // width for i in real])
-                n = np.concatenate([np.ones(k, np.float32) if waiting[i][1] is None else waiting[i][1] for i, k in zip(real, lengths, strict=True)])
-                share = mixture.infer(p, n, lengths)
+                n = [np.ones(k, np.float32) if waiting[i][1] is None else waiting[i][1] for i, k in zip(real, lengths, strict=True)]
+                share = mixture.infer(p, np.concatenate(n), lengths)
                 order = np.argsort(-share, axis=1, kind="stable")
                 for i, s, o in zip(real, share.tolist(), order.tolist(), strict=True):
                     own = [k for k in o if s[k] > 0]
-                    pred[i], score[i] = names[own[0]], min(1.0, s[own[0]])
-                    sets[i], parts[i] = [names[k] for k in own], [s[k] for k in own]
-            return pred, score, sets, parts
+                    parts = [min(1.0, s[k]) for k in own]
+                    out[i] = {"lang_pred": names[own[0]], "score": parts[0], "languages": [names[k] for k in own], "shares": parts}
+            return out
 
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+        for array in arrays:
+            out: list[dict] = []
             waiting, size = [], 0
-            for text in batch.column(2):
+            for text in array:
                 own = rows(text.as_py())
                 waiting.append(own)
                 size += len(own[0])
                 if size >= ROWS * max(width, 1):
-                    for a, b in zip(out, solve(waiting), strict=True):
-                        a.extend(b)
+                    out += solve(waiting)
                     waiting, size = [], 0
-            for a, b in zip(out, solve(waiting), strict=True):
-                a.extend(b)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(out[0], pa.string()),
-                    pa.array(out[1], pa.float64()),
-                    pa.array(out[2], pa.list_(pa.string())),
-                    pa.array(out[3], pa.list_(pa.float64())),
-                ],
-                names=["doc_id", "held_out", "lang_pred", "score", "languages", "shares"],
-            )
+            out += solve(waiting)
+            yield pa.array(out, ARROW_PREDICTION)
 
-    rows_in = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")
-    )
-    return rows_in.mapInArrow(run, OUT)
+    return infer(text)
+
+
+def fitted(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str):
+    """The broadcast model learnt from ``docs``."""
+    langs, counts = language_counts(docs, per_language, id_col, text_col, lang_col)
+    smooth = 0.5
+    table = np.log((counts + smooth) / (counts + smooth).sum(1, keepdims=True)).T.astype(np.float32)
+    return docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table)))
+
+
+def identify(
+    docs: DataFrame,
+    per_language: int = 1000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    train_on: DataFrame | None = None,
+) -> DataFrame:
+    """The language of every whole text: ``doc_id, held_out, lang_pred, score, languages, shares``.
+
+    Character n-grams of 1 to 4 give each word a likelihood under each language; EM finds the
+    proportions of languages that explain a text's words best, and a penalised likelihood
+    picks the set of languages. ``lang_pred`` is the one with the largest proportion (ties:
+    first in alphabetical order) and ``score`` that proportion; ``languages`` and ``shares``
+    hold the whole set, largest first.
+
+    The models learn from at most ``per_language`` documents of each language, those with the
+    smallest hash of the id, with a text and a language and outside the held-out fold, of
+    ``train_on`` or else of ``docs``. A text that is null or has no letter is ``und`` with
+    score 0 and no languages, as is every text when nothing can be learnt. Repeated rows
+    repeat their result; other columns are ignored; a very long text is counted in blocks.
+    """
+    model = fitted(docs if train_on is None else train_on, per_language, id_col, text_col, lang_col)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(is_held_out(id_col), F.lit(False)).alias("held_out"),
+        language_column(model, F.col(text_col)).alias("_found"),
+    ).select("doc_id", "held_out", "_found.*")
+
+
+def keep_identified(
+    docs: DataFrame,
+    least_share: float = 0.3,
+    per_language: int = 1000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` with a language that makes up at least ``least_share`` of their text; all columns stay."""
+    model = fitted(docs, per_language, id_col, text_col, lang_col)
+    found = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), language_column(model, F.col(text_col)).alias("_found"))
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least_share)).select("_row.*")

@@ -343,64 +343,87 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 _NO_ID = -(1 << 63)
 
 
+def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
+    """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
+    scratch = Scratch(docs.sparkSession, "suffix_dedup")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
+    rows = docs.select(doc, text_or_empty(text_col).cast("binary").alias("text"))
+    found = repeated_ranges(rows, min_bytes, later, scratch)
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
+    whole = docs.select(doc, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
+
+
+def _spans(text: bytes, ranges: pa.Scalar) -> list[tuple[int, int]]:
+    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or []], len(text))
+
+
+DIGEST_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _digest(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, ranges in columns:
+        out = []
+        for text, own in zip(texts, ranges, strict=True):
+            body = text.as_py() or b""
+            spans = _spans(body, own)
+            kept = hashlib.sha256(cut(body, spans)).hexdigest()
+            out.append({"n_bytes": len(body), "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "kept_sha256": kept})
+        yield pa.array(out, DIGEST)
+
+
+def _remaining(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, ranges in columns:
+        out = []
+        for text, own in zip(texts, ranges, strict=True):
+            body = text.as_py()
+            out.append(None if body is None else cut(body, whole_characters(body, _spans(body, own))).decode())
+        yield pa.array(out, pa.string())
+
+
 def suffix_dedup(
+    docs: DataFrame, min_bytes: int = 400, later: bool = True, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """What removing every byte covered by a repeated string of ``min_bytes`` bytes leaves of each text.
+
+    With ``later`` only copies with an earlier occurrence go (in order of id, then position),
+    so the first one stays; without it all occurrences go. A string may repeat within one
+    text, occurrences may overlap, and all are judged on the input. Strings never span texts.
+
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, where spans are maximal
+    removed runs; ``without_repeats`` returns the remaining texts. Null texts count as empty.
+    Rows that repeat an id, null included, count as occurrences each, and the ranges found
+    for an id apply to all its rows; so ids should be unique, or repeat with the same text.
+    An empty table gives an empty result; other columns are ignored.
+    """
+    marked = _marked(docs, min_bytes, later, id_col, text_col)
+    found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), F.arrow_udf(_digest, DIGEST_DDL)("_text", "_ranges").alias("_found"))
+    return found.select("doc_id", "_found.*")
+
+
+def without_repeats(
     docs: DataFrame,
     min_bytes: int = 400,
     later: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
-    texts: bool = False,
+    length_col: str | None = None,
 ) -> DataFrame:
-    """Remove every byte covered by a string of ``min_bytes`` bytes that repeats in ``docs``.
+    """``docs`` with the remaining texts, all rows and columns; see ``suffix_dedup``.
 
-    With ``later`` only copies with an earlier occurrence go (in order of id, then position),
-    so the first one stays; without it all occurrences go. A string may repeat within one
-    text, occurrences may overlap, and all are judged on the input. Strings never span texts.
-
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and with ``texts`` the
-    remaining ``text``, whose spans are first shrunk to whole characters; the figures refer
-    to the spans before that. Null texts count as empty (``text`` is then null again). Rows
-    that repeat an id, null included, count as occurrences each, and the ranges found for an
-    id apply to all its rows; so ids should be unique, or repeat with the same text. An empty
-    table gives an empty result; other columns are ignored.
+    Removed spans are shrunk to whole characters. A null text stays null. ``length_col``
+    names a column that then gets the number of characters of the new text.
     """
-    scratch = Scratch(docs.sparkSession, "suffix_dedup")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_or_empty(text_col).cast("binary").alias("text")
+    marked = _marked(docs, min_bytes, later, id_col, text_col).withColumn(
+        "_left", F.arrow_udf(_remaining, "string")("_text", "_ranges")
     )
-    found = repeated_ranges(rows, min_bytes, later, scratch)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    marked = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text")
-    ).join(by_doc, "doc", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                n, removed, count, digest, kept = [], [], [], [], []
-                for text, ranges in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    text = text.as_py()
-                    body = text or b""
-                    spans = union_of([(r["first"], r["last"]) for r in ranges or []], len(body))
-                    n.append(len(body))
-                    removed.append(sum(b - a for a, b in spans))
-                    count.append(len(spans))
-                    digest.append(hashlib.sha256(cut(body, spans)).hexdigest())
-                    if texts:
-                        kept.append(None if text is None else cut(body, whole_characters(body, spans)).decode())
-                columns = [
-                    pa.array([None if i == _NO_ID else i for i in part.column(0).to_pylist()], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(count, pa.int64()),
-                    pa.array(digest, pa.string()),
-                ]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if texts:
-                    columns.append(pa.array(kept, pa.string()))
-                    names.append("text")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "")
-    return marked.select("doc", "text", "ranges").mapInArrow(run, out)
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("_left").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("_left").isNull(), F.col(f"_row.{c}")).otherwise(F.length("_left").cast("long")).alias(c))
+        else:
+            columns.append(F.col(f"_row.{c}"))
+    return marked.select(*columns)

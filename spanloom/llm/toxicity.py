@@ -29,12 +29,15 @@ def word_grams(word: str) -> list[int]:
     return list({zlib.crc32(core[i : i + n].encode()) % WIDTH for n in SIZES for i in range(len(core) - n + 1)})
 
 
-def train(y: np.ndarray, bags: list, rounds: int = 150, smooth: float = 1.0, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(
+    y: np.ndarray, bags: list, rounds: int = 150, smooth: float = 1.0, penalty: float = 1e-3, seen: int = 3
+) -> tuple[np.ndarray, float]:
     """Weights by hashed n-gram, the ratio included, and the bias; classes weigh the same."""
     bag = Bags([dict.fromkeys({w.lower() for w in b}, 1.0) for b in bags], word_grams, WIDTH)
     positive, negative = bag.back((y == 1).astype(float)), bag.back((y == 0).astype(float))
     p, q = (positive + smooth) / (positive + smooth).sum(), (negative + smooth) / (negative + smooth).sum()
-    ratio = np.log(p / q)
+    # N-grams of fewer different words than this, counted over documents, tell documents apart, not classes.
+    ratio = np.where(positive + negative >= seen, np.log(p / q), 0.0)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     beta, bias = np.zeros(WIDTH), 0.0
     adam = Adam(WIDTH + 1, 0.02)
