@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembering, is_held_out
+from .common import is_held_out
 from .features import word_blocks
 
 WIDTH = 1 << 15
+SIZES = 4
+CACHED_WORDS = 400_000
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double, languages array<string>, shares array<double>"
 ARROW_PREDICTION = pa.struct(
     [("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]
 )
-#: Rows of word likelihoods that one round of the EM holds; longer texts are counted by word first.
-ROWS = 400_000
-
-
-def word_grams(word: str) -> list[int]:
-    """Hashed character n-grams of 1 to 4 of a word with edge marks; none without a letter."""
-    if not any(map(str.isalpha, word)):
-        return []
-    core = f"<{word.lower()}>"
-    return [zlib.crc32(core[i : i + n].encode()) % WIDTH for n in (1, 2, 3, 4) for i in range(len(core) - n + 1)]
+#: Characters that one round of the EM holds; a text longer than ``LONG`` is counted by word first.
+TEXT_AT_ONCE, LONG = 2_000_000, 1_000_000
+
+
+class Grams:
+    """Hashed character n-grams of 1 to 4 of many words at once, each lower-cased between edge marks."""
+
+    def __init__(self, words: list[str]):
+        marked = [f"<{w}>" for w in words]
+        text = "".join(marked)
+        lower = text.lower()
+        if len(lower) != len(text):  # some letters grow
+            marked = [w.lower() for w in marked]
+            lower = "".join(marked)
+        self.char = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.length = np.fromiter(map(len, marked), np.int64, len(marked))
+        self.start = np.cumsum(self.length) - self.length
+        kinds, of = np.unique(self.char, return_inverse=True)
+        letter = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)[of] if len(kinds) else np.zeros(0, bool)
+        self.has_letter = np.logical_or.reduceat(letter, self.start) if len(words) else np.zeros(0, bool)
+        self.left = np.repeat(self.start + self.length, self.length) - np.arange(len(self.char))
+
+    def sizes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size the positions that begin an n-gram, and its cell."""
+        h = np.zeros(len(self.char), np.uint64)
+        for n in range(1, SIZES + 1):
+            h[: len(h) - n + 1] = h[: len(h) - n + 1] * np.uint64(0x100000001B3) + self.char[n - 1 :] + np.uint64(n)
+            at = np.flatnonzero(self.left >= n)
+            cell = (h[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (WIDTH.bit_length() - 1))
+            yield at, cell.astype(np.int64)
 
 
 def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
@@ -53,12 +75,14 @@ def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: s
                 for block in word_blocks(text.as_py()):
                     own.update(block)
         for lang, own in words.items():
-            grams: Counter = Counter()
-            for word, n in own.items():
-                for g in word_grams(word):
-                    grams[g] += n
+            grams, n = Grams(list(own)), np.array(list(own.values()))
+            n = np.repeat(np.where(grams.has_letter, n, 0), grams.length)
+            counts = np.zeros(WIDTH, np.int64)
+            for at, cell in grams.sizes():
+                np.add.at(counts, cell, n[at])
+            used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())],
+                [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used])],
                 names=["lang", "gram", "n"],
             )
 
@@ -129,31 +153,42 @@ def language_column(model, text: Column) -> Column:
     @F.arrow_udf(PREDICTION)
     def infer(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, table = model.value
-        mixture = Mixture(len(names)) if names else None
+        mixture = Mixture(max(1, len(names)))
         width = 4 * len(names)
 
-        def likelihoods(word: str) -> bytes:
-            grams = word_grams(word)
-            if not grams:
-                return b""
-            # Overlapping n-grams tell a letter several times over; a quarter of the sum undoes that.
-            s = table[grams].sum(0) / 4
-            return np.exp(s - s.max()).astype(np.float32).tobytes()
-
-        get = Remembering(likelihoods, 200_000).__getitem__
-
-        def rows(text: str | None) -> tuple[bytes, np.ndarray | None]:
-            if not names or not text:
-                return b"", None
-            blocks = word_blocks(text)
-            if len(text) <= 1_000_000:
-                return b"".join(map(get, next(blocks))), None
-            words: Counter = Counter()
-            for block in blocks:
-                words.update(block)
-            own = [(get(w), n) for w, n in words.items()]
-            own = [x for x in own if x[0]]
-            return b"".join(x[0] for x in own), np.array([x[1] for x in own], np.float32)
+        memo: dict[str, bytes] = {}
+
+        def learn(words: set[str]) -> None:
+            """The likelihoods of new words; none for a word without a letter."""
+            missing = list(words.difference(memo))
+            if len(memo) + len(missing) > CACHED_WORDS:
+                memo.clear()
+                missing = list(words)
+            for lo in range(0, len(missing), 20_000):
+                part = missing[lo : lo + 20_000]
+                grams = Grams(part)
+                s = np.zeros((len(grams.char), len(names)), np.float32)
+                for at, cell in grams.sizes():
+                    s[at] += table[cell]
+                # The sizes of n-grams tell a letter several times over; their mean undoes that.
+                s = np.add.reduceat(s, grams.start, axis=0) / SIZES
+                p = np.exp(s - s.max(1, keepdims=True)).astype(np.float32)
+                flat = p.tobytes()
+                memo.update((w, flat[i * width : (i + 1) * width] if ok else b"") for i, (w, ok) in enumerate(zip(part, grams.has_letter.tolist(), strict=True)))
+
+        get = memo.__getitem__
+
+        def rows(texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray | None]]:
+            """The rows of each text, and how often each counts if that is not once."""
+            split = [Counter(chain.from_iterable(word_blocks(t))) if t and len(t) > LONG else (t or "").split() for t in texts]
+            learn(set().union(*split))
+            for own in split:
+                if isinstance(own, Counter):
+                    found = [(get(w), n) for w, n in own.items()]
+                    found = [x for x in found if x[0]]
+                    yield b"".join(x[0] for x in found), np.array([x[1] for x in found], np.float32)
+                else:
+                    yield b"".join(map(get, own)), None
 
         def solve(waiting: list) -> list[dict]:
             out = [{"lang_pred": UNKNOWN, "score": 0.0, "languages": [], "shares": []} for _ in waiting]
@@ -172,15 +207,14 @@ def language_column(model, text: Column) -> Column:
 
         for array in arrays:
             out: list[dict] = []
-            waiting, size = [], 0
+            texts, size = [], 0
             for text in array:
-                own = rows(text.as_py())
-                waiting.append(own)
-                size += len(own[0])
-                if size >= ROWS * max(width, 1):
-                    out += solve(waiting)
-                    waiting, size = [], 0
-            out += solve(waiting)
+                texts.append(text.as_py() if names else None)
+                size += len(texts[-1] or "")
+                if size >= TEXT_AT_ONCE:
+                    out += solve(list(rows(texts)))
+                    texts, size = [], 0
+            out += solve(list(rows(texts)))
             yield pa.array(out, ARROW_PREDICTION)
 
     return infer(text)
