@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ def labelled_words(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_id_col: str = "doc_id",
-) -> tuple[np.ndarray, list[Counter]]:
-    """Labels and word counts of a sample of labelled documents, on the driver.
+) -> DataFrame:
+    """``label, words, counts`` of a sample of labelled documents.
 
     At most ``per_class`` documents of each label value are taken, those with the smallest
     hash of the id, and never one of the held-out fold; that bounds the sample, and its ids
@@ -68,37 +69,65 @@ def labelled_words(
                     names=["label", "words", "counts"],
                 )
 
-    found = (
+    return (
         rows.join(F.broadcast(sample), "_id")
         .select("_text", "_label")
         .mapInArrow(count, "label int, words array<string>, counts array<long>")
-        .toArrow()
     )
-    y = found.column("label").to_numpy()
-    bags = [
-        Counter(dict(zip(w.as_py(), n.as_py(), strict=True)))
-        for w, n in zip(found.column("words"), found.column("counts"), strict=True)
-    ]
-    return y, bags
+
+
+def fit(sample: DataFrame, train: Callable[[Iterator[tuple[int, list[str], list[int]]]], list[np.ndarray]]) -> list[np.ndarray]:
+    """Run ``train`` over the bounded sample in one task of an executor; returns its arrays.
+
+    The model is small, and the sample never reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (label.as_py(), words.as_py(), counts.as_py())
+            for batch in batches
+            for label, words, counts in zip(*batch.columns, strict=True)
+        )
+        made = [np.asarray(x, np.float64) for x in train(rows)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(made)), pa.int32()), pa.array([x.tobytes() for x in made], pa.binary())], names=["k", "data"]
+        )
+
+    found = sample.repartition(1).mapInArrow(run, "k int, data binary").collect()
+    return [np.frombuffer(r["data"], np.float64) for r in sorted(found, key=lambda r: r["k"])]
 
 
 class Bags:
     """Documents as sums of words, words as sums of hashed features: a two-step sparse matrix."""
 
-    def __init__(self, values: list[dict[str, float]], features: Callable[[str], list[int]], width: int):
-        index: dict[str, int] = {}
-        doc, word, value = [], [], []
-        for d, bag in enumerate(values):
-            for w, v in bag.items():
-                doc.append(d)
-                word.append(index.setdefault(w, len(index)))
-                value.append(v)
-        self.docs, self.words, self.width = len(values), len(index), width
-        self.doc, self.word = np.array(doc, np.int32), np.array(word, np.int32)
-        self.value = np.array(value, np.float64)
-        own = [features(w) for w in index]
-        self.of_word = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
-        self.feature = np.fromiter((f for x in own for f in x), np.int32, len(self.of_word))
+    def __init__(self, features: Callable[[str], list[int]], width: int):
+        self.features, self.width = features, width
+        self.docs = 0
+        self._index: dict[str, int] = {}
+        self._doc, self._word, self._value = array("i"), array("i"), array("d")
+        self._of_word, self._feature = array("i"), array("i")
+
+    def add(self, words: Iterable[str], values: Iterable[float]) -> None:
+        """One more document."""
+        for word, value in zip(words, values, strict=True):
+            at = self._index.get(word)
+            if at is None:
+                at = self._index[word] = len(self._index)
+                own = self.features(word)
+                self._feature.extend(own)
+                self._of_word.extend([at] * len(own))
+            self._doc.append(self.docs)
+            self._word.append(at)
+            self._value.append(value)
+        self.docs += 1
+
+    def close(self) -> None:
+        """No more documents come; the words themselves are forgotten."""
+        self.words = len(self._index)
+        self._index.clear()
+        self.doc, self.word = np.frombuffer(self._doc, np.int32), np.frombuffer(self._word, np.int32)
+        self.value = np.frombuffer(self._value, np.float64)
+        self.of_word, self.feature = np.frombuffer(self._of_word, np.int32), np.frombuffer(self._feature, np.int32)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """The matrix times a vector of feature weights."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembering, is_held_out, text_or_empty
-from .features import Adam, Bags, labelled_words, logistic, word_blocks
+from .features import Adam, Bags, fit, labelled_words, logistic, word_blocks
 
 WIDTH = 1 << 17
 OUT = "doc_id long, held_out boolean, n_words long, expected_grade double, tail_probability double, selected boolean"
@@ -25,10 +25,22 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(b"w" + word.lower().encode()) % WIDTH, zlib.crc32(b"s" + shape.encode()) % WIDTH]
 
 
-def train(y: np.ndarray, bags: list, grades: int, rounds: int = 200, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train(
+    rows: Iterable[tuple[int, list[str], list[int]]], grades: int, rounds: int = 200, penalty: float = 1e-5
+) -> list[np.ndarray]:
     """Shared weights and ascending thresholds of P(grade > k) = logistic(f - threshold_k)."""
-    n = [max(1, sum(b.values())) for b in bags]
-    bag = Bags([{w: c / m for w, c in b.items()} for b, m in zip(bags, n, strict=True)], word_features, WIDTH)
+    bag = Bags(word_features, WIDTH)
+    labels = []
+    for label, words, counts in rows:
+        if 0 <= label < grades:
+            n = max(1, sum(counts))
+            bag.add(words, [c / n for c in counts])
+            labels.append(label)
+    bag.close()
+    y = np.array(labels)
+    if len(set(labels)) < 2:
+        share = np.arange(1, grades) / grades
+        return [np.zeros(WIDTH), np.log(share / (1 - share))]
     weights = np.zeros(WIDTH)
     # First threshold, then the logarithms of the gaps above it: thresholds stay in order.
     above = np.array([np.clip((y > k).mean(), 0.01, 0.99) for k in range(grades - 1)])
@@ -54,7 +66,7 @@ def train(y: np.ndarray, bags: list, grades: int, rounds: int = 200, penalty: fl
         step = adam.step(np.concatenate([bag.back(by_f) + penalty * weights, by_free]))
         weights -= step[:WIDTH]
         free -= step[WIDTH:]
-    return weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+    return [weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))]
 
 
 def quality(
@@ -83,14 +95,8 @@ def quality(
     """
     if grade is None:
         grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
-    y, bags = labelled_words(docs, labels, grade, per_grade, id_col, text_col)
-    known = [i for i, g in enumerate(y.tolist()) if 0 <= g < grades]
-    y, bags = y[known], [bags[i] for i in known]
-    if len(set(y.tolist())) >= 2:
-        weights, cuts = train(y, bags, grades)
-    else:
-        share = np.arange(1, grades) / grades
-        weights, cuts = np.zeros(WIDTH), np.log(share / (1 - share))
+    sample = labelled_words(docs, labels, grade, per_grade, id_col, text_col)
+    weights, cuts = fit(sample, lambda rows: train(rows, grades))
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

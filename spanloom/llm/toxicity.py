@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembering, is_held_out, text_or_empty
-from .features import Adam, Bags, labelled_words, logistic, word_blocks
+from .features import Adam, Bags, fit, labelled_words, logistic, word_blocks
 
 WIDTH = 1 << 18
 SIZES = (3, 4, 5)
@@ -30,10 +30,23 @@ def word_grams(word: str) -> list[int]:
 
 
 def train(
-    y: np.ndarray, bags: list, rounds: int = 150, smooth: float = 1.0, penalty: float = 1e-3, seen: int = 3
-) -> tuple[np.ndarray, float]:
+    rows: Iterable[tuple[int, list[str], list[int]]],
+    rounds: int = 150,
+    smooth: float = 1.0,
+    penalty: float = 1e-3,
+    seen: int = 3,
+) -> list[np.ndarray]:
     """Weights by hashed n-gram, the ratio included, and the bias; classes weigh the same."""
-    bag = Bags([dict.fromkeys({w.lower() for w in b}, 1.0) for b in bags], word_grams, WIDTH)
+    bag = Bags(word_grams, WIDTH)
+    labels = []
+    for label, words, _ in rows:
+        own = {w.lower() for w in words}
+        bag.add(own, repeat(1.0, len(own)))
+        labels.append(label)
+    bag.close()
+    y = np.array(labels)
+    if not {0, 1} <= set(labels):
+        return [np.zeros(WIDTH), np.zeros(1)]
     positive, negative = bag.back((y == 1).astype(float)), bag.back((y == 0).astype(float))
     p, q = (positive + smooth) / (positive + smooth).sum(), (negative + smooth) / (negative + smooth).sum()
     # N-grams of fewer different words than this, counted over documents, tell documents apart, not classes.
@@ -46,7 +59,7 @@ def train(
         step = adam.step(np.append(ratio * bag.back(error) + penalty * beta, error.sum()))
         beta -= step[:-1]
         bias -= step[-1]
-    return ratio * beta, bias
+    return [ratio * beta, np.array([bias])]
 
 
 def toxicity(
@@ -70,11 +83,7 @@ def toxicity(
     other columns are ignored; a very long text is read in blocks.
     """
     label = F.col("toxic") if label is None else label
-    y, bags = labelled_words(docs, labels, label, per_class, id_col, text_col)
-    if len(set(y.tolist()) & {0, 1}) == 2:
-        weights, bias = train(y, bags)
-    else:
-        weights, bias = np.zeros(WIDTH), 0.0
+    weights, (bias,) = fit(labelled_words(docs, labels, label, per_class, id_col, text_col), train)
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), float(bias)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
