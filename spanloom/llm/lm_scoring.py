@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Scratch, text_or_empty
 from .features import word_blocks
 
 VOCABULARY = 1 << 15
@@ -43,6 +43,26 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The words above a count that at most ``most`` words exceed, most frequent first.
+
+    The bound is found on a histogram of logarithmic steps, so only the words themselves
+    reach the driver, and words with equal counts are all in or all out.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = None, 0
+    for row in sorted(histogram, key=lambda r: -r["step"]):
+        total += row["words"]
+        if total > most:
+            break
+        least = row["step"]
+    if least is None:
+        return []
+    found = counts.where(step >= least).collect()
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
+
+
 class _Ids(dict):
     """Word ids from 1 on; any word outside the vocabulary is 0."""
 
@@ -131,11 +151,10 @@ def score_documents(
     Returns ``doc_id, n_tokens, target_loss, background_loss, score``: losses are means per
     token in nats and ``score`` is target minus background, so lower is closer to the target.
     The background model counts all documents and the target model those whose id is in
-    ``target_ids`` (one column named ``id_col``). Both use one vocabulary, the 32,768 most
-    frequent lower-cased words of all documents (ties in alphabetical order) and one id for
-    all other words; bigrams count in a hashed table of fixed size, which bounds what is
-    broadcast. Counts come from the whole input, summed in each task before they are
-    shuffled.
+    ``target_ids`` (one column named ``id_col``). Both use one vocabulary, at most the 32,768
+    most frequent lower-cased words of all documents and one id for all other words; bigrams
+    count in a hashed table of fixed size, which bounds what is broadcast. Counts come from
+    the whole input, summed in each task before they are shuffled.
 
     Texts without words, null ones included, have 0 tokens and score 0. Repeated rows are
     counted and scored each; ids that repeat in ``target_ids`` or are null count once or not
@@ -144,9 +163,11 @@ def score_documents(
     spark = docs.sparkSession
     targets = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
-    top = word_counts(rows).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    vocabulary = spark.sparkContext.broadcast(_Ids({r["word"]: i + 1 for i, r in enumerate(top)}))
-    marked = rows.join(targets, "_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    scratch = Scratch(spark, "lm_scoring")
+    words = frequent_words(scratch.save(word_counts(rows)))
+    vocabulary = spark.sparkContext.broadcast(_Ids({word: i + 1 for i, word in enumerate(words)}))
+    # Both sides are shuffled at any size: target ids grow with the corpus.
+    marked = rows.join(targets.hint("merge"), "_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     found = ngram_counts(marked, vocabulary).toArrow()
     counts = np.zeros((2, 2 * (VOCABULARY + 2) + CELLS), np.int64)
     slot = found.column("slot").to_numpy()
