@@ -104,10 +104,11 @@ def _products(queries, k: int, tile: int):
 def _select_exactly(q: np.ndarray, part: np.ndarray, own: np.ndarray, pid: np.ndarray, k: int):
     """As the float path, for products too large for it: Python's integers, then a check of the range."""
     s = q.astype(object) @ part.T.astype(object)
+    real = own[:, None] != pid[None, :]
+    s[~real] = 0
     if s.size and (max(s.max(), -s.min())) >= 1 << 63:
         raise OverflowError("an inner product does not fit a long")
     s = s.astype(np.int64)
-    real = own[:, None] != pid[None, :]
     ids = np.broadcast_to(pid, s.shape)
     order = np.lexsort((ids, -s, ~real), axis=1)[:, :k]
     return tuple(np.take_along_axis(x, order, 1) for x in (s, ids, real))
