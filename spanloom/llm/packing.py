@@ -194,76 +194,72 @@ class _Search:
             both &= ~(1 << a)
         return None
 
-    def take(self, b: int, give: list[int], sizes: list[int]) -> None:
-        """Give items of bin b for donors' items of these lengths; items given stay with the last donor."""
-        donor = -1
+    def donors(self, sizes: list[int]) -> list[tuple[int, int]]:
+        """An item and its bin for each of one or two donor lengths, two different items for two."""
+        found = []
         for size in sizes:
-            item, donor = next(iter(self.where[size].items()))
+            found.append(next((i, d) for i, d in self.where[size].items() if not found or i != found[0][0]))
+        return found
+
+    def apply(self, b: int, give: list[int], sizes: list[int]) -> bool:
+        """Trade items of bin b for donors' items of these lengths, if every bin has room for its
+        new items and the sum of squared fills grows. The last donor gets what is given."""
+        taken = self.donors(sizes)
+        given = sum(self.lengths[i] for i in give)
+        change = {b: sum(sizes) - given}
+        for (_, d), size in zip(taken, sizes, strict=True):
+            change[d] = change.get(d, 0) - size
+        change[taken[-1][1]] += given
+        if any(self.fill[k] + x > self.capacity for k, x in change.items()):
+            return False
+        if sum(x * (2 * self.fill[k] + x) for k, x in change.items()) <= 0:
+            return False
+        for item, d in taken:
             self.withdraw(item)
-            self.bins[donor].remove(item)
-            self.fill[donor] -= size
+            self.bins[d].remove(item)
             self.bins[b].append(item)
-            self.fill[b] += size
         for item in give:
             self.bins[b].remove(item)
-            self.fill[b] -= self.lengths[item]
-            self.bins[donor].append(item)
-            self.fill[donor] += self.lengths[item]
-            self.offer(item, donor)
+            self.bins[taken[-1][1]].append(item)
+            self.offer(item, taken[-1][1])
+        for k, x in change.items():
+            self.fill[k] += x
+        return True
 
     def improve(self, b: int) -> bool:
-        """The change that raises bin b's fill most: a move, one for one, two for one or one for two."""
+        """Try the changes of bin b in the order of what they add to it: a move, one for one,
+        two for one, one for two. The first that helps is made."""
         gap = self.capacity - self.fill[b]
         lengths, own = self.lengths, self.bins[b]
-        best, change = 0, None
-
-        def better(gain: int, give: list[int], sizes: list[int]) -> bool:
-            nonlocal best, change
-            if gain > best:
-                best, change = gain, (give, sizes)
-            return best == gap
-
-        if better(self.largest(gap), [], [self.largest(gap)]):
-            return self.apply(b, change)
-        seen = set()
-        for item in own:
+        options: list[tuple[int, list[int], list[int]]] = []
+
+        def offer(gain: int, give: list[int], sizes: list[int]) -> bool:
+            if gain > 0:
+                options.append((gain, give, sizes))
+            return gain == gap and self.apply(b, give, sizes)
+
+        y = self.largest(gap)
+        if offer(y, [], [y]):
+            return True
+        distinct = list({lengths[i]: i for i in own}.values())
+        for item in distinct:
             x = lengths[item]
-            if x in seen:
-                continue
-            seen.add(x)
             y = self.largest(x + gap)
-            if better(y - x, [item], [y]):
-                return self.apply(b, change)
-            if (two := self.pair(x + gap)) and better(gap, [item], list(two)):
-                return self.apply(b, change)
+            if offer(y - x, [item], [y]):
+                return True
+        for item in distinct:
+            if (two := self.pair(lengths[item] + gap)) and offer(gap, [item], list(two)):
+                return True
         few = own[:24]
         for i, first in enumerate(few):
             for second in few[i + 1 :]:
                 x = lengths[first] + lengths[second]
                 y = self.largest(x + gap)
-                if better(y - x, [first, second], [y]):
-                    return self.apply(b, change)
-        if (two := self.pair(gap)) and better(gap, [], list(two)):
-            return self.apply(b, change)
-        return self.apply(b, change) if change else False
-
-    def apply(self, b: int, change: tuple[list[int], list[int]]) -> bool:
-        give, sizes = change
-        before = self.fill[b]
-        donors = [next(iter(self.where[s].values())) for s in sizes]
-        if len(sizes) == 1:
-            d = donors[0]
-            after_d = self.fill[d] - sizes[0] + sum(self.lengths[i] for i in give)
-            gain = sizes[0] - sum(self.lengths[i] for i in give)
-            if after_d > self.capacity or (before + gain) ** 2 + after_d**2 <= before**2 + self.fill[d] ** 2:
-                return False
-        elif give:
-            # The donor of the second item gets what is given; it must have room for it.
-            d = donors[1] if sizes[0] != sizes[1] else list(self.where[sizes[0]].values())[1]
-            if self.fill[d] - sizes[1] + sum(self.lengths[i] for i in give) > self.capacity:
-                return False
-        self.take(b, give, sizes)
-        return True
+                if offer(y - x, [first, second], [y]):
+                    return True
+        if (two := self.pair(gap)) and offer(gap, [], list(two)):
+            return True
+        return any(self.apply(b, give, sizes) for _, give, sizes in sorted(options, key=lambda o: -o[0]))
 
 
 def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, passes: int = 3) -> list[list[int]]:
