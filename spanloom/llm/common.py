@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,17 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Lower the session's rows per Arrow batch to ``most``: rows that hold whole texts are large,
+    and both the executor and its Python workers hold a batch several times over."""
+    now = int(spark.conf.get(_BATCH_ROWS, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(_BATCH_ROWS, str(most))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -86,3 +99,19 @@ class Remembering(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` whose worker gives freed memory back when a task ends.
+
+    Workers outlive tasks and stages; without this each keeps the most it ever used.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, bounded_batches, frugal, text_or_empty
 
 CHUNK = 500_000
 _POSITION_BITS = 21
@@ -167,7 +167,7 @@ def anchors(rows: DataFrame, size: int) -> DataFrame:
                     names=["anchor", "run", "doc", "start", "windows", "off"],
                 )
 
-    return rows.mapInArrow(run, ANCHORS)
+    return rows.mapInArrow(frugal(run), ANCHORS)
 
 
 def window_prints(rows: DataFrame, size: int) -> DataFrame:
@@ -205,7 +205,7 @@ def window_prints(rows: DataFrame, size: int) -> DataFrame:
             if out:
                 yield _as_batch(out)
 
-    return rows.mapInArrow(run, WINDOWS)
+    return rows.mapInArrow(frugal(run), WINDOWS)
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -274,7 +274,8 @@ def _matched(size: int, later: bool):
 def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, spread_from: int = 1000) -> DataFrame:
     """``doc, first, last``: byte ranges of ``rows`` (doc, text as binary) made of repeated windows."""
     every = scratch.save(anchors(rows, size))
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
+    often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = scratch.save(every.join(often, "anchor"))
     scratch.drop(every)
     place = F.struct("doc", "start", "windows", "off")
@@ -288,7 +289,7 @@ def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, s
     if later:
         settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
     settled = settled.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + size).alias("last"))
-    open_anchors = (
+    open_anchors = scratch.save(
         contents.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least"))
         .where("runs > 1" if later else "least = 1")
@@ -300,7 +301,7 @@ def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, s
         .agg(F.collect_list(F.struct("anchor", "start", "windows", "off", "spread")).alias("runs"))
     )
     prints = window_prints(rows.join(chosen, "doc").select("doc", "text", "runs"), size)
-    matched = prints.repartition("key").sortWithinPartitions("key").mapInArrow(_matched(size, later), RANGES)
+    matched = prints.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_matched(size, later)), RANGES)
     return scratch.save(settled.unionByName(matched))
 
 
@@ -345,6 +346,7 @@ _NO_ID = -(1 << 63)
 
 def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
     rows = docs.select(doc, text_or_empty(text_col).cast("binary").alias("text"))
