@@ -87,6 +87,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM split
+        ), tokens AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+        ), shared AS (
+            SELECT a.doc_id AS i, b.doc_id AS j, a.n AS n, b.n AS m, count(*) AS c
+            FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT i, j FROM shared WHERE 100 * c >= 90 * (n + m - c)
+        ), both_ways AS (
+            SELECT i, j FROM links UNION ALL SELECT j, i FROM links
+        ), reach(i, j) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON r.j = b.i
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.j) AS component_id
+        FROM sets s JOIN reach r ON s.doc_id = r.i GROUP BY ALL
+    """,
+    "op10_suffix_array_dedup": """
+        WITH bytes AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+        ), starts AS (
+            SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM bytes WHERE octet_length(b) >= 400
+        ), windows AS (
+            SELECT doc_id, i, md5(hex(b[i:i + 399])) AS h FROM starts
+        ), again AS (
+            SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+        ), opened AS (
+            SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS o FROM again
+        ), islands AS (
+            SELECT doc_id, i, sum(o) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM opened
+        ), spans AS (
+            SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM islands GROUP BY doc_id, k
+        ), cuts AS (
+            SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM spans GROUP BY doc_id
+        ), kept AS (
+            SELECT b.doc_id, coalesce(lag(s.z) OVER (PARTITION BY b.doc_id ORDER BY s.a), 1) AS f, s.a - 1 AS t, b.b
+            FROM bytes b JOIN spans s ON b.doc_id = s.doc_id
+            UNION ALL
+            SELECT b.doc_id, coalesce(max(s.z), 1), octet_length(any_value(b.b)), any_value(b.b) FROM bytes b LEFT JOIN spans s ON b.doc_id = s.doc_id GROUP BY b.doc_id
+        ), text AS (
+            SELECT doc_id, string_agg(CASE WHEN t >= f THEN hex(b[f:t]) ELSE '' END, '' ORDER BY f) AS x FROM kept GROUP BY doc_id
+        )
+        SELECT b.doc_id, octet_length(b.b) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+               sha256(unhex(t.x)) AS kept_sha256
+        FROM bytes b JOIN text t ON b.doc_id = t.doc_id LEFT JOIN cuts c ON b.doc_id = c.doc_id
+    """,
     "op6_topk_search": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
