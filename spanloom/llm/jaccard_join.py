@@ -16,16 +16,17 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, Scratch, text_or_empty
+from .common import Remembering, Scratch, bounded_batches, frugal, text_or_empty
 from .components import connected_components
 
-CELLS = 1 << 20
+CELLS = 1 << 22
 BLOCK = 1 << 14
 ORDERS = 3
 #: Pairs of min-hash values that form the keys of the first, star-shaped round.
@@ -49,22 +50,64 @@ class Shingler:
         import xxhash
 
         self.words = words
-        self.get = Remembering(xxhash.xxh64_digest, 300_000).__getitem__
-
-    def all(self, text: bytes) -> np.ndarray:
-        """The hashes of all shingles in order; a text of fewer words is one shingle."""
-        own = np.frombuffer(b"".join(map(self.get, text.lower().split())), np.uint64)
-        if not len(own):
-            return own
-        size = min(self.words, len(own))
-        n = len(own) - size + 1
+        self.get = Remembering(xxhash.xxh64_digest, 150_000).__getitem__
+
+    def all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the texts' shingles, one text after the other, and their number per text.
+
+        A text of fewer words than a shingle has is one shingle.
+        """
+        size = self.words
+        split = [text.lower().split() for text in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        own = np.frombuffer(b"".join(map(self.get, chain.from_iterable(split))), np.uint64)
+        n = max(0, len(own) - size + 1)
         out = own[:n] + np.uint64(size)
         for j in range(1, size):
             out = mix(out * _ODD + own[j : n + j])
+        ends = np.cumsum(count)
+        inside = np.repeat(ends, count)[:n] - np.arange(n) >= size
+        short = np.flatnonzero((count > 0) & (count < size))
+        number = np.where(count < size, (count > 0).astype(np.int64), count - size + 1)
+        if not len(short):
+            return out[inside], number
+        whole = []
+        for i in short.tolist():
+            words = own[ends[i] - count[i] : ends[i]]
+            x = words[:1] + np.uint64(len(words))
+            for j in range(1, len(words)):
+                x = mix(x * _ODD + words[j : j + 1])
+            whole.append(x[0])
+        at = np.cumsum(number) - number
+        out = np.insert(out[inside], at[short] - np.arange(len(short)), np.array(whole, np.uint64))
+        return out, number
+
+    def distinct(self, texts: list[bytes]) -> list[np.ndarray]:
+        tokens, number = self.all(texts)
+        ends = np.cumsum(number).tolist()
+        out = []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            own = np.sort(tokens[a:b])
+            if len(own) > 1:
+                new = np.empty(len(own), bool)
+                new[0] = True
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                own = own[new]
+            out.append(own)
         return out
 
-    def distinct(self, text: bytes) -> np.ndarray:
-        return np.unique(self.all(text))
+
+def _texts(batch: pa.RecordBatch, column: int, most: int = 1_500_000) -> Iterator[tuple[int, list[bytes]]]:
+    """The first row and the texts of consecutive parts of a batch, about ``most`` bytes each."""
+    first, own, size = 0, [], 0
+    for i, text in enumerate(batch.column(column)):
+        own.append(text.as_py())
+        size += len(own[-1])
+        if size >= most:
+            yield first, own
+            first, own, size = i + 1, [], 0
+    if own:
+        yield first, own
 
 
 def token_counts(rows: DataFrame, words: int) -> np.ndarray:
@@ -78,9 +121,8 @@ def token_counts(rows: DataFrame, words: int) -> np.ndarray:
         shingler, table = Shingler(words), np.zeros(CELLS, np.uint32)
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         for batch in batches:
-            for text in batch.column(0):
-                cells = shingler.all(text.as_py()) >> shift
-                np.add.at(table, cells.astype(np.int64), 1)
+            for _, texts in _texts(batch, 0):
+                np.add.at(table, (shingler.all(texts)[0] >> shift).astype(np.int64), 1)
         blocks = [(b, table[b * BLOCK : (b + 1) * BLOCK]) for b in range(CELLS // BLOCK)]
         blocks = [(b, zlib.compress(x.tobytes(), 1)) for b, x in blocks if x.any()]
         yield pa.RecordBatch.from_arrays(
@@ -98,64 +140,71 @@ def token_counts(rows: DataFrame, words: int) -> np.ndarray:
         )
 
     schema = "block int, data binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    found = rows.select("text").mapInArrow(frugal(count), schema).repartition("block").mapInArrow(frugal(add), schema).toArrow()
     out = np.zeros(CELLS, np.int64)
     for block, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist(), strict=True):
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.int64)
     return out
 
 
-def least_overlap(n: int, num: int, den: int) -> int:
-    """The fewest tokens that a set of n shares with any set of similarity num / den."""
-    return -(-num * n // den)
+#: Odd multipliers: each permutes the hashes of tokens, and so gives an order of its own.
+_MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, 1 << 63, ORDERS + 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def rarity_levels(counts: np.ndarray) -> np.ndarray:
+    """The cells' counts in steps of an eighth of an octave, from half the mean count on: 0 to 63.
+
+    A token's cell holds about the mean count of other tokens besides its own; fine steps let
+    the tokens of even a small group of copies stand behind those that occur once.
+    """
+    relative = np.log2((counts + 1.0) / (counts.mean() + 1.0))
+    return np.clip(8 * relative + 8, 0, 63).astype(np.uint8)
 
 
-def _ordered(tokens: np.ndarray, level: np.ndarray, salt: int) -> np.ndarray:
+def _ordered(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of the tokens under one order: rare first, then by hash. Equal keys, equal tokens."""
-    return level << np.uint64(58) | mix(tokens ^ np.uint64((salt + 1) * int(_ODD) % (1 << 64))) >> np.uint64(6)
+    return level << np.uint64(57) | (tokens * _MULTIPLIERS[order]) >> np.uint64(7)
 
 
 def signatures(rows: DataFrame, words: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
     """Size, signature, star keys and the prefixes under each order of every non-empty set."""
-    level = np.minimum(np.log2(counts + 1.0), 31).astype(np.uint8)
+    level = rarity_levels(counts)
     model = rows.sparkSession.sparkContext.broadcast(level)
     shift = np.uint64(64 - (CELLS.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                ids, n, signature, central, keys = [], [], [], [], []
-                prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    tokens = shingler.distinct(text.as_py())
-                    size = len(tokens)
-                    if not size:
-                        continue
-                    own = model.value[(tokens >> shift).astype(np.int64)].astype(np.uint64)
-                    take = size - least_overlap(size, num, den) + 1
-                    ids.append(doc)
-                    n.append(size)
-                    signature.append(hashlib.md5(tokens.tobytes()).digest())
-                    central.append(int(own.sum()) * 16 // size)
-                    least = [mix(tokens * _ODD + np.uint64(1001 + k)).min() for k in range(2 * KEYS)]
-                    keys.append(mix(np.array(least[::2]) + mix(np.array(least[1::2])) + np.arange(KEYS, dtype=np.uint64)))
-                    for k in range(ORDERS):
-                        key = _ordered(tokens, own, k)
-                        if take < size:
-                            key = np.partition(key, take - 1)[:take]
-                        prefixes[k].append(np.sort(key))
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            for first, texts in _texts(batch, 1):
+                sets = shingler.distinct(texts)
+                ids = [docs[first + i] for i, own in enumerate(sets) if len(own)]
+                sets = [own for own in sets if len(own)]
                 if not ids:
                     continue
-                lists = [_lists(keys, np.int64)] + [_lists(prefixes[0], np.int64)]
+                n = np.array([len(own) for own in sets])
+                ends = np.cumsum(n)
+                starts = ends - n
+                tokens = np.concatenate(sets)
+                rarity = model.value[(tokens >> shift).astype(np.int64)].astype(np.uint64)
+                signature = [hashlib.md5(own.tobytes()).digest() for own in sets]
+                central = (np.add.reduceat(rarity, starts).astype(np.int64) * 16 // n).astype(np.int32)
+                least = [np.minimum.reduceat(tokens * m, starts) for m in _MULTIPLIERS[ORDERS:]]
+                keys = np.stack([mix(least[2 * k] + mix(least[2 * k + 1]) + np.uint64(k)) for k in range(KEYS)], 1)
+                take = (n - (num * n + den - 1) // den + 1).tolist()
+                prefixes: list[list[np.ndarray]] = []
+                for k in range(ORDERS):
+                    key = _ordered(tokens, rarity, k)
+                    own = [key[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    prefixes.append([np.sort(np.partition(x, t - 1)[:t] if t < len(x) else x) for x, t in zip(own, take, strict=True)])
+                lists = [_lists(list(keys), np.int64), _lists(prefixes[0], np.int64)]
                 lists += [_lists([x.astype(np.uint32) for x in p], np.int32) for p in prefixes[1:]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(signature, pa.binary()), pa.array(central, pa.int32()), *lists],
                     names=["id", "n", "signature", "central", "keys", "p1", "p2", "p3"],
                 )
 
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(frugal(run), SIGNED)
 
 
 def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
@@ -214,12 +263,12 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int)
                 h = batch.column(column).to_numpy()
                 hit &= (bits.value[(h >> 6) % FILTER_WORDS] >> (h % 64)) & 1 == 1
             at = np.flatnonzero(hit).tolist()
-            for lo in range(0, len(at), 1000):
-                own = at[lo : lo + 1000]
+            for lo in range(0, len(at), 500):
+                own = at[lo : lo + 500]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(own)),
-                        pa.array([shingler.distinct(batch.column(1)[i].as_py()).tobytes() for i in own], pa.binary()),
+                        pa.array([x.tobytes() for x in shingler.distinct([batch.column(1)[i].as_py() for i in own])], pa.binary()),
                     ],
                     names=["id", "tokens"],
                 )
@@ -239,11 +288,11 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int)
                     keep.append(i)
             yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
-    tokens = hashed.mapInArrow(sets, "id long, tokens binary")
+    tokens = hashed.mapInArrow(frugal(sets), "id long, tokens binary")
     left = tokens.select(F.col("id").alias("x"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("id").alias("y"), F.col("tokens").alias("right"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right")
-    return joined.mapInArrow(compare, "x long, y long")
+    return joined.mapInArrow(frugal(compare), "x long, y long")
 
 
 def star_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
@@ -285,11 +334,12 @@ def index_pairs(live: DataFrame, labels: DataFrame, num: int, den: int, scratch:
 
 def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Per id its set's size and representative (``id, n, member_of``), and the components of representatives."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text")).where("id IS NOT NULL")
     counts = token_counts(rows, words)
     every = scratch.save(signatures(rows, words, num, den, counts))
-    groups = every.groupBy("signature").agg(F.min("id").alias("member_of"))
+    groups = scratch.save(every.groupBy("signature").agg(F.min("id").alias("member_of")))
     members = scratch.save(every.select("id", "n", "signature").join(groups, "signature").select("id", "n", "member_of"))
     chosen = members.where("id = member_of").select("id").distinct()
     live = scratch.save(every.drop("signature").join(chosen, "id", "left_semi").dropDuplicates(["id"]))
