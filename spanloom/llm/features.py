@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_held_out, text_or_empty
+from .common import bounded_batches, frugal, is_held_out, text_or_empty
 
 _SPACE = re.compile(r"\s")
 
@@ -28,6 +28,24 @@ def word_blocks(text: str, most: int = 1_000_000) -> Iterator[list[str]]:
     yield (text[at:] if at else text).split()
 
 
+def hashed_sample(rows: DataFrame, label: str, id_: str, most: int) -> DataFrame:
+    """The ``most`` rows of each label with the smallest hash of the id, ties by id.
+
+    A cut of the hash's range, from the number of rows of each label, leaves little more than
+    that before rows of a label meet, however frequent the label is. Labels are few: their
+    sizes are collected.
+    """
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ample = most + 20 * most**0.5 + 100
+    cuts = [F.lit(x) for k, n in sizes.items() if k is not None for x in (k, min(1.0, ample / n))]
+    if not cuts:
+        return rows.where("false")
+    place = (F.xxhash64(id_).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    near = rows.where(place <= F.create_map(*cuts)[F.col(label)])
+    first = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_), id_))
+    return near.withColumn("_n", first).where(F.col("_n") <= most).drop("_n")
+
+
 def labelled_words(
     docs: DataFrame,
     labels: DataFrame,
@@ -43,14 +61,14 @@ def labelled_words(
     hash of the id, and never one of the held-out fold; that bounds the sample, and its ids
     are what is broadcast. A label that repeats for an id counts once, the largest.
     """
+    bounded_batches(docs.sparkSession)
     own = (
         labels.select(F.col(label_id_col).alias("_id"), label.cast("int").alias("_label"))
         .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~is_held_out("_id"))
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
     )
-    first = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))
-    sample = own.withColumn("_n", first).where(F.col("_n") <= per_class).drop("_n")
+    sample = hashed_sample(own, "_label", "_id", per_class)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +90,7 @@ def labelled_words(
     return (
         rows.join(F.broadcast(sample), "_id")
         .select("_text", "_label")
-        .mapInArrow(count, "label int, words array<string>, counts array<long>")
+        .mapInArrow(frugal(count), "label int, words array<string>, counts array<long>")
     )
 
 
@@ -93,7 +111,7 @@ def fit(sample: DataFrame, train: Callable[[Iterator[tuple[int, list[str], list[
             [pa.array(range(len(made)), pa.int32()), pa.array([x.tobytes() for x in made], pa.binary())], names=["k", "data"]
         )
 
-    found = sample.repartition(1).mapInArrow(run, "k int, data binary").collect()
+    found = sample.repartition(1).mapInArrow(frugal(run), "k int, data binary").collect()
     return [np.frombuffer(r["data"], np.float64) for r in sorted(found, key=lambda r: r["k"])]
 
 

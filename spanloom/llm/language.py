@@ -8,22 +8,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out
-from .features import word_blocks
+from .common import bounded_batches, frugal, is_held_out
+from .features import hashed_sample, word_blocks
 
 WIDTH = 1 << 15
 SIZES = 4
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double, languages array<string>, shares array<double>"
 ARROW_PREDICTION = pa.struct(
     [("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]
 )
 #: Characters that one round of the EM holds; a text longer than ``LONG`` is counted by word first.
-TEXT_AT_ONCE, LONG = 2_000_000, 1_000_000
+TEXT_AT_ONCE, LONG = 1_000_000, 1_000_000
 
 
 class Grams:
@@ -56,15 +56,10 @@ class Grams:
 
 def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     """Languages and their n-gram counts over the training sample, summed by Spark."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
-    first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    sample = (
-        known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-        .withColumn("_n", first)
-        .where(F.col("_n") <= per_language)
-        .select("_id")
-        .distinct()
-    )
+    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    sample = hashed_sample(ids, "_lang", "_id", per_language).select("_id").distinct()
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +84,7 @@ def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: s
     found = (
         rows.join(F.broadcast(sample), "_id")
         .select("lang", "text")
-        .mapInArrow(count, "lang string, gram int, n long")
+        .mapInArrow(frugal(count), "lang string, gram int, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -150,7 +145,6 @@ def language_column(model, text: Column) -> Column:
     ``model`` is a broadcast of languages and the table of n-gram log likelihoods.
     """
 
-    @F.arrow_udf(PREDICTION)
     def infer(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, table = model.value
         mixture = Mixture(max(1, len(names)))
@@ -217,7 +211,10 @@ def language_column(model, text: Column) -> Column:
             out += solve(list(rows(texts)))
             yield pa.array(out, ARROW_PREDICTION)
 
-    return infer(text)
+    def inferring(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from frugal(infer)(arrays)
+
+    return F.arrow_udf(inferring, PREDICTION)(text)
 
 
 def fitted(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str):
