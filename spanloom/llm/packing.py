@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, Scratch, text_or_empty
+from .common import Remembering, Scratch, bounded_batches, frugal, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Separators of str.split() that the tokenizer's pattern does not count as white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
 class WordTokenizer:
@@ -40,7 +41,7 @@ class WordTokenizer:
         self.merges = self.library.model
         split = self.library.pre_tokenizer.pre_tokenize_str
         self.as_bytes = {i: split(chr(i))[0][0] for i in range(0x250) if chr(i).isalpha()}
-        self.words = Remembering(self._word)
+        self.words = Remembering(self._word, 200_000)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,6 +57,8 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         get = self.words.__getitem__
         for text in texts:
+            if text.isascii() or not _BEYOND_LATIN.search(text):
+                text = text.lower()  # what the library does, here before words are looked up
             yield self._direct(text) if _ODD_SPACE.search(text) else b"".join(map(get, text.split()))
 
 
@@ -98,6 +101,7 @@ def token_pieces(
     Returns ``doc_id, piece, start, length, ids_crc32`` and with ``tokens`` also ``ids``.
     Null and empty texts give one piece of the end id alone.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     end = int(end_id).to_bytes(4, "little")
@@ -123,7 +127,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids array<int>" if tokens else ""))
+    return rows.mapInArrow(frugal(run), PIECES + (", ids array<int>" if tokens else ""))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
