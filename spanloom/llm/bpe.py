@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, frugal, text_or_empty
 
 NONE = np.int32(2**31 - 1)
 LONGEST_SIDE_BY_SIDE = 64
@@ -239,6 +239,7 @@ def byte_bpe(
     treated one by one, so repeated rows repeat their result; other columns are ignored. A
     very long text is encoded block by block.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -276,4 +277,4 @@ def byte_bpe(
 
     out = OUT + (", ids array<int>, decoded binary" if tokens else "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(frugal(run), out)

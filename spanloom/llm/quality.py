@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, is_held_out, text_or_empty
+from .common import Remembering, frugal, is_held_out, text_or_empty
 from .features import Adam, Bags, fit, labelled_words, logistic, word_blocks
 
 WIDTH = 1 << 17
@@ -130,4 +130,4 @@ def quality(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text")
     )
-    return rows.mapInArrow(run, OUT)
+    return rows.mapInArrow(frugal(run), OUT)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 OUT = "query_id long, node long, vec_id long, score long"
 _EXACT = float(1 << 53)
 
@@ -162,7 +164,7 @@ def topk_search(
             q = block.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
             own = candidates.where(F.size("v") == dim)
             width = max(width, own.rdd.getNumPartitions())
-            part = own.mapInArrow(_products(spark.sparkContext.broadcast((qid, q)), k, tile), OUT)
+            part = own.mapInArrow(frugal(_products(spark.sparkContext.broadcast((qid, q)), k, tile)), OUT)
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
