@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, exact_dedup, jaccard_join, language, lm_scoring, packing, quality, suffix_dedup, topk_search, toxicity
+from spanloom.llm import bpe, exact_dedup, features, jaccard_join, language, lm_scoring, packing, quality, suffix_dedup, topk_search, toxicity
 from spanloom.llm.common import Remembering, Scratch, is_held_out
 from spanloom.llm.components import connected_components
 
@@ -396,6 +396,17 @@ def rated(spark, n=400, seed=0):
     return documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_sample_takes_the_smallest_hashes(spark):
+    rows = [(i, i % 10 == 0) for i in range(3000)] + [(i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, label boolean")
+    found = [(r.id, r.label) for r in features.hashed_sample(df, "label", "id", 40).collect()]
+    hashed = df.where("label IS NOT NULL").select("id", "label", F.xxhash64("id").alias("h")).collect()
+    for label in (True, False):
+        expected = sorted((r.h, r.id) for r in hashed if r.label == label)[:40]
+        assert sorted(i for i, x in found if x == label) == sorted(i for _, i in expected)
+    assert len(found) == 80 and features.hashed_sample(df.where("false"), "label", "id", 3).count() == 0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = rated(spark)
     odd = documents(spark, [None, "", "VILK zogge vilkum"], [9000, 9001, 9002])
