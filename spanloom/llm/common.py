@@ -41,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        self._tables: list[DataFrame] = []  # alive, so that ids stay theirs
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -49,11 +50,19 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
-        self._keep = getattr(self, "_keep", []) + [out]
+        self._tables.append(out)
         return out
 
+    def keep_only(self, *wanted: DataFrame) -> None:
+        """Drop every table but these: no later step may read the others."""
+        for key in set(self._paths) - {id(df) for df in wanted}:
+            self._drop(key)
+
     def drop(self, df: DataFrame) -> None:
-        path = self._paths.pop(id(df))
+        self._drop(id(df))
+
+    def _drop(self, key: int) -> None:
+        path = self._paths.pop(key)
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

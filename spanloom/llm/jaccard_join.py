@@ -352,7 +352,9 @@ def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     # Components of the first round stand for their members when the second round's links are added.
     tree = labels.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     edges = tree.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    return members, connected_components(edges, scratch)
+    components = connected_components(edges, scratch)
+    scratch.keep_only(members, components)
+    return members, components
 
 
 def jaccard_components(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, bounded_batches, frugal, text_or_empty
 from .features import word_blocks
 
 VOCABULARY = 1 << 15
@@ -40,7 +40,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                         yield out()
         yield out()
 
-    return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(frugal(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
@@ -119,7 +119,7 @@ def ngram_counts(rows: DataFrame, vocabulary) -> DataFrame:
 
     return (
         rows.select("text", "is_target")
-        .mapInArrow(count, "slot int, background long, target long")
+        .mapInArrow(frugal(count), "slot int, background long, target long")
         .groupBy("slot")
         .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     )
@@ -163,8 +163,10 @@ def score_documents(
     spark = docs.sparkSession
     targets = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
+    bounded_batches(spark)
     scratch = Scratch(spark, "lm_scoring")
     words = frequent_words(scratch.save(word_counts(rows)))
+    scratch.keep_only()
     vocabulary = spark.sparkContext.broadcast(_Ids({word: i + 1 for i, word in enumerate(words)}))
     # Both sides are shuffled at any size: target ids grow with the corpus.
     marked = rows.join(targets.hint("merge"), "_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
@@ -191,4 +193,4 @@ def score_documents(
                 names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
             )
 
-    return rows.select(F.col("_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
+    return rows.select(F.col("_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), OUT)

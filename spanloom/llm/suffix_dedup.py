@@ -351,6 +351,7 @@ def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col:
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
     rows = docs.select(doc, text_or_empty(text_col).cast("binary").alias("text"))
     found = repeated_ranges(rows, min_bytes, later, scratch)
+    scratch.keep_only(found)
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
     whole = docs.select(doc, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
