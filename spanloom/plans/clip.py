@@ -56,12 +56,17 @@ def analyse(
     min_spread: float = 0.15,
     smooth_window: int = 15,
 ) -> ClipTables:
-    """The second phase. ``embeddings`` has one vector per crop: game_id, track_id, embedding."""
+    """The second phase. ``embeddings`` has one vector per crop: game_id, track_id, embedding.
+
+    The flags per frame and the finished tracks feed several tables each and are persisted on
+    first use, so detections are scanned for them once; unpersist ``activity`` and ``tracks``
+    when the tables are written.
+    """
     on_track = [*KEYS, "track_id"]
     people = tracks.with_geometry(tracks.people(detections, min_confidence))
     seen = tracks.with_surface(tracks.tracked(people), mask, width, height)
     on_surface = seen.where("on_surface")
-    flags = activity.detect_activity(on_surface, activity.frame_spine(clips, KEYS), KEYS, width, min_players, min_spread, smooth_window)
+    flags = activity.detect_activity(on_surface, activity.frame_spine(clips, KEYS), KEYS, width, min_players, min_spread, smooth_window).persist()
     segs = intervals.timed(intervals.segments(flags, KEYS, fps, min_segment_seconds, bridge_seconds), fps)
     stats = tracks.with_role(tracks.track_stats(seen, on_track))
     live = activity.active_frames(seen, flags, KEYS)
@@ -73,6 +78,7 @@ def analyse(
     who = clustering.assign_identities(known, KEYS, roster, distance, vector="centroid").select(*on_track, "player", "player_conf")
     every = stats.join(team, on_track, "left").join(who, on_track, "left")
     every = every.withColumn("seconds_on_surface", seconds("on_surface_frames", fps)).withColumn("active_seconds", seconds("active_frames", fps))
+    every = every.persist()
     identified = every.where("player IS NOT NULL")
     found = intervals.timed(intervals.shifts(identified, [*KEYS, "player"], fps, gap_seconds), fps)
     line = player_lines(identified, found, fps)
