@@ -1,46 +1,37 @@
-"""Cross-entropy difference between a target and a background n-gram model (Moore and Lewis, 2010)."""
+"""Cross-entropy difference between a target and a background n-gram model (Moore and Lewis, 2010).
+
+Counts are exact and grow with the corpus. Each task cuts its texts into chunks and counts the
+chunk's distinct words and bigrams. The counts of words, then of bigrams, are dealt to buckets by
+the key, summed there, and the sums go back to the chunks that asked, in the order they were sent.
+No table of the corpus is gathered or broadcast.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, frugal, text_or_empty
 from .features import word_blocks
 
+#: The least number of word types that smoothing assumes; a corpus with more counts its own.
 VOCABULARY = 1 << 15
-CELLS = 1 << 18
-HELD_WORDS = 400_000
+WEIGHT, SMOOTH = 0.5, 0.5
+#: A chunk is closed at this many tokens, a bucket gets about so many keys of all chunks.
+CHUNK_TOKENS = 700_000
+BUCKET_WORDS, BUCKET_PAIRS = 1_000_000, 2_000_000
 OUT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``word, n`` over all texts: counted in each task, summed by word across tasks."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"]
-            )
-            words.clear()
-            return made
-
-        for batch in batches:
-            for text in batch.column(0):
-                for block in word_blocks(text.as_py().lower()):
-                    words.update(block)
-                    if len(words) >= HELD_WORDS:
-                        yield out()
-        yield out()
-
-    return rows.select("text").mapInArrow(frugal(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+SIZES = ["n_words", "n_pairs", "n_tokens", "t_tokens", "n_texts", "t_texts"]
+CHUNK = (
+    "chunk long, " + ", ".join(f"{c} long" for c in SIZES) + ", words binary, word_counts binary,"
+    " ids array<long>, targets binary, lengths binary, tokens binary"
+)
 
 
 def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
@@ -63,84 +54,219 @@ def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
     return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
-class _Ids(dict):
-    """Word ids from 1 on; any word outside the vocabulary is 0."""
+def cells(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of each pair of ids below 2^32: no two pairs share one."""
+    return before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
 
-    def __missing__(self, word: str) -> int:
-        return 0
 
+def packed(x: np.ndarray | bytes) -> bytes:
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
-def cells(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The cell of each pair of ids in the hashed table of bigram counts."""
-    x = (before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
+def packed_words(words) -> bytes:
+    """Words hold no white space, so a line break parts them."""
+    return packed("\n".join(words).encode())
 
-def _ids(vocabulary: _Ids, text: str) -> np.ndarray:
-    get = vocabulary.__getitem__
-    parts = [np.fromiter(map(get, block), np.int32, len(block)) for block in word_blocks(text.lower())]
-    return np.concatenate(parts)
 
+def unpacked_words(data: bytes) -> list[str]:
+    return unpacked(data, np.uint8).tobytes().decode().split("\n")
 
-def _contexts(ids: np.ndarray, start: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[:1] = start
-    before[1:] = ids[:-1]
+
+class _Numbers(dict):
+    """Numbers of words from 0 on, in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
+def _chunk(chunk: int, numbers: _Numbers, ids: list, parts: list[np.ndarray], lengths: list[int], targets: list[bool]) -> pa.RecordBatch:
+    tokens = np.concatenate([*parts, np.empty(0, np.int32)])
+    n, size, wanted = np.array(lengths, np.int64), len(numbers), np.array(targets, bool)
+    full = n > 0
+    before = _before(tokens, n, size)
+    own = np.repeat(wanted, n)
+    words = [np.bincount(x, minlength=size + 1)[:size] for x in (tokens, tokens[own], before, before[own])]
+    pairs = len(np.unique(cells(before, tokens)))
+    sizes = [size, pairs, len(tokens), int(own.sum()), int(full.sum()), int((full & wanted).sum())]
+    planes = tokens.view(np.uint8).reshape(-1, 4).T
+    columns = [pa.array([chunk]), *[pa.array([x], pa.int64()) for x in sizes]]
+    columns += [pa.array([x], pa.binary()) for x in (packed_words(numbers), packed(np.stack(words)))]
+    columns += [pa.array([ids], pa.list_(pa.int64())), *[pa.array([packed(x)], pa.binary()) for x in (wanted, n, planes)]]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", *SIZES, "words", "word_counts", "ids", "targets", "lengths", "tokens"])
+
+
+def _before(tokens: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """The word before each token of texts of ``n`` tokens; the start of a text is a context too."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = start
     return before
 
 
-def ngram_counts(rows: DataFrame, vocabulary) -> DataFrame:
-    """``slot, background, target``: unigrams, contexts and hashed bigrams, counted in each task and summed.
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct pairs of places in its words (the start of a text after them), the pair of each token, and texts' lengths."""
+    n = unpacked(row["lengths"], np.int64)
+    tokens = np.ascontiguousarray(unpacked(row["tokens"], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    pairs, at_pair = np.unique(cells(_before(tokens, n, row["n_words"]), tokens), return_inverse=True)
+    return np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.int64), at_pair, n
+
 
-    Slots: ids of words, then ids as contexts (the start of a text is a context too), then
-    the cells of bigrams. ``rows`` has ``text`` and ``is_target``.
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """Texts in chunks (``CHUNK``): distinct words with their counts in all and in target texts, and
+    the place in ``words`` of each token, text by text (byte planes of 32-bit numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        numbers, ids, parts, lengths, targets, held = _Numbers(), [], [], [], [], 0
+        for batch in batches:
+            for id_, text, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = [np.fromiter(map(numbers.__getitem__, b), np.int32, len(b)) for b in word_blocks(text.as_py().lower())]
+                ids.append(id_)
+                parts += own
+                lengths.append(sum(map(len, own)))
+                targets.append(target)
+                held += lengths[-1]
+                if held >= CHUNK_TOKENS:
+                    yield _chunk(chunk, numbers, ids, parts, lengths, targets)
+                    chunk, numbers, ids, parts, lengths, targets, held = chunk + 1, _Numbers(), [], [], [], [], 0
+        if ids:
+            yield _chunk(chunk, numbers, ids, parts, lengths, targets)
+
+    return rows.mapInArrow(frugal(run), CHUNK)
+
+
+def _dealt(bucket: np.ndarray, key: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by bucket (and key), and where each bucket starts in it."""
+    order = np.argsort(bucket, kind="stable") if key is None else np.lexsort((key, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def word_totals(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, at, found, distinct``: for the words of a chunk at the places ``at``, their ids
+    and their counts as words and contexts over the whole input (all and target texts).
+
+    Ids are from 1 on. ``distinct`` adds up to the number of distinct words; ``bucket`` is -1.
     """
-    n = VOCABULARY + 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = vocabulary.value
-        sums = np.zeros((2, 2 * n + CELLS), np.int64)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = _ids(ids_of, text.as_py())
-                if not len(ids):
+            for i in range(batch.num_rows):
+                counts = unpacked(batch.column(2)[i].as_py(), np.int64).reshape(4, -1)
+                if not counts.size:
                     continue
-                before = _contexts(ids, n - 1)
-                slots = np.concatenate([ids, n + before, 2 * n + cells(before, ids)])
-                np.add.at(sums[0], slots, 1)
-                if target:
-                    np.add.at(sums[1], slots, 1)
-        used = np.flatnonzero(sums[0])
-        for lo in range(0, len(used), 1 << 16):
-            own = used[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.array(sums[0][own]), pa.array(sums[1][own])], names=["slot", "background", "target"]
-            )
-
-    return (
-        rows.select("text", "is_target")
-        .mapInArrow(frugal(count), "slot int, background long, target long")
-        .groupBy("slot")
-        .agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+                words = np.array(unpacked_words(batch.column(1)[i].as_py()), object)
+                hashed = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+                order, starts = _dealt(hashed % buckets, None, buckets)
+                used = np.flatnonzero(np.diff(starts))
+                cuts = [order[starts[b] : starts[b + 1]] for b in used.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)),
+                        pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()),
+                        pa.array([packed(x.astype(np.int32)) for x in cuts], pa.binary()),
+                        pa.array([packed_words(words[x]) for x in cuts], pa.binary()),
+                        pa.array([packed(counts[:, x]) for x in cuts], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "at", "words", "counts"],
+                )
+
+    def total(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        words = [pa.array(unpacked_words(x.as_py()), pa.string()) for x in table.column("words")]
+        coded = pa.concat_arrays(words).dictionary_encode()
+        at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        counts = np.concatenate([unpacked(x.as_py(), np.int64).reshape(4, -1) for x in table.column("counts")], axis=1)
+        sums = [np.bincount(at, c, size).astype(np.int64)[at] for c in counts]
+        ids = at.astype(np.int64) * buckets + bucket + 1
+        if ids.max() >= 1 << 32:
+            raise ValueError("more than 2^32 word ids")
+        ends = np.cumsum([len(x) for x in words])[:-1]
+        found = [packed(x) for x in np.split(np.stack([ids, *sums]), ends, axis=1)]
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "bucket": pa.array([-1] * len(found), pa.int32()),
+                "at": table.column("at"),
+                "found": pa.array(found, pa.binary()),
+                "distinct": pa.array([size] + [0] * (len(found) - 1), pa.int64()),
+            }
+        )
+
+    dealt = chunks.select("chunk", "words", "word_counts").mapInArrow(
+        frugal(deal), "bucket int, chunk long, at binary, words binary, counts binary"
     )
+    return dealt.groupBy("bucket").applyInArrow(total, "chunk long, bucket int, at binary, found binary, distinct long")
+
+
+def _words(size: int, answers: pa.Table) -> np.ndarray:
+    """Ids and four counts of a chunk's words, and a column of zeros for the start of a text."""
+    out = np.zeros((5, size + 1), np.int64)
+    for bucket, at, found in zip(*[answers.column(c) for c in ("bucket", "at", "found")], strict=True):
+        if bucket.as_py() < 0:
+            out[:, unpacked(at.as_py(), np.int32)] = unpacked(found.as_py(), np.int64).reshape(5, -1)
+    return out
+
+
+def _keys(halves: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a chunk's pairs under the ids of the corpus, their order by bucket and its starts."""
+    key = cells(ids[halves[0]], ids[halves[1]])
+    spread = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return key, *_dealt((spread % np.uint64(buckets)).astype(np.int64), key, buckets)
+
+
+def pair_totals(chunks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, at, found``: counts over the whole input of the chunk's pairs in a bucket, in the order of ``_keys``."""
+
+    def deal(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = {"bucket": [], "chunk": [], "keys": [], "counts": []}
+        for row in chunk.to_pylist():
+            halves, at, n = _pairs(row)
+            own = np.repeat(unpacked(row["targets"], bool), n)
+            counts = np.stack([np.bincount(x, minlength=halves.shape[1]) for x in (at, at[own])])
+            key, order, starts = _keys(halves, _words(row["n_words"], answers)[0], buckets)
+            for b in np.flatnonzero(np.diff(starts)).tolist():
+                own = order[starts[b] : starts[b + 1]]
+                rows["bucket"].append(b)
+                rows["chunk"].append(row["chunk"])
+                rows["keys"].append(packed(np.diff(key[own], prepend=np.uint64(0))))
+                rows["counts"].append(packed(counts[:, own]))
+        return pa.table(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    def total(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
+        counts = np.concatenate([unpacked(x.as_py(), np.int64).reshape(2, -1) for x in table.column("counts")], axis=1)
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        one, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(at, c, len(one)).astype(np.int64)[at] for c in counts])
+        found = [packed(x) for x in np.split(sums, ends, axis=1)]
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "bucket": table.column("bucket"),
+                "at": pa.nulls(len(found), pa.binary()),
+                "found": pa.array(found, pa.binary()),
+            }
+        )
+
+    own = chunks.select("chunk", "n_words", "targets", "lengths", "tokens").groupBy("chunk")
+    dealt = own.cogroup(words.select("chunk", "bucket", "at", "found").groupBy("chunk")).applyInArrow(
+        deal, "bucket int, chunk long, keys binary, counts binary"
+    )
+    return dealt.groupBy("bucket").applyInArrow(total, "chunk long, bucket int, at binary, found binary")
 
 
-class BigramModel:
-    """Interpolated bigram probabilities over the shared vocabulary, from counts by slot."""
-
-    def __init__(self, counts: np.ndarray, weight: float = 0.5, smooth: float = 0.5):
-        n = VOCABULARY + 2
-        unigram = counts[:n].astype(np.float64)
-        unigram[n - 1] = 0  # the start of a text is no word
-        self.unigram = (unigram + smooth) / (unigram[: n - 1].sum() + smooth * (n - 1))
-        self.context, self.pair, self.weight = counts[n : 2 * n].astype(np.float64), counts[2 * n :].astype(np.float64), weight
-
-    def losses(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The loss of each token in nats; an unseen context leaves the unigram alone."""
-        seen = self.context[before]
-        pair = np.minimum(self.pair[cells(before, ids)], seen) / np.maximum(seen, 1)
-        weight = np.where(seen > 0, self.weight, 0)
-        return -np.log(weight * pair + (1 - weight) * self.unigram[ids])
+def losses(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, types: int) -> np.ndarray:
+    """The loss of each pair in nats from its counts; an unseen context leaves the unigram alone."""
+    unigram = (word + SMOOTH) / (tokens + SMOOTH * types)
+    weight = np.where(context > 0, WEIGHT, 0)
+    return -np.log(weight * pair / np.maximum(context, 1) + (1 - weight) * unigram)
 
 
 def score_documents(
@@ -151,10 +277,9 @@ def score_documents(
     Returns ``doc_id, n_tokens, target_loss, background_loss, score``: losses are means per
     token in nats and ``score`` is target minus background, so lower is closer to the target.
     The background model counts all documents and the target model those whose id is in
-    ``target_ids`` (one column named ``id_col``). Both use one vocabulary, at most the 32,768
-    most frequent lower-cased words of all documents and one id for all other words; bigrams
-    count in a hashed table of fixed size, which bounds what is broadcast. Counts come from
-    the whole input, summed in each task before they are shuffled.
+    ``target_ids`` (one column named ``id_col``). Both use every lower-cased word and every
+    bigram of all documents with its exact count; unigrams are smoothed over the distinct words
+    of all documents and one more, 32,769 types at least. More than 2^32 word ids raise an error.
 
     Texts without words, null ones included, have 0 tokens and score 0. Repeated rows are
     counted and scored each; ids that repeat in ``target_ids`` or are null count once or not
@@ -165,32 +290,42 @@ def score_documents(
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
     bounded_batches(spark)
     scratch = Scratch(spark, "lm_scoring")
-    words = frequent_words(scratch.save(word_counts(rows)))
-    scratch.keep_only()
-    vocabulary = spark.sparkContext.broadcast(_Ids({word: i + 1 for i, word in enumerate(words)}))
     # Both sides are shuffled at any size: target ids grow with the corpus.
-    marked = rows.join(targets.hint("merge"), "_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    found = ngram_counts(marked, vocabulary).toArrow()
-    counts = np.zeros((2, 2 * (VOCABULARY + 2) + CELLS), np.int64)
-    slot = found.column("slot").to_numpy()
-    counts[0, slot], counts[1, slot] = found.column("background").to_numpy(), found.column("target").to_numpy()
-    model = spark.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = BigramModel(model.value[0]), BigramModel(model.value[1])
-        start = VOCABULARY + 1
-        for batch in batches:
-            n, by_target, by_background = [], [], []
-            for text in batch.column(1):
-                ids = _ids(vocabulary.value, text.as_py())
-                before = _contexts(ids, start)
-                n.append(len(ids))
-                by_target.append(float(target.losses(before, ids).mean()) if len(ids) else 0.0)
-                by_background.append(float(background.losses(before, ids).mean()) if len(ids) else 0.0)
-            difference = [a - b for a, b in zip(by_target, by_background, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(by_target), pa.array(by_background), pa.array(difference)],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return rows.select(F.col("_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), OUT)
+    marked = rows.join(targets.hint("merge"), "_id", "left").select(
+        F.col("_id").cast("long").alias("id"), "text", F.coalesce("is_target", F.lit(False)).alias("is_target")
+    )
+    chunks = scratch.save(chunks_of(marked))
+    sizes = {c: n or 0 for c, n in chunks.agg(*[F.sum(c).alias(c) for c in SIZES]).first().asDict().items()}
+    words = scratch.save(word_totals(chunks, sizes["n_words"] // BUCKET_WORDS + 1))
+    types = max(words.agg(F.sum("distinct")).first()[0] or 0, VOCABULARY) + 1
+    buckets = sizes["n_pairs"] // BUCKET_PAIRS + 1
+    pairs = scratch.save(pair_totals(chunks, words, buckets))
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, lengths, target, background = [], [], [], []
+        for row in chunk.to_pylist():
+            size = row["n_words"]
+            known = _words(size, answers)
+            halves, at, n = _pairs(row)
+            _, order, starts = _keys(halves, known[0], buckets)
+            known[3:, size] = sizes["n_texts"], sizes["t_texts"]
+            pair = np.zeros((2, len(order)), np.int64)
+            for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("found"), strict=True):
+                if bucket >= 0:
+                    pair[:, order[starts[bucket] : starts[bucket + 1]]] = unpacked(found.as_py(), np.int64).reshape(2, -1)
+            full = n > 0
+            for k, tokens, out in ((0, "n_tokens", background), (1, "t_tokens", target)):
+                of_pair = losses(pair[k], known[3 + k][halves[0]], known[1 + k][halves[1]], sizes[tokens], types)
+                mean = np.zeros(len(n))
+                if full.any():
+                    mean[full] = np.add.reduceat(of_pair[at], (np.cumsum(n) - n)[full]) / n[full]
+                out.append(mean)
+            ids += row["ids"]
+            lengths.append(n)
+        n, target, background = (np.concatenate([*x, np.empty(0, kind)]) for x, kind in ((lengths, np.int64), (target, float), (background, float)))
+        columns = [pa.array(ids, pa.int64()), pa.array(n), pa.array(target), pa.array(background), pa.array(target - background)]
+        return pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    answers = words.select("chunk", "bucket", "at", "found").unionByName(pairs)
+    own = chunks.select("chunk", "n_words", "ids", "lengths", "tokens").groupBy("chunk")
+    return own.cogroup(answers.groupBy("chunk")).applyInArrow(run, OUT)

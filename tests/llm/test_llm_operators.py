@@ -484,6 +484,35 @@ def test_lm_scores(spark):
     assert lm_scoring.score_documents(documents(spark, []), ids).count() == 0
 
 
+def test_lm_counts_have_no_caps(spark, monkeypatch):
+    """More words and bigrams than any fixed table held, in several chunks and buckets."""
+    for name, most in (("CHUNK_TOKENS", 9_000), ("BUCKET_WORDS", 20_000), ("BUCKET_PAIRS", 20_000)):
+        monkeypatch.setattr(lm_scoring, name, most, raising=False)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(70_000)}" for _ in range(3000)) for _ in range(100)] + ["", None]
+    texts += [texts[3], "w1 neverseen w1 neverseen"]
+    own = list(range(0, 100, 3))
+    split = [(t or "").split() for t in texts]
+
+    def model(counted):
+        words = Counter(w for i in counted for w in split[i])
+        before = Counter(w for i in counted for w in [None, *split[i]][:-1] if split[i])
+        return words, before, Counter(p for i in counted for p in zip([None, *split[i]], split[i], strict=False))
+
+    types = len({w for s in split for w in s}) + 1
+    assert types > 1 << 16
+    expected = []
+    for words, before, pairs in (model(own), model(range(len(texts)))):
+        n = sum(words.values())
+        loss = lambda a, b: -np.log((0.5 * pairs[a, b] / before[a] if before[a] else 0) + (0.5 if before[a] else 1) * (words[b] + 0.5) / (n + 0.5 * types))  # noqa: E731, B023
+        expected.append([np.mean([loss(a, b) for a, b in zip([None, *s], s, strict=False)]) if s else 0.0 for s in split])
+    ids = spark.createDataFrame([(i,) for i in own], "doc_id long")
+    found = {r.doc_id: r for r in lm_scoring.score_documents(documents(spark, texts), ids).collect()}
+    assert len(found) == len(texts)
+    for i in found:
+        assert (found[i].target_loss, found[i].background_loss) == pytest.approx((expected[0][i], expected[1][i]))
+
+
 def test_frequent_words(spark):
     df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1)], "word string, n long")
     assert lm_scoring.frequent_words(df, 3) == ["a", "b", "c"] and lm_scoring.frequent_words(df, 2) == ["a"] and lm_scoring.frequent_words(df.where("false")) == []
