@@ -7,8 +7,9 @@ all put rare tokens first, by a count of fixed size over the whole input, and br
 different hashes. The first order is an index that makes candidate pairs; they must share a
 prefix token under the second and third order too before their sets are compared.
 
-Groups of near copies are linked first, each to one central member found by min-hash keys,
-so that afterwards only pairs across different components are looked at.
+Where all links are asked for, every pair of the index is looked at. Where only components are,
+groups of near copies are linked first, each to one central member found by min-hash keys, so
+that afterwards only pairs across different components are looked at.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -249,8 +250,8 @@ def _bits(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose similarity is at least num / den, by comparing their sets."""
+def _sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``id, tokens``: the sets of the ids in pairs, and of few others."""
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(_bits(pairs))
     hashed = rows.select("id", "text", F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(7)).alias("b"))
@@ -273,6 +274,11 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int)
                     names=["id", "tokens"],
                 )
 
+    return hashed.mapInArrow(frugal(sets), "id long, tokens binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose similarity is at least num / den, by comparing their sets."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -288,13 +294,45 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int)
                     keep.append(i)
             yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
-    tokens = hashed.mapInArrow(frugal(sets), "id long, tokens binary")
+    tokens = _sets(pairs, rows, words)
     left = tokens.select(F.col("id").alias("x"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("id").alias("y"), F.col("tokens").alias("right"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right")
     return joined.mapInArrow(frugal(compare), "x long, y long")
 
 
+def verified_in_cells(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """As ``verified``, for pairs that may be many times the sets: each pair once.
+
+    Pairs are dealt to the cells of a grid by the hashes of both ids, and a set is sent once to
+    each cell that has a pair of it, not once a pair. A cell has about 4,000 sets at most.
+    """
+    n = pairs.count()
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).agg(F.approx_count_distinct("id")).first()[0]
+    side = max(1, min(-(-ids // 2000), int((n / 50) ** 0.5)))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(side))
+    dealt = pairs.select("x", "y", (place("x") * side + place("y")).alias("cell"))
+    needed = dealt.select("cell", F.explode(F.array("x", "y")).alias("id")).distinct()
+    sent = needed.join(_sets(pairs, rows, words), "id").select(F.col("cell").alias("in_cell"), "id", "tokens")
+
+    def compare(cell: pa.Table, sets: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for i, tokens in zip(sets.column("id").to_pylist(), sets.column("tokens"), strict=True):
+            held.setdefault(i, []).append(np.frombuffer(tokens.as_py(), np.uint64))
+        keep = []
+        for k, (x, y) in enumerate(zip(cell.column("x").to_pylist(), cell.column("y").to_pylist(), strict=True)):
+            for a, b in product(held[x], held[y]):
+                at = np.searchsorted(a, b)
+                at[at == len(a)] = 0
+                both = int((a[at] == b).sum()) if len(a) else 0
+                if both and den * both >= num * (len(a) + len(b) - both):
+                    keep.append(k)
+                    break
+        return cell.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+
+    return dealt.groupBy("cell").cogroup(sent.groupBy("in_cell")).applyInArrow(compare, "x long, y long")
+
+
 def star_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
     """Each set with the most central set of its min-hash keys, if their sizes allow a link."""
     keyed = live.select(F.explode("keys").alias("key"), "id", "n", "central")
@@ -304,13 +342,14 @@ def star_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(F.col("x") != F.col("y")).where(sizes_match("n", "m", num, den)).select("x", "y").distinct()
 
 
-def index_pairs(live: DataFrame, labels: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components that meet in the index of first-order prefixes.
+def index_pairs(live: DataFrame, labels: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components (without ``labels``: all pairs) that meet in the index of first-order prefixes.
 
     A pair qualifies by a shared token whose positions leave room for the overlap it needs:
     the token stands before position n - a in the one and m - a in the other.
     """
-    rows = live.join(labels, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"), F.posexplode("p1").alias("at", "token"))
+    labelled = live.withColumn("component", F.col("id")) if labels is None else live.join(labels, "id", "left")
+    rows = labelled.select("id", "n", F.coalesce("component", "id").alias("c"), F.posexplode("p1").alias("at", "token"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     rows = scratch.save(rows.join(mixed, "token"))
     # For sets of one size the prefix is shorter than for a smaller partner: the smaller set of
@@ -332,8 +371,8 @@ def index_pairs(live: DataFrame, labels: DataFrame, num: int, den: int, scratch:
     return pairs.select("x", "y").distinct()
 
 
-def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Per id its set's size and representative (``id, n, member_of``), and the components of representatives."""
+def _classes(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """The scratch tables, all rows, ``id, n, member_of`` per id, and the signatures of representatives."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text")).where("id IS NOT NULL")
@@ -344,6 +383,29 @@ def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     chosen = members.where("id = member_of").select("id").distinct()
     live = scratch.save(every.drop("signature").join(chosen, "id", "left_semi").dropDuplicates(["id"]))
     scratch.drop(every)
+    return scratch, rows, members, live
+
+
+def jaccard_pairs(
+    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and who has which set.
+
+    Returns ``id, n, member_of`` (an id, its set's size and the smallest id with that set) and
+    ``x, y``: each pair of such representatives whose sets reach the similarity, once.
+    """
+    scratch, rows, members, live = _classes(docs, words, num, den, id_col, text_col)
+    return members, _all_links(scratch, rows, live, words, num, den)
+
+
+def _all_links(scratch: Scratch, rows: DataFrame, live: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    pairs = scratch.save(share_prefixes(index_pairs(live, None, num, den, scratch), live, first=False))
+    return scratch.save(verified_in_cells(pairs, rows, words, num, den))
+
+
+def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Per id its set's size and representative (``id, n, member_of``), and the components of representatives."""
+    scratch, rows, members, live = _classes(docs, words, num, den, id_col, text_col)
     stars = scratch.save(share_prefixes(star_pairs(live, num, den), live, first=True))
     links = scratch.save(verified(stars, rows, words, num, den))
     labels = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
@@ -358,26 +420,38 @@ def jaccard_links(docs: DataFrame, words: int, num: int, den: int, id_col: str,
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+    """One row per document: ``doc_id, n_shingles, component_id``, and ``n_links`` with ``all_links``.
 
     Words are what ASCII white space separates, after A-Z are lower-cased; a document's set
     are its distinct shingles of ``words`` words, or its whole sequence as one shingle if it
     has fewer. Documents with ``den * intersection >= num * union`` are linked, and
     ``component_id`` is the smallest id that links reach. Equal sets count as one, linked to
     the smallest of their ids; between different sets no link that joins two components is
-    lost. Shingles are compared by 64-bit hashes.
+    lost. Shingles are compared by 64-bit hashes. With ``all_links`` every link between different
+    sets is found and verified, and ``n_links`` is the number of other sets the document's is linked to.
 
     Null and empty texts and texts of white space have an empty set and are linked with
     nothing. A row with a null id gets its set's size and a null component. Rows that repeat
     an id are one document in links, with the set of one of them. An empty table gives an
     empty result; other columns are ignored.
     """
-    members, components = jaccard_links(docs, words, num, den, id_col, text_col)
+    links = None
+    if all_links:
+        scratch, rows, members, live = _classes(docs, words, num, den, id_col, text_col)
+        links = _all_links(scratch, rows, live, words, num, den)
+        components = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), scratch)
+        scratch.keep_only(members, components, links)
+    else:
+        members, components = jaccard_links(docs, words, num, den, id_col, text_col)
     reached = components.select(F.col("id").alias("member_of"), "component")
-    linked = members.join(reached, "member_of", "left").select("id", "n", F.coalesce("component", "member_of").alias("component"))
-    linked = linked.groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    linked = members.join(reached, "member_of", "left").select("id", "n", "member_of", F.coalesce("component", "member_of").alias("component"))
+    if links is not None:
+        degree = links.select(F.explode(F.array("x", "y")).alias("member_of")).groupBy("member_of").agg(F.count(F.lit(1)).alias("n_links"))
+        linked = linked.join(degree, "member_of", "left")
+    own = [F.max("n").alias("n"), F.min("component").alias("component")] + ([F.max("n_links").alias("n_links")] if all_links else [])
+    linked = linked.groupBy("id").agg(*own)
     return (
         docs.select(F.col(id_col).cast("long").alias("id"))
         .join(linked, "id", "left")
@@ -385,6 +459,7 @@ def jaccard_components(
             F.col("id").alias("doc_id"),
             F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),
+            *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if all_links else []),
         )
     )
 

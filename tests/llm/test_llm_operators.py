@@ -146,6 +146,28 @@ def test_jaccard_components(spark, seed, words, num, den):
     assert len(found) == len(texts) and len(set(expected.values())) < len(texts) - 20
 
 
+@pytest.mark.parametrize("seed, words, num, den", [(1, 3, 90, 100), (3, 1, 7, 10)])
+def test_jaccard_links_are_all_found(spark, seed, words, num, den):
+    texts = [*ODD, "A", "a", *near_copies(seed, families=3, each=30, edits=3)]
+    sets = sets_of(texts, words)
+    first = {s: i for i, s in reversed(sets.items())}
+    links = set()
+    for i in first.values():
+        for j in first.values():
+            both = len(sets[i] & sets[j])
+            if i < j and both and den * both >= num * len(sets[i] | sets[j]):
+                links.add((i, j))
+    assert len(links) > len(first)
+    members, found = jaccard_join.jaccard_pairs(documents(spark, texts), words, num, den)
+    found = [tuple(sorted((r.x, r.y))) for r in found.collect()]
+    assert len(found) == len(links) and set(found) == links
+    assert {r.id: r.member_of for r in members.collect()} == {i: first[s] for i, s in sets.items() if s}
+    degree = Counter(i for link in links for i in link)
+    rows = jaccard_join.jaccard_components(awkward(documents(spark, texts)), words, num, den, all_links=True).collect()
+    expected = components_by_hand(sets, num, den)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in rows} == {i: (expected[i], degree[first[s]] if s else 0) for i, s in sets.items()}
+
+
 def test_jaccard_odd_tables(spark):
     df = documents(spark, ["a b c d", "a b c d", "x y z", None], [7, 7, None, 3])
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 9, 10).collect()), key=repr)
