@@ -257,13 +257,16 @@ def identify(
 
 def keep_identified(
     docs: DataFrame,
-    least_share: float = 0.3,
     per_language: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` with a language that makes up at least ``least_share`` of their text; all columns stay."""
+    """The rows of ``docs`` whose text is not ``und``; all columns stay.
+
+    Only null texts and texts without letters are rejected (all, when nothing can be learnt): a
+    text in a language never learnt is kept under the nearest ones.
+    """
     model = fitted(docs, per_language, id_col, text_col, lang_col)
     found = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), language_column(model, F.col(text_col)).alias("_found"))
-    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least_share)).select("_row.*")
+    return found.where(F.col("_found.lang_pred") != UNKNOWN).select("_row.*")
