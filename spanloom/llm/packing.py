@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -254,27 +255,31 @@ class _Search:
         for item in distinct:
             if (two := self.pair(lengths[item] + gap)) and offer(gap, [item], list(two)):
                 return True
-        few = own[:24]
-        for i, first in enumerate(few):
-            for second in few[i + 1 :]:
-                x = lengths[first] + lengths[second]
-                y = self.largest(x + gap)
-                if offer(y - x, [first, second], [y]):
-                    return True
+        alike: dict[int, list[int]] = {}
+        for item in own:
+            alike.setdefault(lengths[item], []).append(item)
+        sums = {2 * x: items[:2] for x, items in alike.items() if len(items) > 1}
+        for i, first in enumerate(distinct):
+            for second in distinct[i + 1 :]:
+                sums.setdefault(lengths[first] + lengths[second], [first, second])
+        for x, both in sums.items():
+            y = self.largest(x + gap)
+            if offer(y - x, both, [y]):
+                return True
         if (two := self.pair(gap)) and offer(gap, [], list(two)):
             return True
         return any(self.apply(b, give, sizes) for _, give, sizes in sorted(options, key=lambda o: -o[0]))
 
 
-def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, passes: int = 3) -> list[list[int]]:
+def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, passes: int | None = None) -> list[list[int]]:
     """Raise the sum of squared fills by moves and swaps between underfull bins, until none helps.
 
     Bins are filled from the fullest on, out of emptier ones, whose items are the donors; the
-    emptiest bins end up without items and go. ``passes`` bounds the number of rounds.
+    emptiest bins end up without items and go. Each change raises the sum, so rounds end; ``passes`` bounds their number, if given.
     """
     total = sum(lengths)
     least = -(-total // capacity)
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         if len(bins) <= least:
             break
         search = _Search(lengths, bins, capacity)

@@ -343,6 +343,13 @@ def test_swaps_empty_bins():
     assert len(better) == 2
 
 
+def test_swaps_try_every_pair_of_a_bin():
+    """Only the last two of 26 pieces can be given for a longer one."""
+    lengths = [7] * 24 + [3, 5, 13, 13]
+    found = packing.swap_search(lengths, [list(range(26)), [26], [27]], 181)
+    assert max(sum(lengths[i] for i in b) for b in found) == 181 and sorted(i for b in found for i in b) == list(range(28))
+
+
 def test_search_keeps_items_and_raises_fill():
     saved = 0
     for seed in range(200):
