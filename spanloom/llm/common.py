@@ -53,6 +53,10 @@ class Scratch:
         self._tables.append(out)
         return out
 
+    def tables(self) -> list[DataFrame]:
+        """The tables that are not dropped."""
+        return [df for df in self._tables if id(df) in self._paths]
+
     def keep_only(self, *wanted: DataFrame) -> None:
         """Drop every table but these: no later step may read the others."""
         for key in set(self._paths) - {id(df) for df in wanted}:

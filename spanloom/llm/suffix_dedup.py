@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by longest-previous-factor arrays over sampled suffixes.
+"""Removal of repeated substrings by longest-previous-factor arrays over dealt suffixes.
 
 One suffix array of a whole corpus fits no machine, so suffixes are dealt to tasks such
 that all suffixes with equal first ``min_bytes`` bytes (a *window*) meet:
@@ -7,15 +7,15 @@ that all suffixes with equal first ``min_bytes`` bytes (a *window*) meet:
   Equal windows pick equal anchors at equal offsets. Consecutive windows of a text with one
   anchor form a *run*, so a text has about ``2 / (min_bytes - k)`` runs a byte.
 * Anchors that occur once settle their windows: those repeat nowhere. Runs of equal content
-  settle each other: all their windows repeat.
+  settle each other: all their windows repeat. Contents are told apart by 128-bit hashes.
 * What is left, one run of each content for anchors with runs of several contents, goes to
-  the task of its anchor as a list of window fingerprints. There the suffixes are put into
-  suffix order, compared on their first ``min_bytes`` bytes, equal ones by position, and the
-  previous and next smaller positions in that order tell whether a suffix has an earlier
-  match of that length, which is what a longest-previous-factor array of at least
-  ``min_bytes`` says.
-
-Windows and runs are compared by 64-bit rolling hashes, always inside one anchor and offset.
+  the task of its anchor with its bytes. There the suffixes that begin the windows are put
+  into suffix order by prefix doubling, the previous and next smaller positions in that order
+  are found, and the longer of the two matches is the suffix's longest previous factor. A
+  window repeats an earlier one exactly if that factor has ``min_bytes`` bytes.
+* An anchor with too many contents for one task is cut finer: its windows are dealt by their
+  distance to the anchor and the bytes that all windows of such a block share, first in a few
+  blocks, then one by one, and equal pieces settle each other again. Equal windows still meet.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, frugal, text_or_empty
 
 CHUNK = 500_000
+#: Bytes of dealt runs that are put into suffix order at once.
+AT_ONCE = 2_000_000
+#: Contents of an anchor from which it is cut finer, and the blocks of the first cut.
+SPREAD_FROM, BLOCKS = 1000, 8
 _POSITION_BITS = 21
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_ONE = np.uint64(1)
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-ANCHORS = "anchor long, run long, doc long, start long, windows int, off int"
-WINDOWS = "key long, doc long, start long, off int, picked binary, prints binary"
+ANCHORS = "anchor long, run binary, doc long, start long, windows int, off int"
+PIECES = "anchor long, doc long, start long, bytes binary"
 RANGES = "doc long, first long, last long"
 
 
@@ -59,7 +61,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring of a buffer from one array of prefix sums, modulo 2**64."""
+    """Hashes of the k-grams of a buffer from one array of prefix sums, modulo 2**64.
+
+    They only choose and name anchors: unequal grams with one hash share a task, no more.
+    """
 
     _up: np.ndarray = _powers(_BASE, 1)
     _down: np.ndarray = _powers(1, 1)
@@ -72,9 +77,6 @@ class Rolling:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[np.frombuffer(buffer, np.uint8)] * Rolling._up[:n], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Rolling._down[start])
-
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
         return mix((self.sums[size:] - self.sums[:n]) * Rolling._down[:n])
@@ -95,14 +97,15 @@ def gram_size(min_bytes: int) -> int:
     return max(1, min(64, min_bytes // 4))
 
 
-def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, content hash, first window, number of windows and anchor's offset of each run.
 
     ``starts`` and ``ends`` delimit the texts that the buffer joins; windows never cross them.
     """
+    from xxhash import xxh3_128_digest
+
     gram = gram_size(size)
-    rolling = Rolling(buffer)
-    hashes = rolling.all(gram)
+    hashes = Rolling(buffer).all(gram)
     low = np.uint64(_POSITION_BITS)
     key = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
     at = (sliding_minimum(key, size - gram + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
@@ -115,10 +118,9 @@ def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tupl
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     count = np.diff(np.r_[first, len(at)])
     begin, anchor = window[first], at[first]
-    off = anchor - begin
-    content = rolling.of(begin, begin + count - 1 + size)
-    content = mix(content + mix(count.astype(np.uint64) * np.uint64(_BASE) + off.astype(np.uint64)))
-    return hashes[anchor], content, begin, count, off
+    view = memoryview(buffer)
+    content = [xxh3_128_digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + size).tolist(), strict=True)]
+    return hashes[anchor], content, begin, count, anchor - begin
 
 
 def _buffers(texts: Iterator[tuple[int, bytes]], size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -155,154 +157,279 @@ def anchors(rows: DataFrame, size: int) -> DataFrame:
                 anchor, content, begin, count, off = runs(buffer, starts, ends, size)
                 text = np.searchsorted(starts, begin, side="right") - 1
                 start = begin - starts[text] + np.array(bases)[text]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        pa.array(docs[np.array(ids)[text]]),
-                        pa.array(start),
-                        pa.array(count.astype(np.int32)),
-                        pa.array(off.astype(np.int32)),
-                    ],
-                    names=["anchor", "run", "doc", "start", "windows", "off"],
-                )
+                yield _runs_batch(anchor.view(np.int64), content, docs[np.array(ids)[text]], start, count, off)
 
     return rows.mapInArrow(frugal(run), ANCHORS)
 
 
-def window_prints(rows: DataFrame, size: int) -> DataFrame:
-    """Fingerprints of the windows of chosen runs (``doc, text, runs``), dealt to salted keys."""
+def _runs_batch(anchor, content, doc, start, windows, off) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = (anchor, content, doc, start, np.asarray(windows, np.int32), np.asarray(off, np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "run", "doc", "start", "windows", "off"]
+    )
+
+
+def _with_text(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``doc, text, runs``: the texts that hold chosen runs (doc, anchor, start, windows, off)."""
+    own = chosen.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "off")).alias("runs"))
+    return rows.join(own, "doc").select("doc", "text", "runs")
+
+
+def _each_run(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, dict]]:
+    for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        text = text.as_py()
+        for r in own.as_py():
+            yield doc, text, r
+
+
+def finer(rows: DataFrame, chosen: DataFrame, size: int, blocks: int) -> DataFrame:
+    """Chosen runs cut into ``blocks`` by the windows' distance to the anchor, as runs of finer anchors.
+
+    The finer anchor is the block with the bytes that all of its windows share.
+    """
+    reach = size - gram_size(size) + 1
+    width = -(-reach // blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, r in _each_run(batch):
+                at = r["start"] + r["off"]
+                for block in range((r["off"] - r["windows"] + 1) // width, r["off"] // width + 1):
+                    near, far = block * width, min((block + 1) * width, reach) - 1
+                    high, low = min(far, r["off"]), max(near, r["off"] - r["windows"] + 1)
+                    start = at - high
+                    shared = xxh3_64_intdigest(text[at - near : at - far + size], block)
+                    key = (shared ^ (r["anchor"] & 0xFFFFFFFFFFFFFFFF)) - (1 << 63)
+                    out.append((key, xxh3_128_digest(text[start : at - low + size]), doc, start, high - low + 1, high))
+                if len(out) >= 20_000:
+                    yield _runs_batch(*zip(*out, strict=True))
+                    out = []
+            if out:
+                yield _runs_batch(*zip(*out, strict=True))
+
+    return _with_text(rows, chosen).mapInArrow(frugal(run), ANCHORS)
+
+
+def pieces(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """The bytes of chosen runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "start", "bytes"])
+
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                text = text.as_py()
-                own = sorted(own.as_py(), key=lambda r: r["start"])
-                at = 0
-                while at < len(own):
-                    base = own[at]["start"]
-                    upto = at
-                    while upto < len(own) and own[upto]["start"] < base + CHUNK:
-                        upto += 1
-                    rolling = Rolling(text[base : own[upto - 1]["start"] + 2 * size])
-                    for r in own[at:upto]:
-                        s = r["start"] - base + np.arange(r["windows"])
-                        prints = rolling.of(s, s + size)
-                        spread = r["spread"]
-                        if spread == 1:
-                            out.append((r["anchor"], doc, r["start"], r["off"], b"", prints.tobytes()))
-                            continue
-                        salt = (prints >> np.uint64(7)) % np.uint64(spread)
-                        for k in np.unique(salt).tolist():
-                            picked = np.flatnonzero(salt == np.uint64(k))
-                            key = int(mix(np.array([r["anchor"]], np.int64).view(np.uint64) + np.uint64(k + 1)).view(np.int64)[0])
-                            out.append((key, doc, r["start"], r["off"], picked.astype("<i4").tobytes(), prints[picked].tobytes()))
-                    at = upto
-                    if len(out) >= 5000:
-                        yield _as_batch(out)
-                        out = []
+            for doc, text, r in _each_run(batch):
+                out.append((r["anchor"], doc, r["start"], text[r["start"] : r["start"] + r["windows"] - 1 + size]))
+                if len(out) >= 5000:
+                    yield made(out)
+                    out = []
             if out:
-                yield _as_batch(out)
+                yield made(out)
+
+    return _with_text(rows, chosen).mapInArrow(frugal(run), PIECES)
 
-    return rows.mapInArrow(frugal(run), WINDOWS)
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on, equal ones for equal keys."""
+    order = np.argsort(key)
+    own = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[True, own[1:] != own[:-1]]) if len(key) else own
+    return rank
 
-def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["key", "doc", "start", "off", "picked", "prints"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+class SuffixOrder:
+    """Suffixes of a buffer in the order of their first ``size`` bytes, equal ones by position.
+
+    Prefix doubling: the rank of the first 2 h bytes comes from the ranks of two halves. The
+    ranks of every length are kept, since they give the common prefix of any two suffixes.
+    """
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, size: int):
+        """``at``: the suffixes asked for, in ascending order, each with ``size`` bytes or more (or to the end)."""
+        n = len(text)
+        self.size, self.at = size, at
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+        self.levels: list[tuple[int, np.ndarray]] = []
+        if size <= 8:
+            last = _dense(self.words[at] >> np.uint64(64 - 8 * size))
+        else:
+            rank, h = _dense(self.words), 8
+            self.levels.append((h, rank.astype(np.int32)))
+            while 2 * h <= size:
+                rank = _dense(self._joined(rank, np.arange(n), h))
+                h *= 2
+                self.levels.append((h, rank.astype(np.int32)))
+            last = _dense(self._joined(rank, at, size - h)) if size > h else rank[at]
+        self.order = np.argsort(last * (len(at) + 1) + np.arange(len(at)))
+
+    @staticmethod
+    def _joined(rank: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
+        """Sort keys of two ranks: that of the suffix, and that ``h`` further on (0 beyond the end)."""
+        second = np.append(rank, 0)[np.minimum(at + h, len(rank))]
+        return rank[at] * (len(rank) + 2) + second
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The common prefix of suffixes at ``a`` and ``b``, ``size`` at most."""
+        n, length = len(self.words), np.zeros(len(a), np.int64)
+        for h, rank in reversed(self.levels):
+            x, y = a + length, b + length
+            inside = (length + h <= self.size) & (np.maximum(x, y) + h <= n)
+            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+            length += np.where(same, h, 0)
+        x, y = a + length, b + length
+        differ = self.words[np.minimum(x, n - 1)] ^ self.words[np.minimum(y, n - 1)]
+        equal = np.full(len(a), 8, np.int64)
+        for k in range(7, -1, -1):
+            equal[differ >> np.uint64(56 - 8 * k) & np.uint64(255) != 0] = k
+        rest = np.minimum(np.minimum(self.size - length, n - np.maximum(x, y)), 8)
+        return length + np.minimum(equal, np.maximum(rest, 0))
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1.
+
+    All places look back at once: one whose candidate is not smaller takes its candidate's.
+    """
+    at = np.arange(len(values)) - 1
+    todo = np.flatnonzero((at >= 0) & (values[at] > values))
+    while len(todo):
+        at[todo] = at[at[todo]]
+        todo = todo[(at[todo] >= 0) & (values[at[todo]] > values[todo])]
+    return at
 
 
-def repeated_suffixes(key: np.ndarray, off: np.ndarray, prints: np.ndarray, later: bool) -> np.ndarray:
-    """Which suffixes, given in order of position, match another (``later``: an earlier) one.
+def longest_previous(text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factors of the suffixes ``at`` among them, and the place in ``at`` of that earlier match or -1.
 
-    Suffix order here is the order of the windows' fingerprints, equal ones by position. In a
-    class of equal windows the previous smaller position of a suffix is its predecessor and
-    there is no next smaller one, so its longest previous factor reaches the window's size
-    exactly if it has a predecessor in its class.
+    Factors are counted up to ``size`` bytes. Of the suffixes before one in the text, the one
+    with the longest match is its previous or its next smaller position in suffix order
+    (Crochemore and Ilie, 2008).
     """
-    window = mix(prints + mix(key.view(np.uint64) + off.astype(np.uint64) * np.uint64(_BASE)))
-    order = np.argsort(window, kind="stable")
-    same = window[order[1:]] == window[order[:-1]]
-    found = np.zeros(len(window), bool)
-    found[order[1:][same]] = True
+    best, match = np.zeros(len(at), np.int64), np.full(len(at), -1)
+    if not len(at):
+        return best, match
+    ordered = SuffixOrder(text, at, size)
+    order = ordered.order
+    before = previous_smaller(order)
+    after = len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    for near in (before, after):
+        real = np.flatnonzero((near >= 0) & (near < len(order)))
+        own, earlier = order[real], order[near[real]]
+        length = ordered.common(at[own], at[earlier])
+        better = length > best[own]
+        best[own[better]], match[own[better]] = length[better], earlier[better]
+    return best, match
+
+
+def repeated_windows(text: np.ndarray, at: np.ndarray, size: int, later: bool) -> np.ndarray:
+    """Which windows, given in order of position, match another (``later``: an earlier) one."""
+    factor, match = longest_previous(text, at, size)
+    found = factor >= size
     if not later:
-        found[order[:-1][same]] = True
+        found[match[found]] = True
     return found
 
 
 def _matched(size: int, later: bool):
-    """A mapInArrow function over rows of ``WINDOWS`` sorted by key: ranges of bytes to remove."""
+    """A mapInArrow function over ``PIECES`` sorted by anchor: ranges of bytes to remove."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        key, doc, start, off = (table.column(c).to_numpy() for c in ("key", "doc", "start", "off"))
+        doc, start = (table.column(c).to_numpy() for c in ("doc", "start"))
         order = np.lexsort((start, doc))
-        prints = table.column("prints").to_pylist()
-        picked = table.column("picked").to_pylist()
-        n = np.array([len(prints[i]) // 8 for i in order])
-        row = np.repeat(order, n)
-        j = np.concatenate([np.frombuffer(picked[i], "<i4") if picked[i] else np.arange(len(prints[i]) // 8) for i in order])
-        flat = np.frombuffer(b"".join(prints[i] for i in order), np.uint64)
-        found = np.flatnonzero(repeated_suffixes(key[row], off[row] - j, flat, later))
+        doc, start = doc[order], start[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]  # rows alike in id and text bring a piece twice
+        order, doc, start = order[new], doc[new], start[new]
+        own = table.column("bytes").to_pylist()
+        own = [own[i] for i in order.tolist()]
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        windows = n - size + 1
+        begin = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(own)), windows)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        found = np.flatnonzero(repeated_windows(np.frombuffer(b"".join(own), np.uint8), begin[row] + j, size, later))
         row, j = row[found], j[found]
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
-        last = np.r_[new[1:], len(row)] - 1 if len(row) else new
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
+        last = np.r_[first[1:], len(row)] - 1 if len(row) else first
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row[new]]), pa.array(start[row[new]] + j[new]), pa.array(start[row[last]] + j[last] + size)],
+            [pa.array(doc[row[first]]), pa.array(start[row[first]] + j[first]), pa.array(start[row[last]] + j[last] + size)],
             names=["doc", "first", "last"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, rows = None, 0
+        waiting, held = [], 0
         for batch in batches:
-            part = pa.Table.from_batches([batch])
-            waiting = part if waiting is None else pa.concat_tables([waiting, part])
-            if waiting.num_rows < 20_000:
-                continue
-            key = waiting.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield solve(waiting.slice(0, cut))
-                waiting = waiting.slice(cut)
-        if waiting is not None and waiting.num_rows:
-            yield solve(waiting)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                waiting.append(part)
+                held += part.column("bytes").nbytes
+                if held < AT_ONCE:
+                    continue
+                table = pa.Table.from_batches(waiting)
+                anchor = table.column("anchor").to_numpy()
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                if cut:
+                    yield solve(table.slice(0, cut))
+                    waiting = table.slice(cut).to_batches()
+                    held = sum(x.column("bytes").nbytes for x in waiting)
+        if waiting:
+            yield solve(pa.Table.from_batches(waiting))
 
     return run
 
 
-def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, spread_from: int = 1000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, spread_from: int | None = None) -> DataFrame:
     """``doc, first, last``: byte ranges of ``rows`` (doc, text as binary) made of repeated windows."""
-    every = scratch.save(anchors(rows, size))
-    # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
-    often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    shared = scratch.save(every.join(often, "anchor"))
-    scratch.drop(every)
-    place = F.struct("doc", "start", "windows", "off")
-    contents = scratch.save(
-        shared.groupBy("anchor", "run")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
-        .select("anchor", "run", "n", "place.*")
-    )
-    copies = contents.where("n > 1").select("anchor", "run", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
-    settled = shared.join(copies, ["anchor", "run"])
-    if later:
-        settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
-    settled = settled.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + size).alias("last"))
-    open_anchors = scratch.save(
-        contents.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least"))
-        .where("runs > 1" if later else "least = 1")
-        .select("anchor", F.ceil(F.col("runs") / spread_from).cast("int").alias("spread"))
-    )
-    chosen = (
-        contents.join(open_anchors, "anchor")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("anchor", "start", "windows", "off", "spread")).alias("runs"))
-    )
-    prints = window_prints(rows.join(chosen, "doc").select("doc", "text", "runs"), size)
-    matched = prints.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_matched(size, later)), RANGES)
-    return scratch.save(settled.unionByName(matched))
+    most = SPREAD_FROM if spread_from is None else spread_from
+    every = anchors(rows, size)
+    found: DataFrame | None = None
+    for blocks in (BLOCKS, size, None):
+        every = scratch.save(every)
+        # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
+        often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+        shared = scratch.save(every.join(often, "anchor"))
+        scratch.drop(every)
+        scratch.drop(often)
+        place = F.struct("doc", "start", "windows", "off")
+        contents = scratch.save(
+            shared.groupBy("anchor", "run")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+            .select("anchor", "run", "n", "place.*")
+        )
+        copies = contents.where("n > 1").select("anchor", "run", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
+        settled = shared.join(copies, ["anchor", "run"])
+        if later:
+            settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
+        settled = scratch.save(
+            settled.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + size).alias("last"))
+        )
+        scratch.drop(shared)
+        found = settled if found is None else found.unionByName(settled)
+        if blocks is None:  # single windows: equal ones have settled each other
+            break
+        open_anchors = scratch.save(
+            contents.groupBy("anchor")
+            .agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least"))
+            .where("runs > 1" if later else "runs > 1 AND least = 1")
+            .select("anchor", (F.col("runs") > most).alias("hot"))
+        )
+        chosen = scratch.save(contents.join(open_anchors, "anchor").select("anchor", "doc", "start", "windows", "off", "hot"))
+        scratch.drop(contents)
+        cold = pieces(rows, chosen.where("NOT hot"), size).repartition("anchor").sortWithinPartitions("anchor")
+        found = found.unionByName(scratch.save(cold.mapInArrow(frugal(_matched(size, later)), RANGES)))
+        hot = chosen.where("hot")
+        if hot.isEmpty():
+            break
+        every = finer(rows, hot, size, blocks)
+    return found
 
 
 def union_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -341,19 +468,35 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-_NO_ID = -(1 << 63)
+def _numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_doc``, a long that tells rows apart and stands in the order of ids.
+
+    The id itself, if all ids are there and differ. Otherwise the distinct pairs of id and text
+    (by its MD5) are sorted and numbered, so rows that repeat both share a number.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
+    odd = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("_id IS NULL OR n > 1")
+    if odd.isEmpty():
+        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+    tagged = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_md5", F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
+    numbers = tagged.select("_id", "_md5").distinct().sort("_id", "_md5").withColumn("_doc", F.monotonically_increasing_id())
+    numbers = scratch.save(numbers).select(F.col("_id").alias("_id2"), F.col("_md5").alias("_md52"), "_doc")
+    joined = tagged.join(numbers, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_md5") == F.col("_md52")))
+    return scratch.save(joined.select(*docs.columns, "_doc"))
 
 
 def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
-    rows = docs.select(doc, text_or_empty(text_col).cast("binary").alias("text"))
+    columns = docs.columns
+    docs = _numbered(docs, scratch, id_col, text_col)
+    kept = scratch.tables()
+    rows = docs.select(F.col("_doc").alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
     found = repeated_ranges(rows, min_bytes, later, scratch)
-    scratch.keep_only(found)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    whole = docs.select(doc, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    by_doc = scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_ranges")))
+    scratch.keep_only(by_doc, *kept)
+    whole = docs.select(F.col("_doc").alias("doc"), F.struct(*[F.col(c) for c in columns]).alias("_row"))
     return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
 
 
@@ -396,11 +539,12 @@ def suffix_dedup(
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, where spans are maximal
     removed runs; ``without_repeats`` returns the remaining texts. Null texts count as empty.
-    Rows that repeat an id, null included, count as occurrences each, and the ranges found
-    for an id apply to all its rows; so ids should be unique, or repeat with the same text.
-    An empty table gives an empty result; other columns are ignored.
+    Rows that repeat an id, null included, are texts of their own, in the order of id (null
+    first) and MD5 of the text. Rows that repeat id and text are occurrences each, but treated
+    alike: with ``later`` all stay if they are the first. An empty table gives an empty
+    result; other columns are ignored.
     """
-    marked = _marked(docs, min_bytes, later, id_col, text_col)
+    marked = _marked(docs.select(id_col, text_col), min_bytes, later, id_col, text_col)
     found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), F.arrow_udf(_digest, DIGEST_DDL)("_text", "_ranges").alias("_found"))
     return found.select("doc_id", "_found.*")
 

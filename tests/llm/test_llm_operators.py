@@ -269,6 +269,52 @@ def test_suffix_dedup_odd_tables(spark):
     assert suffix_dedup.suffix_dedup(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("later", [False, True])
+def test_suffix_dedup_of_repeated_and_null_ids(spark, later):
+    texts = [t for t in dict.fromkeys(passages(5)) if t]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashlib.md5(texts[i].encode()).digest()))
+    data = [texts[i].encode() for i in order]
+    cover = removed_by_hand(data, 60, later)
+    found = suffix_dedup.suffix_dedup(documents(spark, texts, ids), 60, later).collect()
+    expected = [(ids[i], len(b), int(c.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~c].tobytes()).hexdigest()) for i, b, c in zip(order, data, cover, strict=True)]
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in found), key=key) == sorted(expected, key=key)
+    left = suffix_dedup.without_repeats(documents(spark, texts, ids), 60, later, length_col="n_chars")
+    assert left.count() == len(texts) and left.columns == documents(spark, texts).columns
+
+
+def test_rows_that_repeat_id_and_text_stay_alike(spark):
+    df = documents(spark, ["abcdefgh" * 20] * 2 + ["z" + "abcdefgh" * 20], [1, 1, 2])
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df, 100, True).collect()) == [(1, 152)] * 2 + [(2, 160)]
+
+
+def test_thue_morse_texts_are_not_mistaken(spark):
+    bit = lambda i: bin(i).count("1") & 1
+    one = "".join("ab"[bit(i)] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = documents(spark, ["1" + one + "1", "2" + other + "2"])
+    cover = removed_by_hand([b"1" + one.encode() + b"1", b"2" + other.encode() + b"2"], 2048, False)
+    assert [int(c.sum()) for c in cover] == [0, 0]
+    assert [r.n_removed for r in suffix_dedup.suffix_dedup(df, 2048, False).collect()] == [0, 0]
+
+
+def factors_by_hand(text, at, size):
+    common = lambda p, q: next((k for k in range(size) if max(p, q) + k >= len(text) or text[p + k] != text[q + k]), size)
+    return [max((common(p, q) for q in at[:i]), default=0) for i, p in enumerate(at)]
+
+
+@pytest.mark.parametrize("size", [1, 5, 8, 9, 16, 33, 100])
+def test_longest_previous_factors(size):
+    rng = random.Random(size)
+    for n in (0, 1, 40, 150):
+        for text in (bytes(rng.choice(b"ab") for _ in range(n)), b"ab" * (n // 2) + b"x" * n):
+            at = sorted(rng.sample(range(len(text)), len(text) * 2 // 3))
+            factor, match = suffix_dedup.longest_previous(np.frombuffer(text, np.uint8), np.array(at, int), size)
+            assert factor.tolist() == factors_by_hand(text, at, size)
+            assert all(m < i and factors_by_hand(text, [at[m], at[i]], size)[1] == f for i, (f, m) in enumerate(zip(factor.tolist(), match.tolist(), strict=True)) if f)
+
+
 def test_long_text_in_chunks(spark, monkeypatch):
     rng = random.Random(0)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
