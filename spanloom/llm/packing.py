@@ -1,4 +1,5 @@
-"""Best-fit packing of token sequences, improved by swaps between underfull bins."""
+"""Packing of token sequences by local search: moves and swaps between underfull bins raise the
+sum of squared fills until bins empty. The search starts from a cheap first packing."""
 
 from __future__ import annotations
 
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +27,19 @@ class WordTokenizer:
     """A tokenizer whose tokens never span white space; remembers the ids of words.
 
     ``encode`` returns ids as little-endian unsigned 32-bit integers, equal to those of the
-    library for the whole text without added special tokens. Special tokens' own strings
-    are ordinary text. A word of Latin letters, which normalising and splitting leave in one
-    piece, goes straight to the library's merges; any other word takes the library's whole way.
+    library for the whole text without added special tokens. A text that holds the string of an
+    added token goes through the library whole. A word of Latin letters, which normalising and
+    splitting leave in one piece, goes straight to the library's merges; any other word takes
+    the library's whole way.
     """
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(data)
-        self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merges = self.library.model
         split = self.library.pre_tokenizer.pre_tokenize_str
         self.as_bytes = {i: split(chr(i))[0][0] for i in range(0x250) if chr(i).isalpha()}
@@ -58,6 +59,9 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         get = self.words.__getitem__
         for text in texts:
+            if any(token in text for token in self.added):
+                yield self._direct(text)
+                continue
             if text.isascii() or not _BEYOND_LATIN.search(text):
                 text = text.lower()  # what the library does, here before words are looked up
             yield self._direct(text) if _ODD_SPACE.search(text) else b"".join(map(get, text.split()))
@@ -131,6 +135,19 @@ def token_pieces(
     return rows.mapInArrow(frugal(run), PIECES + (", ids array<int>" if tokens else ""))
 
 
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item indices in the order given: an item that does not fit the bin at hand opens the next."""
+    bins: list[list[int]] = []
+    free = 0
+    for item in range(len(lengths)):
+        if lengths[item] > free:
+            bins.append([])
+            free = capacity
+        bins[-1].append(item)
+        free -= lengths[item]
+    return bins
+
+
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of item indices: longest item first, each into the fullest bin that still has room."""
     bins: list[list[int]] = []
@@ -156,6 +173,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def packed_bins(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search from next fit; if that leaves more bins than the sum of lengths asks for, also
+    from best fit, and the packing with fewer bins."""
+    bins = swap_search(lengths, next_fit(lengths, capacity), capacity)
+    if len(bins) > -(-sum(lengths) // capacity):
+        bins = min(bins, swap_search(lengths, best_fit(lengths, capacity), capacity), key=len)
+    return bins
+
+
 class _Search:
     """Local search over underfull bins; the items of donor bins are indexed by length."""
 
@@ -302,36 +328,53 @@ def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, passes
 def pack(pieces: DataFrame, capacity: int = 2048, group_size: int = 40_000) -> DataFrame:
     """Place pieces of at most ``capacity`` tokens into sequences; adds ``sequence_id, offset``.
 
-    Pieces are dealt at random, by a hash of document and piece, into groups of about
-    ``group_size``, and every group is packed by itself: best fit first, then local search.
-    A group has the same mix of lengths as the whole, and loses at most a few underfull
-    sequences, so the number of sequences does not depend on the number of groups but for
-    those. No group grows with the input. Pieces that repeat (doc_id, piece) are packed once
-    each. An empty table gives an empty result.
+    Pieces are dealt at random, row by row, into groups of about ``group_size``, and every
+    group is packed by itself: a cheap first packing, then local search until nothing helps.
+    The pieces of sequences that stay underfull, or if those are over half of all pieces, of
+    each group's emptiest sequence, are dealt again into fewer groups, until they are one. No
+    group grows with the input, whatever repeats. Rows that repeat (doc_id, piece) are packed once each, and null ids are ids
+    like any other. An empty table gives an empty result.
     """
-    n = pieces.count()
-    groups = max(1, -(-n // group_size))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        group = int(rows["group"].iloc[0])
-        rows = rows.drop(columns="group").sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
-        lengths = rows["length"].tolist()
-        part = [i for i, size in enumerate(lengths) if size < capacity]
-        own = [lengths[i] for i in part]
-        bins = swap_search(own, best_fit(own, capacity), capacity)
-        sequence = np.empty(len(rows), np.int64)
-        offset = np.zeros(len(rows), np.int64)
-        for b, items in enumerate(bins):
-            at = 0
-            for item in items:
-                sequence[part[item]], offset[part[item]] = b, at
-                at += own[item]
-        whole = np.flatnonzero(rows["length"].to_numpy() >= capacity)
-        sequence[whole] = len(bins) + np.arange(len(whole))
-        return rows.assign(sequence_id=(group << 32) + sequence, offset=offset)
-
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(run, PLACED)
+    spark = pieces.sparkSession
+    scratch = Scratch(spark, "pack")
+    columns = [f.split()[0] for f in PLACED.split(", ")]
+
+    def packed(rows: DataFrame, groups: int, base: int) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            group = table.column("group")[0].as_py() + base
+            table = table.drop_columns(["group"]).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+            lengths = table.column("length").to_numpy()
+            part = np.flatnonzero(lengths < capacity)
+            own = lengths[part].tolist()
+            bins = packed_bins(own, capacity)
+            sequence, offset, room = (np.zeros(len(lengths), np.int64) for _ in range(3))
+            for b, items in enumerate(bins):
+                sizes = lengths[part[items]]
+                sequence[part[items]], offset[part[items]] = b, np.cumsum(sizes) - sizes
+                room[part[items]] = capacity - sizes.sum()
+            whole = np.flatnonzero(lengths >= capacity)
+            sequence[whole] = len(bins) + np.arange(len(whole))
+            emptiest = (room > 0) & (sequence == sequence[np.argmax(room)])
+            for name, values in (("sequence_id", (group << 32) + sequence), ("offset", offset), ("underfull", room > 0), ("emptiest", emptiest)):
+                table = table.append_column(name, pa.array(values))
+            return table
+
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        return dealt.groupBy("group").applyInArrow(run, PLACED + ", underfull boolean, emptiest boolean")
+
+    n, base, rest, done, most = pieces.count(), 0, pieces, None, None
+    while True:
+        groups = max(1, min(-(-n // group_size), most or 1 << 62))
+        now = packed(rest, groups, base)
+        if groups == 1:
+            now = now.select(*columns)
+            return now if done is None else done.unionByName(now)
+        now = scratch.save(now)
+        left = "underfull" if 2 * now.where("underfull").count() <= n else "emptiest"
+        kept = now.where(f"NOT {left}").select(*columns)
+        done = kept if done is None else done.unionByName(kept)
+        rest = now.where(left).select(*columns[:5])
+        n, base, most = rest.count(), base + groups, groups // 2
 
 
 def pack_documents(
