@@ -4,6 +4,9 @@ Counts are exact and grow with the corpus. Each task cuts its texts into chunks
 chunk's distinct words and bigrams. The counts of words, then of bigrams, are dealt to buckets by
 the key, summed there, and the sums go back to the chunks that asked, in the order they were sent.
 No table of the corpus is gathered or broadcast.
+
+Both models are bigram models with the same smoothing over the vocabulary of all documents, and
+neither has seen the text it scores: a document's own counts are taken off before it is scored.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, frugal, text_or_empty
 from .features import word_blocks
 
-#: The least number of word types that smoothing assumes; a corpus with more counts its own.
-VOCABULARY = 1 << 15
-WEIGHT, SMOOTH = 0.5, 0.5
+#: The count that every word has beforehand, and the weight of the unigrams in tokens of a context.
+SMOOTH, PRIOR = 0.5, 4.0
+#: Target ids up to this number are broadcast (8 MB); more are joined by a shuffle of both sides.
+BROADCAST_IDS = 1_000_000
 #: A chunk is closed at this many tokens, a bucket gets about so many keys of all chunks.
 CHUNK_TOKENS = 700_000
 BUCKET_WORDS, BUCKET_PAIRS = 1_000_000, 2_000_000
@@ -34,26 +38,6 @@ CHUNK = (
 )
 
 
-def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The words above a count that at most ``most`` words exceed, most frequent first.
-
-    The bound is found on a histogram of logarithmic steps, so only the words themselves
-    reach the driver, and words with equal counts are all in or all out.
-    """
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, total = None, 0
-    for row in sorted(histogram, key=lambda r: -r["step"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["step"]
-    if least is None:
-        return []
-    found = counts.where(step >= least).collect()
-    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
-
-
 def cells(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The key of each pair of ids below 2^32: no two pairs share one."""
     return before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
@@ -262,11 +246,21 @@ def pair_totals(chunks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(total, "chunk long, bucket int, at binary, found binary")
 
 
-def losses(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, types: int) -> np.ndarray:
-    """The loss of each pair in nats from its counts; an unseen context leaves the unigram alone."""
+def losses(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: np.ndarray | int, types: int) -> np.ndarray:
+    """The loss of each pair in nats from its counts.
+
+    The unigram has a count of ``SMOOTH`` for every type beforehand, the bigram ``PRIOR`` tokens
+    dealt by the unigram, so the probabilities of any context add up to one over all types; an
+    unseen context leaves the unigram alone.
+    """
     unigram = (word + SMOOTH) / (tokens + SMOOTH * types)
-    weight = np.where(context > 0, WEIGHT, 0)
-    return -np.log(weight * pair / np.maximum(context, 1) + (1 - weight) * unigram)
+    return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
+
+
+def _own_counts(doc: np.ndarray, item: np.ndarray, size: int, count: np.ndarray) -> np.ndarray:
+    """For each row how often its item occurs in its document."""
+    _, at = np.unique(doc * size + item, return_inverse=True)
+    return np.bincount(at, count)[at] if len(at) else np.zeros(0)
 
 
 def score_documents(
@@ -277,27 +271,30 @@ def score_documents(
     Returns ``doc_id, n_tokens, target_loss, background_loss, score``: losses are means per
     token in nats and ``score`` is target minus background, so lower is closer to the target.
     The background model counts all documents and the target model those whose id is in
-    ``target_ids`` (one column named ``id_col``). Both use every lower-cased word and every
-    bigram of all documents with its exact count; unigrams are smoothed over the distinct words
-    of all documents and one more, 32,769 types at least. More than 2^32 word ids raise an error.
+    ``target_ids`` (one column named ``id_col``), every lower-cased word and every bigram with
+    its exact count; a document is scored by the counts of all others. Both models share the
+    distinct words of all documents and one unseen word as their types. More than 2^32 word
+    ids raise an error.
 
     Texts without words, null ones included, have 0 tokens and score 0. Repeated rows are
-    counted and scored each; ids that repeat in ``target_ids`` or are null count once or not
-    at all; without target ids the target model is uniform. Other columns are ignored.
+    counted and scored each, as other documents to one another; ids that repeat in
+    ``target_ids`` or are null count once or not at all; without target ids the target model
+    is uniform. Other columns are ignored.
     """
     spark = docs.sparkSession
     targets = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
     bounded_batches(spark)
     scratch = Scratch(spark, "lm_scoring")
-    # Both sides are shuffled at any size: target ids grow with the corpus.
-    marked = rows.join(targets.hint("merge"), "_id", "left").select(
+    # Target ids grow with the corpus: their number decides how they are joined.
+    few = targets.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = rows.join(targets.hint("broadcast" if few else "merge"), "_id", "left").select(
         F.col("_id").cast("long").alias("id"), "text", F.coalesce("is_target", F.lit(False)).alias("is_target")
     )
     chunks = scratch.save(chunks_of(marked))
     sizes = {c: n or 0 for c, n in chunks.agg(*[F.sum(c).alias(c) for c in SIZES]).first().asDict().items()}
     words = scratch.save(word_totals(chunks, sizes["n_words"] // BUCKET_WORDS + 1))
-    types = max(words.agg(F.sum("distinct")).first()[0] or 0, VOCABULARY) + 1
+    types = (words.agg(F.sum("distinct")).first()[0] or 0) + 1
     buckets = sizes["n_pairs"] // BUCKET_PAIRS + 1
     pairs = scratch.save(pair_totals(chunks, words, buckets))
 
@@ -313,13 +310,24 @@ def score_documents(
             for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("found"), strict=True):
                 if bucket >= 0:
                     pair[:, order[starts[bucket] : starts[bucket + 1]]] = unpacked(found.as_py(), np.int64).reshape(2, -1)
-            full = n > 0
+            # The distinct pairs of each document, and what the document itself added to their counts.
+            of_token = np.repeat(np.arange(len(n)), n) * max(1, len(order)) + at
+            key, times = np.unique(of_token, return_counts=True)
+            doc, at = np.divmod(key, max(1, len(order)))
+            before, word = halves[0][at], halves[1][at]
+            own_before, own_word = (_own_counts(doc, x, size + 1, times) for x in (before, word))
+            wanted = unpacked(row["targets"], bool)
             for k, tokens, out in ((0, "n_tokens", background), (1, "t_tokens", target)):
-                of_pair = losses(pair[k], known[3 + k][halves[0]], known[1 + k][halves[1]], sizes[tokens], types)
-                mean = np.zeros(len(n))
-                if full.any():
-                    mean[full] = np.add.reduceat(of_pair[at], (np.cumsum(n) - n)[full]) / n[full]
-                out.append(mean)
+                held = np.ones(len(n)) if k == 0 else wanted.astype(float)
+                own = held[doc]
+                of_pair = losses(
+                    pair[k][at] - own * times,
+                    known[3 + k][before] - own * own_before,
+                    known[1 + k][word] - own * own_word,
+                    sizes[tokens] - own * n[doc],
+                    types,
+                )
+                out.append(np.bincount(doc, of_pair * times, len(n)) / np.maximum(n, 1))
             ids += row["ids"]
             lengths.append(n)
         n, target, background = (np.concatenate([*x, np.empty(0, kind)]) for x, kind in ((lengths, np.int64), (target, float), (background, float)))
@@ -327,5 +335,5 @@ def score_documents(
         return pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     answers = words.select("chunk", "bucket", "at", "found").unionByName(pairs)
-    own = chunks.select("chunk", "n_words", "ids", "lengths", "tokens").groupBy("chunk")
+    own = chunks.select("chunk", "n_words", "ids", "targets", "lengths", "tokens").groupBy("chunk")
     return own.cogroup(answers.groupBy("chunk")).applyInArrow(run, OUT)
