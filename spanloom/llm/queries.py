@@ -37,8 +37,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # All links are found and verified; the columns are those of the SQL.
-    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100, all_links=True).drop("n_links")
+    """Components of 3-word shingle sets with a similarity of 0.9, and each document's number of links."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100, links=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,8 @@ ORACLES: dict[str, str] = {
         ), reach(i, j) AS (
             SELECT doc_id, doc_id FROM documents UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON r.j = b.i
         )
-        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.j) AS component_id
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.j) AS component_id,
+               (SELECT count(*) FROM both_ways b WHERE b.i = s.doc_id) AS n_links
         FROM sets s JOIN reach r ON s.doc_id = r.i GROUP BY ALL
     """,
     "op10_suffix_array_dedup": """

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, frugal, text_or_empty
+from .common import Scratch, bounded_batches, frugal, numbered_rows, text_or_empty
 
 CHUNK = 500_000
 #: Bytes of dealt runs that are put into suffix order at once.
@@ -468,29 +468,12 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_doc``, a long that tells rows apart and stands in the order of ids.
-
-    The id itself, if all ids are there and differ. Otherwise the distinct pairs of id and text
-    (by its MD5) are sorted and numbered, so rows that repeat both share a number.
-    """
-    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
-    odd = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("_id IS NULL OR n > 1")
-    if odd.isEmpty():
-        return docs.withColumn("_doc", F.col(id_col).cast("long"))
-    tagged = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_md5", F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
-    numbers = tagged.select("_id", "_md5").distinct().sort("_id", "_md5").withColumn("_doc", F.monotonically_increasing_id())
-    numbers = scratch.save(numbers).select(F.col("_id").alias("_id2"), F.col("_md5").alias("_md52"), "_doc")
-    joined = tagged.join(numbers, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_md5") == F.col("_md52")))
-    return scratch.save(joined.select(*docs.columns, "_doc"))
-
-
 def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     columns = docs.columns
-    docs = _numbered(docs, scratch, id_col, text_col)
+    docs, _ = numbered_rows(docs, scratch, id_col, text_col)
     kept = scratch.tables()
     rows = docs.select(F.col("_doc").alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
     found = repeated_ranges(rows, min_bytes, later, scratch)
@@ -540,7 +523,7 @@ def suffix_dedup(
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, where spans are maximal
     removed runs; ``without_repeats`` returns the remaining texts. Null texts count as empty.
     Rows that repeat an id, null included, are texts of their own, in the order of id (null
-    first) and MD5 of the text. Rows that repeat id and text are occurrences each, but treated
+    last) and MD5 of the text. Rows that repeat id and text are occurrences each, but treated
     alike: with ``later`` all stay if they are the first. An empty table gives an empty
     result; other columns are ignored.
     """
