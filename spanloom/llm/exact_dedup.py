@@ -18,9 +18,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids by the hash alone; Spark splits a hot hash there since nothing aggregates above it.
 
     Null text counts as empty, and empty texts form a group of their own. ``keep`` names the
-    survivor: the smallest (``min``) or largest (``max``) id. Rows that repeat an id with the
-    same text count in ``group_size`` and are flagged alike. An empty table gives an empty
-    result; other columns are ignored.
+    survivor: the smallest (``min``) or largest (``max``) id that is not null. Rows that repeat
+    an id with the same text count in ``group_size`` and are flagged alike; so are rows without
+    an id, which are kept only if no row of the text has one (``keep_id`` is null then). An
+    empty table gives an empty result; other columns are ignored.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
@@ -48,14 +49,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("_id").alias(id_col),
             "keep_id",
             "group_size",
-            (F.col("_id") == F.col("keep_id")).alias("kept"),
+            F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             "text_sha256",
         )
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` whose text has no other row that is kept before them; all columns stay."""
-    groups = exact_dedup(docs, id_col, text_col, keep)
-    dropped = groups.where(~F.col("kept")).select(F.col(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """One row of each text, the one with the smallest (``keep="min"``) or largest (``max``) id; all columns stay.
+
+    Rows are the unit, not ids: a row whose id repeats with another text is judged by its own
+    text, one row stays of those that repeat id and text, and a null id is chosen only if no
+    row of the text has one. Null text counts as empty; the row that stays keeps what it has.
+    One aggregation by MD5 and text, map-side first, so a task sends one row for each text.
+    """
+    if keep not in ("min", "max"):
+        raise ValueError("keep is 'min' or 'max'")
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(
+        F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("_hash"),
+        text_or_empty(text_col).alias("_text"),
+        F.struct(F.col(text_col).isNull().alias("_null"), F.struct(*[F.col(c) for c in others]).alias("_others")).alias("_row"),
+        F.col(id_col).alias("_id"),
+    )
+    missing, pick = (F.col("_id").isNull(), F.min_by) if keep == "min" else (F.col("_id").isNotNull(), F.max_by)
+    kept = rows.groupBy("_hash", "_text").agg(pick("_row", F.struct(missing.alias("missing"), "_id")).alias("_row"))
+    text = F.when(~F.col("_row._null"), F.col("_text")).alias(text_col)
+    return kept.select(*[text if c == text_col else F.col(f"_row._others.{c}").alias(c) for c in docs.columns])
