@@ -147,7 +147,8 @@ def test_jaccard_components(spark, seed, words, num, den):
 
 
 @pytest.mark.parametrize("seed, words, num, den", [(1, 3, 90, 100), (3, 1, 7, 10)])
-def test_jaccard_links_are_all_found(spark, seed, words, num, den):
+def test_jaccard_links_are_all_found(spark, monkeypatch, seed, words, num, den):
+    monkeypatch.setattr(jaccard_join, "SETS_AT_ONCE", 7)  # so that components are dealt to several cells
     texts = [*ODD, "A", "a", *near_copies(seed, families=3, each=30, edits=3)]
     sets = sets_of(texts, words)
     first = {s: i for i, s in reversed(sets.items())}
@@ -162,19 +163,46 @@ def test_jaccard_links_are_all_found(spark, seed, words, num, den):
     found = [tuple(sorted((r.x, r.y))) for r in found.collect()]
     assert len(found) == len(links) and set(found) == links
     assert {r.id: r.member_of for r in members.collect()} == {i: first[s] for i, s in sets.items() if s}
-    degree = Counter(i for link in links for i in link)
-    rows = jaccard_join.jaccard_components(awkward(documents(spark, texts)), words, num, den, all_links=True).collect()
+    texts += texts[5:25] + texts[5:15]
+    sets = sets_of(texts, words)
+    similar = lambda a, b: den * len(a & b) >= num * len(a | b)
+    degree = {i: sum(i != j and bool(s) and similar(s, t) for j, t in sets.items()) for i, s in sets.items()}
+    rows = jaccard_join.jaccard_components(awkward(documents(spark, texts)), words, num, den, links=True).collect()
     expected = components_by_hand(sets, num, den)
-    assert {r.doc_id: (r.component_id, r.n_links) for r in rows} == {i: (expected[i], degree[first[s]] if s else 0) for i, s in sets.items()}
+    assert {r.doc_id: (r.component_id, r.n_links) for r in rows} == {i: (expected[i], degree[i]) for i in sets}
 
 
 def test_jaccard_odd_tables(spark):
-    df = documents(spark, ["a b c d", "a b c d", "x y z", None], [7, 7, None, 3])
-    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 9, 10).collect()), key=repr)
-    assert found == sorted([(7, 2, 7), (7, 2, 7), (None, 0, None), (3, 0, 3)], key=repr)
+    texts, ids = ["a b c d", "a b c d", "x y z", None, "A b c d", "x y z", "q"], [7, 7, None, 3, 7, 9, None]
+    df = documents(spark, texts, ids)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(df, 3, 9, 10, links=True).collect()), key=repr)
+    assert found == sorted([(7, 2, 7, 2)] * 3 + [(None, 1, 9, 1), (3, 0, 3, 0), (9, 1, 9, 1), (None, 1, None, 0)], key=repr)
     assert jaccard_join.jaccard_components(df.where("false")).count() == 0
+    assert jaccard_join.jaccard_components(df.where("false"), links=True).count() == 0
     kept = jaccard_join.keep_one_of_each(documents(spark, ["a b c d e f", "a b c d e f", "q", None, ""]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
+    kept = jaccard_join.keep_one_of_each(awkward(df), 3, 9, 10)
+    assert kept.columns == awkward(df).columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr) == sorted([(7, "a b c d"), (9, "x y z"), (3, ""), (None, "q")], key=repr)
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_drop_copies_judges_rows(spark, keep):
+    rows = [(3, "a"), (5, "a"), (5, "b"), (5, "b"), (None, "a"), (None, "c"), (None, "c"), (2, ""), (1, None), (9, "")]
+    df = awkward(documents(spark, [t for _, t in rows], [i for i, _ in rows]))
+    kept = exact_dedup.drop_copies(df, keep=keep)
+    assert kept.columns == df.columns and kept.schema["text"].dataType == df.schema["text"].dataType
+    expected = [(3, "a"), (5, "b"), (None, "c"), (1, None)] if keep == "min" else [(5, "a"), (5, "b"), (None, "c"), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+    assert exact_dedup.drop_copies(df.where("false")).count() == 0
+    found = exact_dedup.exact_dedup(df, keep=keep).collect()
+    by_hand = {"a": 3 if keep == "min" else 5, "b": 5, "c": None, "": 1 if keep == "min" else 9}
+    texts = {hashlib.sha256(t.encode()).hexdigest(): t for t in by_hand}
+    size = Counter(t or "" for _, t in rows)
+    assert len(found) == len(rows)
+    for r in found:
+        t = texts[r.text_sha256]
+        assert (r.keep_id, r.group_size, r.kept) == (by_hand[t], size[t], r.doc_id == by_hand[t])
 
 
 def test_components_of_chains(spark):
@@ -273,7 +301,7 @@ def test_suffix_dedup_odd_tables(spark):
 def test_suffix_dedup_of_repeated_and_null_ids(spark, later):
     texts = [t for t in dict.fromkeys(passages(5)) if t]
     ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashlib.md5(texts[i].encode()).digest()))
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, hashlib.md5(texts[i].encode()).digest()))
     data = [texts[i].encode() for i in order]
     cover = removed_by_hand(data, 60, later)
     found = suffix_dedup.suffix_dedup(documents(spark, texts, ids), 60, later).collect()
@@ -358,8 +386,7 @@ def test_packing_of_documents(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
-    texts = [*ODD, "İstanbul ΣΑΣ it's don't. a\x1cb é x,,", "word " * 5000, "<|endoftext|> x"]
+    texts = [*ODD, "İstanbul ΣΑΣ it's don't. a\x1cb é x,,", "word " * 5000, "<|endoftext|> x", "É<|startoftext|><|ENDOFTEXT|>  a"]
     expected = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     found = packing.pack_documents(awkward(documents(spark, texts)), P.path("word_bpe_49k.json"), 512).collect()
     import zlib
@@ -380,6 +407,48 @@ def test_packing_of_documents(spark):
     assert packing.pack_documents(documents(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_null_repeated_and_large_ids(spark, monkeypatch):
+    ids = [None, None, (1 << 60) + 1, (1 << 60) + 3, 7, 7, 7, None]
+    texts = ["a b", "c", "d e f", "g", "h", "h", "", None]
+    df = awkward(documents(spark, texts, ids))
+    found = packing.pack_documents(df, P.path("word_bpe_49k.json"), 4).collect()
+    expected = [(i, len((t or "").split()) + 1) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(((r.doc_id, r.length) for r in found), key=repr) == sorted(expected, key=repr)
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 4
+
+
+def test_leftovers_of_groups_are_packed_together(spark):
+    """Groups of 200 pieces would leave an underfull sequence each; repeated ids spread over groups."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 else i, 0, 0, rng.choice([rng.randint(1, 40), 64]), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, packing.PIECES)
+    found = packing.pack(df.repartition(5), 64, group_size=200).collect()
+    total = sum(r[3] for r in rows)
+    assert sorted(r.ids_crc32 for r in found) == list(range(6000))
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 64
+    assert len(bins) <= -(-total // 64) + 1
+
+
+def test_search_starts_from_a_poor_packing():
+    rng = random.Random(5)
+    lengths = [rng.choice([rng.randint(2, 400), rng.randint(300, 1900)]) for _ in range(3000)]
+    first = packing.next_fit(lengths, 2048)
+    least = -(-sum(lengths) // 2048)
+    found = packing.swap_search(lengths, [list(b) for b in first], 2048)
+    assert sorted(i for b in found for i in b) == list(range(3000)) and len(first) > least * 1.02
+    assert len(found) <= least + 1
+
+
 def test_swaps_empty_bins():
     # Best fit leaves three bins; exchanging one for one fits everything into two.
     lengths, bins = [6, 5, 5, 4], [[0], [1, 2], [3]]
@@ -517,46 +586,67 @@ def test_ordinal_thresholds_stay_in_order():
     assert score == sorted(score)
 
 
-def losses_by_hand(texts, counted):
-    """The same models with plain dictionaries; cells of bigrams are taken from the operator's hash."""
-    words = Counter(w for t in texts for w in (t or "").lower().split())
-    order = {w: i + 1 for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0])))}
-    start = lm_scoring.VOCABULARY + 1
-    uni, ctx, cell = Counter(), Counter(), Counter()
-
-    def pairs(t):
-        ids = [order[w] for w in (t or "").lower().split()]
-        return list(zip([start, *ids], ids))  # noqa: B905
+def losses_by_hand(texts, target):
+    """Both losses of each text, by plain dictionaries over all other texts."""
+    split = [(t or "").lower().split() for t in texts]
+    bigrams = [Counter(zip([None, *s], s, strict=False)) for s in split]
+    types = len({w for s in split for w in s}) + 1
 
-    for t in counted:
-        for a, b in pairs(t):
-            uni[b] += 1
-            ctx[a] += 1
-            cell[int(lm_scoring.cells(np.array([a]), np.array([b]))[0])] += 1
-    n = sum(uni.values())
-    out = []
-    for t in texts:
-        total = []
-        for a, b in pairs(t):
-            one = (uni[b] + 0.5) / (n + 0.5 * (lm_scoring.VOCABULARY + 1))
-            pair = min(cell[int(lm_scoring.cells(np.array([a]), np.array([b]))[0])], ctx[a])
-            p = 0.5 * pair / ctx[a] + 0.5 * one if ctx[a] else one
-            total.append(-np.log(p))
-        out.append(np.mean(total) if total else 0.0)
-    return out
+    def model(counted):
+        pairs, before, words = Counter(), Counter(), Counter()
+        for i in counted:
+            pairs.update(bigrams[i])
+        for (a, b), n in pairs.items():
+            before[a] += n
+            words[b] += n
+        return pairs, before, words, sum(words.values())
+
+    def loss(i, counted, pairs, before, words, n):
+        if not split[i]:
+            return 0.0
+        if i in counted:  # without the text itself
+            pairs, before, words, n = pairs - bigrams[i], Counter(before), Counter(words), n - len(split[i])
+            for (a, b), k in bigrams[i].items():
+                before[a] -= k
+                words[b] -= k
+        unigram = lambda w: (words[w] + 0.5) / (n + 0.5 * types)
+        return -np.mean([np.log((pairs[a, b] + 4 * unigram(b)) / (before[a] + 4)) for a, b in zip([None, *split[i]], split[i], strict=False)])
+
+    every = set(range(len(texts)))
+    known = [(set(target), *model(target)), (every, *model(every))]
+    return [tuple(loss(i, *m) for m in known) for i in range(len(texts))]
+
+
+def check_losses(found, texts, expected):
+    assert len(found) == len(texts)
+    for r in found:
+        own, background = expected[r.doc_id]
+        assert r.n_tokens == len((texts[r.doc_id] or "").split())
+        assert (r.target_loss, r.background_loss) == pytest.approx((own, background)) and r.score == pytest.approx(own - background)
 
 
-def test_lm_scores(spark):
+def test_lm_scores(spark, monkeypatch):
     texts = [*ODD, "a b c a b", "c d", "A b C"] + [f"w{i} a b w{i + 1}" for i in range(30)]
     target = [10, 12, 13, 3]
     ids = spark.createDataFrame([(i,) for i in [*target, 10, None, 999]], "doc_id long")
-    found = {r.doc_id: r for r in lm_scoring.score_documents(awkward(documents(spark, texts)), ids).collect()}
-    background, own = losses_by_hand(texts, texts), losses_by_hand(texts, [texts[i] for i in target])
-    for i in range(len(texts)):
-        r = found[i]
-        assert r.n_tokens == len((texts[i] or "").split())
-        assert (r.target_loss, r.background_loss) == pytest.approx((own[i], background[i])) and r.score == pytest.approx(own[i] - background[i])
+    expected = losses_by_hand(texts, target)
+    check_losses(lm_scoring.score_documents(awkward(documents(spark, texts)), ids).collect(), texts, expected)
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", 2)
+    check_losses(lm_scoring.score_documents(documents(spark, texts), ids).collect(), texts, expected)
     assert lm_scoring.score_documents(documents(spark, []), ids).count() == 0
+    found = lm_scoring.score_documents(documents(spark, ["a b", "a b", None], [1, 1, None]), ids.where("false")).collect()
+    assert sorted((r.n_tokens, round(r.target_loss, 9)) for r in found) == [(0, 0), *[(2, round(float(np.log(3)), 9))] * 2]
+
+
+def test_lm_probabilities_of_a_context_add_up_to_one():
+    rng = np.random.default_rng(0)
+    for total in (0, 1, 500):
+        words = rng.multinomial(total, np.ones(40) / 40)
+        pairs = rng.binomial(words, 0.3)
+        types = len(words) + 1
+        known = np.exp(-lm_scoring.losses(pairs, np.full(40, pairs.sum()), words, total, types)).sum()
+        unseen = np.exp(-lm_scoring.losses(np.zeros(1), np.array([pairs.sum()]), np.zeros(1), total, types)).sum()
+        assert known + unseen == pytest.approx(1)
 
 
 def test_lm_counts_have_no_caps(spark, monkeypatch):
@@ -567,30 +657,8 @@ def test_lm_counts_have_no_caps(spark, monkeypatch):
     texts = [" ".join(f"w{rng.randrange(70_000)}" for _ in range(3000)) for _ in range(100)] + ["", None]
     texts += [texts[3], "w1 neverseen w1 neverseen"]
     own = list(range(0, 100, 3))
-    split = [(t or "").split() for t in texts]
-
-    def model(counted):
-        words = Counter(w for i in counted for w in split[i])
-        before = Counter(w for i in counted for w in [None, *split[i]][:-1] if split[i])
-        return words, before, Counter(p for i in counted for p in zip([None, *split[i]], split[i], strict=False))
-
-    types = len({w for s in split for w in s}) + 1
-    assert types > 1 << 16
-    expected = []
-    for words, before, pairs in (model(own), model(range(len(texts)))):
-        n = sum(words.values())
-        loss = lambda a, b: -np.log((0.5 * pairs[a, b] / before[a] if before[a] else 0) + (0.5 if before[a] else 1) * (words[b] + 0.5) / (n + 0.5 * types))  # noqa: E731, B023
-        expected.append([np.mean([loss(a, b) for a, b in zip([None, *s], s, strict=False)]) if s else 0.0 for s in split])
     ids = spark.createDataFrame([(i,) for i in own], "doc_id long")
-    found = {r.doc_id: r for r in lm_scoring.score_documents(documents(spark, texts), ids).collect()}
-    assert len(found) == len(texts)
-    for i in found:
-        assert (found[i].target_loss, found[i].background_loss) == pytest.approx((expected[0][i], expected[1][i]))
-
-
-def test_frequent_words(spark):
-    df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1)], "word string, n long")
-    assert lm_scoring.frequent_words(df, 3) == ["a", "b", "c"] and lm_scoring.frequent_words(df, 2) == ["a"] and lm_scoring.frequent_words(df.where("false")) == []
+    check_losses(lm_scoring.score_documents(documents(spark, texts), ids).collect(), texts, losses_by_hand(texts, own))
 
 
 def test_remembering_holds_two_generations():
