@@ -69,23 +69,25 @@ def sampled_segments(
     keys: list[str],
     fps: float,
     stride: int,
-    total_frames: int,
+    total_frames: Column | int,
     min_segment_seconds: float = 3.0,
     merge_gap_seconds: float = 2.0,
     pad_seconds: float = 1.0,
 ) -> DataFrame:
     """Segments of flags sampled every ``stride`` frames (keys, sample, active); each covers its stride.
 
-    The minimum length is tested after gaps are merged and before padding.
+    The minimum length is tested after gaps are merged and before padding. ``total_frames`` may
+    be a column of the keys.
     """
+    total = total_frames if isinstance(total_frames, Column) else F.lit(total_frames)
     spans = samples.where("active").select(
         *keys,
         (F.col("sample") * stride).alias("start_frame"),
-        (F.least((F.col("sample") + 1) * stride, F.lit(total_frames)) - 1).alias("end_frame"),
+        (F.least((F.col("sample") + 1) * stride, total) - 1).alias("end_frame"),
     )
-    spans = spans.where(F.col("start_frame") < total_frames)
+    spans = spans.where(F.col("start_frame") < total)
     found = segments_from_spans(spans, keys, fps, min_segment_seconds, merge_gap_seconds)
-    return pad_segments(found, keys, frames(pad_seconds, fps), total_frames)
+    return pad_segments(found, keys, frames(pad_seconds, fps), total)
 
 
 def shifts(
@@ -197,32 +199,49 @@ def live_timeline(segs: DataFrame, keys: list[str]) -> DataFrame:
     return segs.withColumn("live_start", F.coalesce(F.sum(length).over(order), F.lit(0)))
 
 
+#: Frames of a bucket in which points meet segments: segments of seconds come by the dozen in one.
+LOOKUP_WIDTH = 4096
+
+
+def _in_buckets(timeline: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """The keys, ``_bucket`` and ``_seg`` of each segment, once for each bucket it reaches from ``start`` on."""
+    last = F.col(start) + F.col("end_frame") - F.col("start_frame")
+    buckets = F.sequence(F.floor(F.col(start) / LOOKUP_WIDTH), F.floor(last / LOOKUP_WIDTH))
+    return timeline.select(*keys, F.explode(buckets).alias("_bucket"), F.struct("live_start", "start_frame", "end_frame").alias("_seg"))
+
+
 def to_live(points: DataFrame, timeline: DataFrame, keys: list[str], frame: str = "frame", strict: bool = True) -> DataFrame:
-    """Adds ``live_frame``. A frame in no segment raises with ``strict`` and is null otherwise."""
-    bounds = timeline.select(*keys, F.col("start_frame").alias("_s"), F.col("end_frame").alias("_e"), "live_start")
-    at = [F.col(f"p.{k}") == F.col(f"t.{k}") for k in keys]
-    inside = F.col(f"p.{frame}").between(F.col("t._s"), F.col("t._e"))
-    for condition in at:
-        inside = inside & condition
-    joined = points.alias("p").join(bounds.alias("t"), inside, "left")
-    live = F.col("t.live_start") + F.col(f"p.{frame}") - F.col("t._s")
+    """Adds ``live_frame``. A frame in no segment raises with ``strict`` and is null otherwise.
+
+    An equi-join on the keys and a bucket of frames, with the bounds as its condition, so a
+    long game spreads over tasks and a point only meets the segments near it.
+    """
+    bounds = _in_buckets(timeline, keys, "start_frame")
+    at = points.withColumn("_bucket", F.floor(F.col(frame) / LOOKUP_WIDTH)).alias("p")
+    inside = F.col(f"p.{frame}").between(F.col("t._seg.start_frame"), F.col("t._seg.end_frame"))
+    for k in [*keys, "_bucket"]:
+        inside = inside & (F.col(f"p.{k}") == F.col(f"t.{k}"))
+    live = F.col("t._seg.live_start") + F.col(f"p.{frame}") - F.col("t._seg.start_frame")
     if strict:
         live = F.coalesce(live, F.raise_error(F.concat(F.lit("frame outside all segments: "), F.col(f"p.{frame}"))).cast("long"))
-    return joined.select("p.*", live.alias("live_frame"))
+    return at.join(bounds.alias("t"), inside, "left").select(*[F.col(f"p.{c}") for c in points.columns], live.alias("live_frame"))
 
 
 def to_game(points: DataFrame, timeline: DataFrame, keys: list[str], live: str = "live_frame") -> DataFrame:
-    """Adds ``game_frame``: a live frame back on the game axis, held inside the first and last segment.
+    """Adds ``game_frame``: a live frame back on the game axis, up to the end of its segment.
 
-    An as-of lookup without a range join: points and segment starts are sorted together and
-    each point takes the last segment before it.
+    A live frame before the first segment belongs to it, one after the last to the last. The
+    live axis has no gaps, so the lookup is an equi-join on the keys and a bucket of live frames.
+    A point whose keys have no segments gets null.
     """
-    marks = timeline.select(*keys, F.col("live_start").alias("_t"), F.struct("live_start", "start_frame", "end_frame").alias("_seg"))
-    rows = points.select("*", F.col(live).alias("_t")).withColumn("_point", F.lit(1))
-    both = rows.unionByName(marks.withColumn("_point", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_t", "_point")
-    last = F.last("_seg", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_seg", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_seg", F.coalesce(last, first)).where("_point = 1")
-    game = F.least(F.col("_seg.end_frame"), F.col("_seg.start_frame") + F.col(live) - F.col("_seg.live_start"))
-    return found.withColumn("game_frame", game).drop("_t", "_point", "_seg")
+    total = timeline.groupBy(*keys).agg(F.max(F.col("live_start") + F.col("end_frame") - F.col("start_frame")).alias("_most"))
+    held = F.greatest(F.lit(0), F.least(F.col(live), F.col("_most")))
+    at = points.join(total, keys, "left") if keys else points.crossJoin(F.broadcast(total))
+    at = at.withColumn("_held", held).withColumn("_bucket", F.floor(F.col("_held") / LOOKUP_WIDTH)).alias("p")
+    begin = F.col("t._seg.live_start")
+    inside = F.col("p._held").between(begin, begin + F.col("t._seg.end_frame") - F.col("t._seg.start_frame"))
+    for k in [*keys, "_bucket"]:
+        inside = inside & (F.col(f"p.{k}") == F.col(f"t.{k}"))
+    game = F.least(F.col("t._seg.end_frame"), F.col("t._seg.start_frame") + F.col(f"p.{live}") - begin)
+    found = at.join(_in_buckets(timeline, keys, "live_start").alias("t"), inside, "left")
+    return found.select(*[F.col(f"p.{c}") for c in points.columns], F.when(F.col("t._seg").isNotNull(), game).alias("game_frame"))

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import joined_ids, l2_normalised, log_size, safe_corr, safe_ratio, seconds
+from ..functions import scalars
+from ..functions.scalars import l2_normalised, log_size, safe_corr, seconds
 from ..operators import activity, clustering, evaluation, game, intervals, rollups, tracks, vectors, votes
+from . import labels as label_plans
+from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +63,12 @@ EV = """ev AS (
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tracks of customers: first and last day, line items as frames seen, status as team."""
     day = lambda c: F.date_diff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    lines = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"), F.count(F.lit(1)).alias("frames_seen"))
+    lines = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.max("l_shipdate").alias("last"),
+        F.count(F.lit(1)).alias("frames_seen"),
+        F.count_if(F.col("l_returnflag") == "N").alias("on_surface_frames"),
+        F.count_if(F.col("l_quantity") < 25).alias("active_frames"),
+    )
     orders = _read(spark, d, "orders")
     joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
     return joined.select(
@@ -68,6 +76,9 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_custkey").alias("player"),
         F.col("o_orderstatus").alias("team"),
         "frames_seen",
+        "on_surface_frames",
+        "active_frames",
+        (F.col("frames_seen") / 7.0 + 0.0013).alias("player_conf"),
         day("o_orderdate").alias("first_frame"),
         day("last").alias("last_frame"),
     ).where("first_frame <= last_frame")
@@ -75,10 +86,11 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 SP = """sp AS (
     SELECT * FROM (
-        SELECT o_orderkey AS track_id, o_custkey AS player, o_orderstatus AS team, frames_seen,
+        SELECT o_orderkey AS track_id, o_custkey AS player, o_orderstatus AS team, frames_seen, on_surface_frames, active_frames, frames_seen / 7.0::DOUBLE + 0.0013 AS player_conf,
                date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS first_frame,
                date_diff('day', DATE '1992-01-01', CAST(last AS DATE)) AS last_frame
-        FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last, count(*) AS frames_seen FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
+        FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last, count(*) AS frames_seen, count(*) FILTER (l_returnflag = 'N') AS on_surface_frames,
+            count(*) FILTER (l_quantity < 25) AS active_frames FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
     ) WHERE first_frame <= last_frame)"""
 
 
@@ -106,10 +118,9 @@ def q_track_stats_median(spark, d):
     SELECT user_id, frames_seen, on_surface_frames, on_surface_frames / frames_seen::DOUBLE AS on_surface_frac,
            CASE WHEN frames_seen >= 60 AND on_surface_frames / frames_seen::DOUBLE >= 0.5 THEN 'player' ELSE 'spectator' END AS role FROM s""")
 def q_role_filter(spark, d):
-    stats = _events(spark, d).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("frames_seen"), F.count_if(F.col("event_type") != "view").alias("on_surface_frames")
-    )
-    return tracks.with_role(stats, 60, 0.5)
+    rows = _events(spark, d).select("user_id", F.col("sec").alias("frame"), (F.col("event_type") != "view").alias("on_surface"), F.col("value").alias("area"))
+    found = tracks.with_role(tracks.track_stats(rows, ["user_id"]), 60, 0.5)
+    return found.select("user_id", "frames_seen", "on_surface_frames", "on_surface_frac", "role")
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
@@ -152,13 +163,13 @@ def q_surface_test(spark, d):
 
 
 def _spine(spark: SparkSession) -> DataFrame:
-    return spark.range(HOURS).select(F.lit(1).alias("game"), F.col("id").alias("frame"))
+    return spark.range(HOURS).select(F.floor(F.col("id") / HOURS).alias("game"), F.col("id").alias("frame"))
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
     """One detection per user and hour; the mean value stands for the foot's x."""
     rows = _events(spark, d).groupBy("hour", "user_id").agg(F.avg("value").alias("foot_x"))
-    return rows.select(F.lit(1).alias("game"), F.col("hour").alias("frame"), F.col("user_id").alias("track_id"), "foot_x")
+    return rows.select(F.floor(F.col("hour") / HOURS).alias("game"), F.col("hour").alias("frame"), F.col("user_id").alias("track_id"), "foot_x")
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -283,16 +294,15 @@ def q_shift_summary(spark, d):
 VOTE = "SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY weight DESC, {l}) AS r FROM (SELECT {k}, {l}, CAST(sum({w}) AS BIGINT) AS weight FROM {t} WHERE {l} IS NOT NULL GROUP BY ALL)"
 
 
-@query(f"""WITH {EV}, v AS ({VOTE.format(k='user_id', l='event_type', w='1', t='ev')})
-    SELECT e.user_id, count(*) AS n_fragments, min(sec) AS first_frame, max(sec) AS last_frame, round_even(avg(value), 6) AS mean_value, any_value(v.event_type) AS team
-    FROM ev e JOIN v ON e.user_id = v.user_id AND v.r = 1 GROUP BY 1""")
+ROLLUP = """count(*) AS n_fragments, string_agg(CAST(track_id AS VARCHAR), ' ' ORDER BY first_frame, track_id) AS track_ids,
+        CAST(sum(s.frames_seen) AS BIGINT) AS frames_seen, CAST(sum(on_surface_frames) AS BIGINT) AS on_surface_frames, CAST(sum(active_frames) AS BIGINT) AS active_frames,
+        min(first_frame) AS first_frame, max(last_frame) AS last_frame, round_even(avg(player_conf), 2) AS mean_conf,
+        round_even(sum(on_surface_frames) / 30.0::DOUBLE, 2) AS seconds_on_surface, round_even(sum(active_frames) / 30.0::DOUBLE, 2) AS active_seconds"""
+
+
+@query(f"WITH {SP} SELECT player, {ROLLUP} FROM sp s GROUP BY 1")
 def q_player_rollup(spark, d):
-    ev = _events(spark, d)
-    team = votes.majority(ev, ["user_id"], "event_type").select("user_id", F.col("event_type").alias("team"))
-    lines = ev.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_fragments"), F.min("sec").alias("first_frame"), F.max("sec").alias("last_frame"), F.bround(F.avg("value"), 6).alias("mean_value")
-    )
-    return lines.join(team, "user_id")
+    return rollups.player_rollup(_spans(spark, d), ["player"], 30.0)
 
 
 @query(f"WITH v AS ({VOTE.format(k='l_suppkey', l='l_returnflag', w='l_quantity', t='lineitem')}) SELECT l_suppkey, l_returnflag, weight FROM v WHERE r = 1")
@@ -302,20 +312,18 @@ def q_team_vote_weighted(spark, d):
 
 
 @query(f"""WITH {SP}, v AS ({VOTE.format(k='player', l='team', w='frames_seen', t='sp')})
-    SELECT s.player, count(*) AS n_fragments, string_agg(CAST(track_id AS VARCHAR), ' ' ORDER BY first_frame, track_id) AS track_ids,
-        CAST(sum(s.frames_seen) AS BIGINT) AS frames_seen, min(first_frame) AS first_frame, max(last_frame) AS last_frame, any_value(v.team) AS team
-    FROM sp s JOIN v ON s.player = v.player AND v.r = 1 GROUP BY 1""")
+    SELECT s.player, {ROLLUP}, any_value(v.team) AS team FROM sp s JOIN v ON s.player = v.player AND v.r = 1 GROUP BY 1""")
 def q_track_ids_listagg(spark, d):
     spans = _spans(spark, d)
     team = votes.majority(spans, ["player"], "team", "frames_seen").drop("weight")
-    lines = spans.groupBy("player").agg(
-        F.count(F.lit(1)).alias("n_fragments"),
-        joined_ids("track_id", "first_frame", "track_id").alias("track_ids"),
-        F.sum("frames_seen").alias("frames_seen"),
-        F.min("first_frame").alias("first_frame"),
-        F.max("last_frame").alias("last_frame"),
-    )
-    return lines.join(team, "player")
+    return rollups.player_rollup(spans, ["player"], 30.0).join(team, "player")
+
+
+@query(f"""WITH {EV}, w AS (SELECT user_id, event_type, count(*) AS weight, min(sec) AS seen FROM ev GROUP BY 1, 2),
+    v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, seen, event_type) AS r FROM w)
+    SELECT user_id, event_type, weight FROM v WHERE r = 1""")
+def q_vote_first_seen(spark, d):
+    return votes.majority(_events(spark, d), ["user_id"], "event_type", seen="sec")
 
 
 # --- roll-ups -------------------------------------------------------------------------------
@@ -359,17 +367,26 @@ def q_boxscore_grouping_sets(spark, d):
     return rollups.boxscore_levels(_player_lines(spark, d), [], 30.0)
 
 
-@query("""WITH o AS (SELECT c_nationkey, o_custkey, count(*) AS active_frames, CAST(sum(CAST(o_totalprice AS BIGINT)) AS BIGINT) AS frames_seen
-        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY active_frames DESC, frames_seen DESC, o_custkey) AS INTEGER) AS rank FROM o)
-    SELECT * FROM r WHERE rank <= 6""")
+@query(f"""WITH {SP}, o AS (SELECT c_nationkey AS nation, player AS track_id, CAST(sum(active_frames) AS BIGINT) AS a, CAST(sum(frames_seen) AS BIGINT) AS f, CAST(sum(on_surface_frames) AS BIGINT) AS o
+        FROM sp JOIN customer ON player = c_custkey GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY nation ORDER BY a DESC, f DESC, track_id) - 1 AS INTEGER) AS rank, count(*) OVER (PARTITION BY nation) AS n_players FROM o)
+    SELECT nation, rank, track_id, round_even(a / 30.0::DOUBLE, 2) AS active_s, round_even(f / 30.0::DOUBLE, 2) AS seen_s, round_even(o / f::DOUBLE, 3) AS on_surface_frac, n_players
+    FROM r WHERE rank < 6""")
 def q_boxscore_topk(spark, d):
-    orders, customer = _read(spark, d, "orders"), _read(spark, d, "customer")
-    lines = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).groupBy("c_nationkey", "o_custkey").agg(
-        F.count(F.lit(1)).alias("active_frames"), F.sum(F.rint("o_totalprice").cast("long")).alias("frames_seen")
+    spans, customer = _spans(spark, d), _read(spark, d, "customer")
+    players = spans.join(customer, spans["player"] == customer["c_custkey"]).groupBy(F.col("c_nationkey").alias("nation"), F.col("player").alias("track_id")).agg(
+        *[F.sum(c).alias(c) for c in ("frames_seen", "active_frames", "on_surface_frames")], F.lit(None).cast("int").alias("team"), F.lit(0).alias("median_area_px")
     )
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("active_frames"), F.desc("frames_seen"), "o_custkey"))
-    return lines.withColumn("rank", rank).where("rank <= 6")
+    header = players.select("nation").distinct().withColumn("frames", F.lit(900))
+    score = rollups.boxscore(players, ["nation"], header, 30.0)
+    lines = score.select("nation", F.col("game.n_players").alias("n_players"), F.posexplode("players").alias("rank", "p")).where("rank < 6")
+    return lines.select("nation", "rank", "p.track_id", "p.active_s", "p.seen_s", "p.on_surface_frac", "n_players")
+
+
+@query(f"""WITH {SP} SELECT player, team, round_even(sum(round_even(active_frames / 30.0::DOUBLE, 2)), 2) AS active_s FROM sp WHERE frames_seen >= 3 GROUP BY 1, 2""")
+def q_team_active_seconds(spark, d):
+    rows = _spans(spark, d).withColumn("role", F.when(F.col("frames_seen") >= 3, "player").otherwise("spectator"))
+    return rollups.team_active_seconds(rows, ["player"], 30.0)
 
 
 @query(f"""WITH {LINES} SELECT track_id, team, round_even(active_frames / 30.0::DOUBLE, 2) AS active_s, round_even(on_surface_frames / 30.0::DOUBLE, 2) AS on_surface_s,
@@ -428,8 +445,8 @@ def q_live_timeline(spark, d):
     ON tl.live_start = (SELECT max(live_start) FROM tl t2 WHERE t2.live_start <= p.live_frame)""")
 def q_live_to_game_roundtrip(spark, d):
     segs = _segments(spark, d)
-    total = segs.agg(F.sum("n_frames").alias("n"))
-    points = total.select(F.lit(1).alias("game"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") + 3, F.lit(HOURS - 1)))).alias("live_frame"))
+    total = segs.groupBy("game").agg(F.sum("n_frames").alias("n"))
+    points = _spine(spark).withColumnRenamed("frame", "live_frame").join(total, "game").where("live_frame <= n + 3").drop("n")
     return intervals.to_game(points, intervals.live_timeline(segs, ["game"]), ["game"]).select("live_frame", "game_frame")
 
 
@@ -476,6 +493,14 @@ def q_l2norm_pool(spark, d):
     return _centroids(spark, d).select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.bround("x", 6))
 
 
+@query(f"""WITH {VEC}, raw AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e),
+    rm AS (SELECT label, list(a ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS a FROM raw GROUP BY 1, 2) GROUP BY 1)
+    SELECT label, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS i, round_even(unnest(list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-8))), 6) AS x FROM rm""")
+def q_identity_centroids(spark, d):
+    found = vectors.identity_centroids(_vectors(spark, d), ["label"], "embedding")
+    return found.select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.bround("x", 6))
+
+
 @query(f"""WITH {VEC} SELECT a.label, count(*) AS pairs, round_even(avg(least(2, greatest(0, 1 - list_dot_product(a.u, b.u)))), 6) AS mean_distance
     FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
 def q_cosine_pairs(spark, d):
@@ -565,13 +590,19 @@ def q_direct_accuracy(spark, d):
     return evaluation.direct_accuracy(pairs, [])
 
 
-@query("""SELECT (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE lang = 'en') AS overlap,
-    (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS missing""")
+@query("""WITH p AS (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'a' ELSE 'b' END AS team, CAST(n_chars % 2 AS VARCHAR) AS role FROM documents WHERE lang = 'en'),
+    j AS (SELECT l.doc_id, p.team AS pt, p.role AS pr, l.toxic AS t, CAST(l.quality AS VARCHAR) AS q FROM labels l LEFT JOIN p USING (doc_id)),
+    c AS (SELECT count(pt) AS n, count(*) - count(pt) AS missing, count(*) FILTER (pt = 'a' AND t = 0) AS a0, count(*) FILTER (pt = 'a' AND t = 1) AS a1,
+        count(*) FILTER (pt = 'b' AND t = 0) AS b0, count(*) FILTER (pt = 'b' AND t = 1) AS b1, count(*) FILTER (pr = q) AS same FROM j)
+    SELECT 'team' AS field, n AS n_overlap, missing AS n_missing, greatest(a0 + b1, a1 + b0) AS correct, greatest(a0 + b1, a1 + b0) / n::DOUBLE AS accuracy FROM c
+    UNION ALL SELECT 'role', n, missing, same, same / n::DOUBLE FROM c""")
 def q_label_overlap_missing(spark, d):
-    pred = _read(spark, d, "documents").where("lang = 'en'").select("doc_id")  # English documents have predictions
-    labels = _read(spark, d, "labels").select("doc_id")
-    hit = labels.join(pred.withColumn("_hit", F.lit(1)), "doc_id", "left")
-    return hit.agg(F.count("_hit").alias("overlap"), F.count_if(F.col("_hit").isNull()).alias("missing"))
+    odd = F.col("n_chars") % 2
+    pred = _read(spark, d, "documents").where("lang = 'en'").select(  # English documents have predictions
+        F.col("doc_id").alias("track_id"), F.when(odd == 0, "a").otherwise("b").alias("team"), odd.cast("string").alias("role")
+    )
+    human = _read(spark, d, "labels").select(F.col("doc_id").alias("track_id"), F.col("toxic").cast("string").alias("team"), F.col("quality").cast("string").alias("role"))
+    return evaluation.evaluate(pred, human, {"team": True, "role": False}).drop("mapping")
 
 
 def _tagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -602,25 +633,118 @@ def q_label_conflicts(spark, d):
     return evaluation.label_conflicts(*_tagged(spark, d)).withColumn("labels", F.array_join("labels", " "))
 
 
-@query(f"""WITH {SHIFTS}, v AS ({VOTE.format(k='user_id', l='event_type', w='1', t='ev')}),
-    r AS (SELECT s.user_id, v.event_type AS team, count(*) AS bars, CAST(sum(n_frames) AS BIGINT) AS toi, max(end_frame) AS span FROM sh s JOIN v ON s.user_id = v.user_id AND v.r = 1 GROUP BY 1, 2)
-    SELECT *, CAST(row_number() OVER (PARTITION BY team ORDER BY toi DESC, user_id) AS INTEGER) AS row_in_team FROM r""")
+CHART = SHIFTS + """, named AS (SELECT user_id, CASE WHEN (user_id + shift) % 3 < 2 THEN (user_id + shift) % 3 END AS team, shift, start_frame AS a, end_frame + 1 AS b FROM sh),
+    bars AS (SELECT user_id, list(team ORDER BY shift)[1] AS team, round_even(sum(CAST(b - a AS DOUBLE)), 2) AS toi_s, count(*) AS n_shifts, CAST(max(b - a) AS DOUBLE) AS longest_s FROM named GROUP BY 1)"""
+
+
+def _chart(spark: SparkSession, d: str, keys: list[str] | None = None) -> DataFrame:
+    found = intervals.timed(_shifts(spark, d), 1.0).withColumnRenamed("user_id", "player")
+    third = (F.col("player") + F.col("shift")) % 3
+    found = found.withColumn("team", F.when(third < 2, third).cast("string")).withColumn("game", F.col("player") % 7)
+    names = found.where("player % 10 = 0").select("game", "player", F.concat(F.lit(" n"), F.col("player")).alias("name")).distinct()
+    return report.chart_rows(found, names, keys)
+
+
+@query(f"""WITH {CHART} SELECT CAST(row_number() OVER (ORDER BY team NULLS LAST, toi_s DESC, user_id) - 1 AS INTEGER) AS row, user_id AS player, CAST(team AS INTEGER) AS team,
+    CASE WHEN user_id % 10 = 0 THEN 'n' ELSE 'P' END || user_id || coalesce(' (T' || team || ')', '') AS label, toi_s, n_shifts, longest_s, n_shifts AS n_bars FROM bars""")
 def q_shift_chart(spark, d):
-    team = votes.majority(_events(spark, d), ["user_id"], "event_type").select("user_id", F.col("event_type").alias("team"))
-    rows = _shifts(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("bars"), F.sum("n_frames").alias("toi"), F.max("end_frame").alias("span"))
-    order = Window.partitionBy("team").orderBy(F.desc("toi"), "user_id")
-    return rows.join(team, "user_id").withColumn("row_in_team", F.row_number().over(order))
+    return _chart(spark, d).withColumn("n_bars", F.size("bars").cast("long")).drop("bars")
 
 
-@query("""SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, CAST(max(turn) AS BIGINT) AS last_turn,
-    round_even(count(*) FILTER (role = 'user') / count(*)::DOUBLE, 6) AS user_share FROM conversations GROUP BY 1""")
+@query(f"""WITH {CHART} SELECT user_id % 7 AS game, CAST(row_number() OVER (PARTITION BY user_id % 7 ORDER BY team NULLS LAST, toi_s DESC, user_id) - 1 AS INTEGER) AS row,
+    user_id AS player, CAST(team AS INTEGER) AS team FROM bars""")
 def q_first_value_per_player(spark, d):
-    rows = _read(spark, d, "conversations")
-    return rows.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"),
-        F.min_by("role", "turn").alias("first_role"),
-        F.max("turn").alias("last_turn"),
-        F.bround(safe_ratio(F.count_if(F.col("role") == "user"), F.count(F.lit(1))), 6).alias("user_share"),
+    return _chart(spark, d, ["game"]).select("game", "row", "player", "team")
+
+
+# --- games of several segments ------------------------------------------------------------------
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tracks of five segments of 600 frames; customers stand for local identities, thirty for a player."""
+    rows = _spans(spark, d).select(
+        (F.col("track_id") % 5).alias("segment"),
+        "track_id",
+        F.when(F.col("track_id") % 11 == 0, "spectator").otherwise("player").alias("role"),
+        F.when(F.col("team") == "O", "1").when(F.col("team") == "F", "0.5").otherwise("0").alias("team"),
+        F.when(F.col("track_id") % 13 == 0, "").otherwise(F.concat("player", F.lit(".0"))).alias("player"),
+        "frames_seen",
+        seconds("active_frames", 30.0).alias("active_seconds"),
+        seconds("on_surface_frames", 30.0).alias("seconds_on_surface"),
+        (F.col("first_frame") % 500).alias("first_frame"),
+        (F.col("first_frame") % 500 + 40 + F.col("track_id") % 90).alias("last_frame"),
+    )
+    mapping = _read(spark, d, "customer").crossJoin(F.broadcast(spark.range(4).withColumnRenamed("id", "segment")))
+    mapping = mapping.select("segment", F.col("c_custkey").alias("local_id"), (F.col("c_custkey") % 30).alias("player"))
+    segs = spark.range(5).select(F.col("id").alias("segment"), (F.col("id") * 600).alias("start_frame"), (F.col("id") * 600 + 549).alias("end_frame"))
+    return game.mapped_tracks(rows, segs, mapping, [])
+
+
+PLACED = f"""{SP}, pt AS (SELECT track_id % 5 AS segment, player % 30 AS player, 's' || (track_id % 5) || ':' || track_id AS track_id,
+        CASE WHEN team = 'O' THEN 1 WHEN team = 'F' THEN NULL ELSE 0 END AS team, frames_seen, round_even(active_frames / 30.0::DOUBLE, 2) AS active_seconds,
+        round_even(on_surface_frames / 30.0::DOUBLE, 2) AS seconds_on_surface, least(track_id % 5 * 600 + first_frame % 500, track_id % 5 * 600 + 549) AS first_frame,
+        least(track_id % 5 * 600 + first_frame % 500 + 40 + track_id % 90, track_id % 5 * 600 + 549) AS last_frame
+    FROM sp WHERE track_id % 11 <> 0 AND track_id % 13 <> 0 AND track_id % 5 < 4)"""
+
+
+@query(f"WITH {PLACED} SELECT segment, player, track_id, CAST(team AS INTEGER) AS team, frames_seen, active_seconds, seconds_on_surface, first_frame, last_frame FROM pt")
+def q_mapped_tracks(spark, d):
+    return _placed(spark, d)
+
+
+@query(f"""WITH {PLACED}, v AS ({VOTE.format(k='player', l='team', w='greatest(1, frames_seen)', t='pt')}), pf AS (SELECT player, first_frame AS s, last_frame AS e FROM pt),
+    {ISLANDS.format(p='isl', w='PARTITION BY player', tol=20, src='pf')},
+    sh AS (SELECT player, count(*) AS n_shifts, CAST(sum(n) AS DOUBLE) AS total, max(n) AS longest FROM (SELECT player, max(e) - min(s) + 1 AS n FROM isl GROUP BY player, island) GROUP BY 1),
+    li AS (SELECT player, count(*) AS n_fragments, string_agg(track_id, ' ' ORDER BY segment, first_frame, track_id) AS track_ids, CAST(sum(frames_seen) AS BIGINT) AS frames_seen,
+        round_even(sum(seconds_on_surface), 2) AS seconds_on_surface, round_even(sum(active_seconds), 2) AS active_seconds, min(first_frame) AS first_frame, max(last_frame) AS last_frame FROM pt GROUP BY 1)
+    SELECT li.*, CAST(v.team AS INTEGER) AS team, n_shifts, round_even(total / 2, 2) AS shift_seconds, round_even(longest / 2.0::DOUBLE, 2) AS longest_shift_s, round_even(total / n_shifts / 2, 2) AS avg_shift_s
+    FROM li JOIN sh USING (player) LEFT JOIN v ON li.player = v.player AND v.r = 1""")
+def q_game_players(spark, d):
+    placed = _placed(spark, d)
+    found = intervals.shifts(placed, ["player"], 2.0, 10.0)
+    return game.game_players(placed, found, [], 2.0)
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, CAST(trunc(l_quantity * 20 - 15.5) AS INTEGER)) AS x1, greatest(0, CAST(trunc(l_tax * 1000 - 9.25) AS INTEGER)) AS y1,
+    least(800, CAST(trunc(l_quantity * 20 + 170.5) AS INTEGER)) AS x2, least(70, CAST(trunc(l_tax * 1000 + 101.75) AS INTEGER)) AS y2 FROM lineitem
+    WHERE least(800, CAST(trunc(l_quantity * 20 + 170.5) AS INTEGER)) > greatest(0, CAST(trunc(l_quantity * 20 - 15.5) AS INTEGER))
+      AND least(70, CAST(trunc(l_tax * 1000 + 101.75) AS INTEGER)) > greatest(0, CAST(trunc(l_tax * 1000 - 9.25) AS INTEGER))""")
+def q_crop_box(spark, d):
+    x, y = F.col("l_quantity") * 20, F.col("l_tax") * 1000
+    box = scalars.crop_box(x, y, x + 155, y + 92.5, 800, 70, 0.1)
+    return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box")).where("box IS NOT NULL").select("l_orderkey", "l_linenumber", "box.*")
+
+
+@query(f"""WITH {SP}, t AS (SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'n' || (track_id % 7) ELSE '' END AS name, player, CAST(frames_seen AS BIGINT) AS w FROM sp),
+    tn AS (SELECT player, name, w FROM t WHERE name <> ''), v AS ({VOTE.format(k='player', l='name', w='greatest(1, w)', t='tn')})
+    SELECT CAST(c_custkey AS VARCHAR) AS player, coalesce(v.name, '') AS name, c_nationkey FROM customer LEFT JOIN v ON c_custkey = v.player AND v.r = 1""")
+def q_named_players(spark, d):
+    """Names from tracks onto players, text as in the files of a run."""
+    name = F.when(F.col("track_id") % 3 == 0, F.concat(F.lit("n"), F.col("track_id") % 7)).otherwise("")
+    rows = _spans(spark, d).select(F.col("player").cast("string").alias("player"), name.alias("player_name"), F.col("frames_seen").cast("string").alias("frames_seen"))
+    players = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("player"), "c_nationkey")
+    return label_plans.named_players(players, rows)
+
+
+@query("""SELECT n_nationkey, 'T' || (n_nationkey % 4) AS team, 'P' || n_nationkey || CASE WHEN n_nationkey % 4 < 3 THEN ' (T' || (n_nationkey % 4) || ')' ELSE '' END AS player,
+    CASE n_nationkey % 4 WHEN 0 THEN '#3cdc3c' WHEN 1 THEN '#f03c3c' ELSE '#9c9c9c' END AS color, replace('<' || n_name || '&>', '&', '&amp;').replace('<', '&lt;').replace('>', '&gt;') AS html,
+    format('segment_{:03d}_{}s-{}s.mp4', n_nationkey, n_nationkey * 3 // 2, n_nationkey * 2) AS file, 'data:text/plain;base64,' || to_base64(encode(n_name)) AS uri,
+    least(abs(n_nationkey * 7 - 90), 180 - abs(n_nationkey * 7 - 90)) AS hue, greatest(0, n_nationkey - 5.0::DOUBLE) AS bar,
+    CASE WHEN n_nationkey + 3 > 0 THEN least(1, greatest(0, 3 / (n_nationkey + 3.0::DOUBLE))) END AS margin FROM nation""")
+def q_labels_and_colors(spark, d):
+    key = F.col("n_nationkey")
+    team = key % 4
+    return _read(spark, d, "nation").select(
+        "n_nationkey",
+        scalars.team_label(team).alias("team"),
+        scalars.player_label(key, None, F.when(team < 3, team)).alias("player"),
+        scalars.team_color(team).alias("color"),
+        scalars.escape_html(F.concat(F.lit("<"), "n_name", F.lit("&>"))).alias("html"),
+        scalars.clip_filename(key, key * 1.5, key * 2).alias("file"),
+        scalars.data_uri(F.col("n_name").cast("binary"), "text/plain").alias("uri"),
+        scalars.hue_distance(key * 7, F.lit(90)).cast("long").alias("hue"),
+        scalars.bar_duration(F.lit(5.0), key).alias("bar"),
+        vectors.margin_confidence(key.cast("double"), F.lit(3.0)).alias("margin"),
     )
 
 

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from dataclasses import dataclass, field
 from html import escape
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NO_TEAM_COLOR, TEAM_COLORS, bar_duration, clean_text, lenient_team, player_label
+from ..operators.intervals import peak_concurrency
 
+#: Pixels of a side of a cell of the heat map.
+HEAT_CELL = 32
 
-def chart_rows(shifts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+
+def chart_rows(shifts: DataFrame, names: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """One row per player: ``row, player, team, label, toi_s, n_shifts, longest_s, bars``.
 
     Teams come in order with no team last, then the most time first, then the player. Time is
     taken from the bounds of shifts, so it includes stoppages that a merged game's shift
-    seconds leave out. The team is that of the player's first row.
+    seconds leave out. The team is that of the player's first row. With ``keys`` a chart for
+    each game; ``names`` has the keys too.
     """
+    keys = keys or []
     rows = shifts.withColumn("_team", lenient_team("team")).withColumn("_bar", bar_duration("start_time_s", "end_time_s"))
     bars = F.array_sort(F.collect_list(F.struct(F.col("start_time_s").alias("start_s"), F.col("end_time_s").alias("end_s"))))
-    players = rows.groupBy("player").agg(
+    players = rows.groupBy(*keys, "player").agg(
         F.min_by("_team", "shift").alias("team"),
         F.sum("_bar").alias("_toi"),
         F.count(F.lit(1)).alias("n_shifts"),
@@ -29,11 +38,12 @@ def chart_rows(shifts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     )
     name: Column = F.lit(None).cast("string")
     if names is not None:
-        players = players.join(names.select("player", F.nullif(clean_text("name"), F.lit("")).alias("name")), "player", "left")
+        players = players.join(names.select(*keys, "player", F.nullif(clean_text("name"), F.lit("")).alias("name")), [*keys, "player"], "left")
         name = F.col("name")
-    # The rows of a chart are the players of one game: a single window is bounded.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("team").asc_nulls_last(), F.desc("_toi"), "player")
+    # The rows of a chart are the players of one game, so its window is bounded.
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("team").asc_nulls_last(), F.desc("_toi"), "player")
     return players.select(
+        *keys,
         (F.row_number().over(order) - 1).alias("row"),
         "player",
         "team",
@@ -45,6 +55,18 @@ def chart_rows(shifts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     )
 
 
+def presence_lines(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Tracks of each clip, and the most at once."""
+    n = tracks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tracks"))
+    return n.join(peak_concurrency(tracks, keys, "first_frame", "last_frame"), keys)
+
+
+def heat_cells(heat: DataFrame) -> DataFrame:
+    """The heat table (xi, yi, n) in cells of a picture: ``x, y, n``, at most a few thousand a frame."""
+    at = [F.floor(F.col(c) / HEAT_CELL).cast("int").alias(a) for c, a in (("xi", "x"), ("yi", "y"))]
+    return heat.groupBy(*at).agg(F.sum("n").alias("n"))
+
+
 def chart_span(shifts: DataFrame, duration_s: float | None = None) -> float:
     """The chart's extent: the given duration, or else the end of the last shift."""
     if duration_s is not None:
@@ -75,14 +97,18 @@ class Report:
     span_s: float
     teams: list[dict]
     players: list[dict] = field(default_factory=list)
+    heat: list[dict] = field(default_factory=list)
 
 
-def build_report(shifts: DataFrame, players: DataFrame, game: dict | None = None, title: str = "Game report") -> Report:
+def build_report(
+    shifts: DataFrame, players: DataFrame, game: dict | None = None, title: str = "Game report", heat: DataFrame | None = None
+) -> Report:
     names = players.select("player", "name") if "name" in players.columns else None
     chart = [r.asDict(recursive=True) for r in chart_rows(shifts, names).orderBy("row").collect()]
     game = game or {}
     lines = [r.asDict() for r in players.orderBy(F.desc("active_seconds"), "player").collect()]
-    return Report(title, game, chart, chart_span(shifts, game.get("duration_s")), [r.asDict() for r in team_lines(players).collect()], lines)
+    cells = [] if heat is None else [r.asDict() for r in heat_cells(heat).collect()]
+    return Report(title, game, chart, chart_span(shifts, game.get("duration_s")), [r.asDict() for r in team_lines(players).collect()], lines, cells)
 
 
 def _team(team: int | None) -> str:
@@ -161,8 +187,38 @@ def chart_svg(report: Report, width: int = 900, bar: int = 18) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{max(1, len(report.chart)) * bar}">{"".join(parts)}</svg>'
 
 
+def heat_svg(report: Report, cell: int = 12) -> str:
+    """Where players stood: a square a cell, the darker the more often."""
+    most = max(c["n"] for c in report.heat)
+    parts = [
+        f'<rect x="{c["x"] * cell}" y="{c["y"] * cell}" width="{cell}" height="{cell}" fill="#c0392b" fill-opacity="{(c["n"] / most) ** 0.5:.3f}"/>'
+        for c in sorted(report.heat, key=lambda c: (c["y"], c["x"]))
+    ]
+    width, height = ((max(c[k] for c in report.heat) + 1) * cell for k in ("x", "y"))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(parts)}</svg>'
+
+
+def chart_png(report: Report, width: int = 900, bar: int = 18) -> bytes:
+    """The bars of the shift chart as a PNG file, without text: a line per player in the chart's order."""
+    span = max(report.span_s, 1e-9)
+    picture = np.full((max(1, len(report.chart)) * bar, width, 3), 255, np.uint8)
+    for r in report.chart:
+        color = TEAM_COLORS.get(r["team"], NO_TEAM_COLOR).lstrip("#")
+        top = r["row"] * bar
+        for b in r["bars"]:
+            left, right = (min(width, max(0, round(b[k] / span * width))) for k in ("start_s", "end_s"))
+            picture[top + 3 : top + bar - 3, left:right] = list(bytes.fromhex(color))
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    lines = np.concatenate([np.zeros((len(picture), 1), np.uint8), picture.reshape(len(picture), -1)], axis=1)
+    head = struct.pack(">IIBBBBB", width, len(picture), 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def report_html(report: Report) -> str:
-    """A page by itself: header, chart, teams and players."""
+    """A page by itself: header, chart, heat map, teams and players."""
     g = report.game
     cards = {k: g.get(k) for k in ("n_players", "duration_s", "live_play_s", "n_segments", "active_fraction", "fps") if g.get(k) is not None}
     teams = [[_team(t["team"]), str(t["n_players"]), f"{t['toi_s']:.1f}", f"{t['active_s']:.1f}"] for t in report.teams]
@@ -172,6 +228,7 @@ def report_html(report: Report) -> str:
         f"<h1>{escape(report.title, quote=False)}</h1>",
         _table(list(cards), [[escape(str(v)) for v in cards.values()]]) if cards else "",
         chart_svg(report),
+        heat_svg(report) if report.heat else "",
         _table(["team", "players", "time (s)", "active (s)"], teams) if teams else "",
         _table(columns, players) if players else "",
     ]
