@@ -132,6 +132,38 @@ def kit_chroma_column(pixels: Column | str, height: Column | str, width: Column
     return F.pandas_udf(_column(kit_chroma), "array<double>")(pixels, height, width)
 
 
+def without_background_column(pixels: Column | str, height: Column | str, width: Column | str) -> Column:
+    """struct<pixels, height, width> of the torso with a neutral background; null without pixels."""
+
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, h, w in zip(pixels, height, width, strict=True):
+            part = None if p is None or not h or not w else without_background(_crop(p, int(h), int(w)))
+            out.append((None, None, None) if part is None else (part.tobytes(), *part.shape[:2]))
+        made = pd.DataFrame(out, columns=["pixels", "height", "width"])
+        return made.astype({"height": "Int32", "width": "Int32"})
+
+    found = F.pandas_udf(run, "pixels binary, height int, width int")(pixels, height, width)
+    return F.when(F.col(pixels).isNotNull() if isinstance(pixels, str) else pixels.isNotNull(), found)
+
+
+def box_color_column(pixels: Column | str, height: Column | str, width: Column | str, box: Column | str) -> Column:
+    """array<double> of the mean blue, green and red of the torso inside ``box`` (x1, y1, x2, y2) of a frame."""
+
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series, box: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if p is None or b is None or not h or not w else box_color(_crop(p, int(h), int(w)), tuple(b)).tolist()
+            for p, h, w, b in zip(pixels, height, width, box, strict=True)
+        ])
+
+    return F.pandas_udf(run, "array<double>")(pixels, height, width, box)
+
+
+def network_input_column(pixels: Column | str, height: Column | str, width: Column | str) -> Column:
+    """array<float>: channels, rows and columns as the embedding networks expect them, flattened; null without pixels."""
+    return F.pandas_udf(_column(lambda crop: network_input(crop).ravel()), "array<float>")(pixels, height, width)
+
+
 def element_medians(vector: Column | str, size: int) -> Column:
     """Aggregate: the median of each element, for one vector per track."""
     v = F.col(vector) if isinstance(vector, str) else vector

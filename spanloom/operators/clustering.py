@@ -170,8 +170,9 @@ def constrained_merge(
     """Average-linkage merging of unit vectors under cannot-link pairs; labels and vetoed steps.
 
     Each step merges the closest pair of clusters without a conflict between members, and
-    counts as vetoed if a closer pair had one. Merging ends at ``target`` clusters, or without
-    a target once the best distance exceeds ``threshold``, or when every pair conflicts.
+    counts as vetoed if the closest pair of all had one, also where merging then ends: at
+    ``target`` clusters, or without a target once the best distance exceeds ``threshold``, or
+    when every pair conflicts.
     Linkage follows the size-weighted update of averages, so a step costs one pass.
     """
     n = len(points)
@@ -190,12 +191,9 @@ def constrained_merge(
         i, j = divmod(at, n)
         best = open_[i, j] if n else np.inf
         every = np.where(usable, d, np.inf)
-        if not np.isfinite(best):
-            blocked += bool(np.isfinite(every.min()))
+        blocked += bool(usable.any() and veto.flat[every.argmin()])
+        if not np.isfinite(best) or (target is None and best > threshold):
             break
-        if target is None and best > threshold:
-            break
-        blocked += bool(every.min() < best)
         d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
@@ -247,8 +245,24 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], schema: str, sol
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def assign_teams(tracks: DataFrame, keys: list[str], vector: str = "embedding", size: str | None = None, chroma: str | None = None) -> DataFrame:
-    """``track_id, team, team_conf`` per track: the kit colours if they split clearly, else the vectors."""
+def by_color(labels: np.ndarray, hsv: np.ndarray) -> np.ndarray:
+    """Labels renumbered: most saturated first, then brightest, then smallest hue, by medians of their tracks."""
+    names = np.unique(labels)
+    medians = np.array([np.median(hsv[labels == n], axis=0) for n in names.tolist()]).reshape(-1, 3)
+    order = np.lexsort((names, medians[:, 0], -medians[:, 2], -medians[:, 1]))
+    rank = np.empty(len(names), int)
+    rank[order] = np.arange(len(names))
+    return rank[np.searchsorted(names, labels)]
+
+
+def assign_teams(
+    tracks: DataFrame, keys: list[str], vector: str = "embedding", size: str | None = None, chroma: str | None = None, hsv: str | None = None
+) -> DataFrame:
+    """``track_id, team, team_conf`` per track: the kit colours if they split clearly, else the vectors.
+
+    With ``hsv`` (hue, saturation, value of a track's torso) team 0 is the more saturated one;
+    without it the numbers of teams are arbitrary.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tracks.select(*keys, "track_id").schema)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +270,8 @@ def assign_teams(tracks: DataFrame, keys: list[str], vector: str = "embedding",
         if split is None:
             sizes = rows[size].to_numpy(float) if size else None
             split = team_clusters(np.stack(rows[vector].to_numpy()).astype(float), sizes)
-        return rows[[*keys, "track_id"]].assign(team=split[0].astype("int32"), team_conf=split[1])
+        teams = by_color(split[0], np.stack(rows[hsv].to_numpy()).astype(float)) if hsv else split[0]
+        return rows[[*keys, "track_id"]].assign(team=teams.astype("int32"), team_conf=split[1])
 
     return per_group(tracks, keys, ["track_id"], f"{fields}, team int, team_conf double", solve)
 

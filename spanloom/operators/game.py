@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import joined_ids, lenient_int, lenient_team, seconds
@@ -81,18 +81,20 @@ def game_players(tracks: DataFrame, found: DataFrame, keys: list[str], fps: floa
     return sums.join(team, who, "left").join(by_shift, who, "left")
 
 
-def game_header(segs: DataFrame, players: DataFrame, keys: list[str], fps: float, total_frames: int) -> DataFrame:
-    """Duration, live play, segments, players and the active share of a game."""
-    live = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("_live"))
+def game_header(segs: DataFrame, players: DataFrame, keys: list[str], fps: float, total_frames: Column | int) -> DataFrame:
+    """Duration, live play, segments, players and the active share of a game; ``total_frames`` may be a column of ``segs``."""
+    total = total_frames if isinstance(total_frames, Column) else F.lit(total_frames)
+    live = segs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_segments"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("_live"), F.max(total).alias("_total")
+    )
     who = players.groupBy(*keys).agg(F.count_distinct("player").alias("n_players"))
-    total = F.lit(total_frames)
     return live.join(who, keys, "left").select(
         *keys,
-        seconds(total, fps).alias("duration_s"),
+        seconds("_total", fps).alias("duration_s"),
         seconds("_live", fps).alias("live_play_s"),
         "n_segments",
         F.coalesce("n_players", F.lit(0)).alias("n_players"),
-        F.bround(F.coalesce(F.try_divide(F.col("_live"), total), F.lit(0.0)), 4).alias("active_fraction"),
+        F.bround(F.coalesce(F.try_divide(F.col("_live"), F.col("_total")), F.lit(0.0)), 4).alias("active_fraction"),
     )
 
 

@@ -48,9 +48,11 @@ def team_totals_from_players(players: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def team_active_seconds(tracks: DataFrame, keys: list[str], fps: float) -> DataFrame:
+def team_active_seconds(tracks: DataFrame, keys: list[str], fps: float | None = None) -> DataFrame:
+    """Live seconds of players per team; without ``fps`` the tracks have their seconds already."""
     players = tracks.where("role = 'player'")
-    return players.groupBy(*keys, "team").agg(F.bround(F.sum(seconds("active_frames", fps)), 2).alias("active_s"))
+    own = F.col("active_seconds") if fps is None else seconds("active_frames", fps)
+    return players.groupBy(*keys, "team").agg(F.bround(F.sum(own), 2).alias("active_s"))
 
 
 def player_records(players: DataFrame, keys: list[str], fps: float) -> DataFrame:

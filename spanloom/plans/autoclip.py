@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import seconds
 from ..operators import activity, intervals, tracks
 
 
@@ -13,7 +14,6 @@ def live_segments(
     clips: DataFrame,
     keys: list[str],
     fps: float,
-    total_frames: int,
     width: int,
     height: int,
     mask: DataFrame | None = None,
@@ -26,19 +26,32 @@ def live_segments(
     merge_gap_seconds: float = 2.0,
     pad_seconds: float = 1.0,
 ) -> DataFrame:
-    """Segments with seconds. Tracks are not needed: every person of a sampled frame counts."""
+    """Segments with seconds of all ``clips``, which share a rate and a frame size. Tracks are not
+    needed: every person of a sampled frame counts."""
     seen = tracks.with_surface(tracks.with_geometry(tracks.people(activity.strided(detections, stride), conf)), mask, width, height)
     spine = activity.strided(activity.frame_spine(clips, keys), stride)
     window = max(1, round(smooth_seconds * fps / stride)) if fps > 0 else 1
     flags = activity.detect_activity(seen.where("on_surface"), spine, keys, width, min_players, min_spread, window)
-    samples = flags.select(*keys, "sample", "active")
-    found = intervals.sampled_segments(samples, keys, fps, stride, total_frames, min_segment_seconds, merge_gap_seconds, pad_seconds)
-    return intervals.timed(found, fps)
+    samples = flags.select(*keys, "sample", "active").join(clips.select(*keys, "total_frames"), keys)
+    own = [*keys, "total_frames"]
+    found = intervals.sampled_segments(
+        samples, own, fps, stride, F.col("total_frames"), min_segment_seconds, merge_gap_seconds, pad_seconds
+    )
+    return intervals.timed(found.drop("total_frames"), fps)
 
 
-def extras(segs: DataFrame, source: str, total_frames: int, fps: float, surface_found: bool, stride: int) -> dict[str, object]:
-    """The further fields of a segment document."""
-    total = total_frames / fps if fps > 0 else 0.0
-    live = intervals.total_live_seconds(segs, [], fps).withColumn("s", F.bround(intervals.savings("live_seconds", F.lit(total)), 4)).first()
-    saved = live["s"] if live["s"] is not None else (1.0 if total > 0 else 0.0)
-    return {"source": source, "total_frames": total_frames, "total_seconds": round(total, 2), "savings_frac": saved, "surface_found": surface_found, "stride": stride}
+def extras(segs: DataFrame, clips: DataFrame, keys: list[str], fps: float, source: str, surface_found: bool, stride: int) -> DataFrame:
+    """The further fields of each clip's segment document, also of clips without a segment."""
+    total = seconds("total_frames", fps, None)
+    live = clips.select(*keys, "total_frames").join(intervals.total_live_seconds(segs, keys, fps), keys, "left")
+    saved = F.bround(intervals.savings(F.coalesce("live_seconds", F.lit(0.0)), total), 4)
+    return live.select(
+        *keys,
+        F.lit(float(fps)).alias("fps"),
+        F.lit(source).alias("source"),
+        "total_frames",
+        F.bround(total, 2).alias("total_seconds"),
+        saved.alias("savings_frac"),
+        F.lit(surface_found).alias("surface_found"),
+        F.lit(stride).alias("stride"),
+    )

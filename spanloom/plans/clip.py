@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pixels import element_medians, kit_chroma_column, torso_hsv_column
 from ..functions.scalars import joined_ids, seconds
 from ..operators import activity, clustering, intervals, rollups, tracks, vectors, votes
 
@@ -27,21 +28,34 @@ class ClipTables:
     heat: DataFrame
     crops: DataFrame
 
+    def release(self) -> None:
+        """Give up what was persisted, once the tables are written."""
+        self.activity.unpersist()
+        self.tracks.unpersist()
+
 
 def presence_run(detections: DataFrame, fps: float, min_confidence: float = 0.3, teams: DataFrame | None = None) -> DataFrame:
     """The first phase: tracks with presence, and with per-detection ``teams`` (game_id, frame,
-    track_id, team) the team most of them say."""
+    track_id, team) the team most of them say, of equal ones the one said first."""
     seen = tracks.tracked(tracks.people(detections, min_confidence))
     found = tracks.presence(seen, [*KEYS, "track_id"], fps)
     if teams is None:
         return found
-    return found.join(votes.majority(teams, [*KEYS, "track_id"], "team").drop("weight"), [*KEYS, "track_id"], "left")
+    return found.join(votes.majority(teams, [*KEYS, "track_id"], "team", seen="frame").drop("weight"), [*KEYS, "track_id"], "left")
+
+
+def track_colors(crops: DataFrame) -> DataFrame:
+    """``hsv`` and ``chroma`` of each track: the medians over its crops (pixels, height, width)."""
+    on_track = [*KEYS, "track_id"]
+    measured = crops.select(*on_track, torso_hsv_column("pixels", "height", "width").alias("hsv"), kit_chroma_column("pixels", "height", "width").alias("chroma"))
+    seen = measured.where("hsv IS NOT NULL AND chroma IS NOT NULL")
+    return seen.groupBy(*on_track).agg(element_medians("hsv", 3).alias("hsv"), element_medians("chroma", 2).alias("chroma"))
 
 
 def analyse(
     detections: DataFrame,
     clips: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | None,
     fps: float,
     width: int,
     height: int,
@@ -55,12 +69,21 @@ def analyse(
     min_players: int = 5,
     min_spread: float = 0.15,
     smooth_window: int = 15,
+    colors: DataFrame | None = None,
+    with_teams: bool = True,
+    with_identities: bool = True,
+    crops_per_track: int = tracks.CROPS_PER_TRACK,
 ) -> ClipTables:
-    """The second phase. ``embeddings`` has one vector per crop: game_id, track_id, embedding.
+    """The second phase of all ``clips``, which share a rate and a frame size.
+
+    ``embeddings`` has one vector per crop: game_id, track_id, embedding. With ``colors``, such as
+    those of ``track_colors``, teams follow the kits if these split clearly, and team 0 is the
+    more saturated one; without, the numbers of teams are arbitrary. Without embeddings, or if
+    not asked for, there are no teams and no identities.
 
     The flags per frame and the finished tracks feed several tables each and are persisted on
-    first use, so detections are scanned for them once; unpersist ``activity`` and ``tracks``
-    when the tables are written.
+    first use, so detections are scanned for them once; call ``release`` when the tables are
+    written.
     """
     on_track = [*KEYS, "track_id"]
     people = tracks.with_geometry(tracks.people(detections, min_confidence))
@@ -72,10 +95,17 @@ def analyse(
     live = activity.active_frames(seen, flags, KEYS)
     stats = stats.join(live, on_track, "left").withColumn("active_frames", F.coalesce("active_frames", F.lit(0).cast("long")))
     players = stats.where("role = 'player'")
+    if embeddings is None:
+        embeddings = detections.sparkSession.createDataFrame([], "game_id long, track_id long, embedding array<double>")
     pooled = vectors.pooled(embeddings.join(players.select(*on_track), on_track, "left_semi"), on_track)
     known = pooled.join(players, on_track)
-    team = clustering.assign_teams(known, KEYS, "centroid", "median_area_px")
-    who = clustering.assign_identities(known, KEYS, roster, distance, vector="centroid").select(*on_track, "player", "player_conf")
+    to_split, to_link = (known if wanted else known.where("false") for wanted in (with_teams, with_identities))
+    if colors is None:
+        team = clustering.assign_teams(to_split, KEYS, "centroid", "median_area_px")
+    else:
+        to_split = to_split.join(colors.select(*on_track, "hsv", "chroma"), on_track)
+        team = clustering.assign_teams(to_split, KEYS, "centroid", "median_area_px", "chroma", "hsv")
+    who = clustering.assign_identities(to_link, KEYS, roster, distance, vector="centroid").select(*on_track, "player", "player_conf")
     every = stats.join(team, on_track, "left").join(who, on_track, "left")
     every = every.withColumn("seconds_on_surface", seconds("on_surface_frames", fps)).withColumn("active_seconds", seconds("active_frames", fps))
     every = every.persist()
@@ -92,7 +122,7 @@ def analyse(
     )
     score = rollups.boxscore(every.where("role = 'player'"), KEYS, header, fps)
     centroids = vectors.identity_centroids(pooled.join(who.select(*on_track, "player"), on_track), [*KEYS, "player"])
-    crops = tracks.sample_crops(seen, on_track)
+    crops = tracks.sample_crops(seen, on_track, per_track=crops_per_track)
     teams_of_shifts = found.join(line.select(*KEYS, "player", "team"), [*KEYS, "player"], "left")
     return ClipTables(every, flags, segs, teams_of_shifts, line, score, centroids, tracks.heat(on_surface, width, height, KEYS), crops)
 

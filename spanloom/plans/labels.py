@@ -42,15 +42,15 @@ def named_players(players: DataFrame, tracks: DataFrame) -> DataFrame:
     return rows.select("player", F.coalesce("name", F.lit("")).alias("name"), *columns)
 
 
-def apply_to_run(spark: SparkSession, run_dir: str, labels_csv: str) -> tuple[dict, list[dict]]:
+def apply_to_run(spark: SparkSession, tracks_csv: str, players_csv: str, labels_csv: str) -> tuple[dict, list[dict]]:
     """Rewrite a run's tracks and players with names; applying twice gives the same. Returns counts and conflicts."""
-    tracks = readers.text_csv(spark, f"{run_dir}/tracks.csv")
+    tracks = readers.text_csv(spark, tracks_csv)
     labels = readers.text_csv(spark, labels_csv)
     summary = evaluation.propagation_summary(evaluation.propagate_labels(tracks, labels)).first().asDict()
     conflicts = [r.asDict() for r in evaluation.label_conflicts(tracks, labels).orderBy("kind", "key").collect()]
     new = applied(tracks, labels)
-    players = readers.text_csv(spark, f"{run_dir}/players.csv")
+    players = readers.text_csv(spark, players_csv)
     named = named_players(players, new)
-    writers.replace_table(named, f"{run_dir}/players.csv")
-    writers.replace_table(new, f"{run_dir}/tracks.csv")
+    writers.replace_table(named, players_csv)
+    writers.replace_table(new, tracks_csv)
     return summary, conflicts

@@ -10,8 +10,27 @@ from ..functions.scalars import clean_text, lenient_int
 from . import schemas
 
 
-def detections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.DETECTIONS).parquet(path)
+def detections(spark: SparkSession, path: str, **origin: str | None) -> DataFrame:
+    """Detections, of a table that names their origin only those of the given ``model`` or ``tracker``."""
+    rows = of_origin(spark.read.parquet(path), **origin)
+    return rows.select(*[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in schemas.DETECTIONS.split(", ")])
+
+
+def of_origin(rows: DataFrame, **origin: object) -> DataFrame:
+    """The rows with these values in the columns of the same names; a missing column or None is no filter."""
+    for column, value in origin.items():
+        if value is not None and column in rows.columns:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def embeddings(spark: SparkSession, path: str, embedder: str, weights: str | None, suppressed: bool, crops_per_track: int) -> DataFrame:
+    """``game_id, track_id, embedding`` of crops. Optional columns choose among them: ``embedder``,
+    ``weights``, ``suppressed`` (without the background) and ``crop``, numbered from 1 in a track."""
+    rows = of_origin(spark.read.parquet(path), embedder=embedder, weights=weights, suppressed=suppressed)
+    if "crop" in rows.columns:
+        rows = rows.where(F.col("crop") <= crops_per_track)
+    return rows.select("game_id", "track_id", "embedding")
 
 
 def clips(spark: SparkSession, path: str) -> DataFrame:
@@ -52,13 +71,23 @@ def json_document(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def segment_tables(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tables of all segments under ``path/segment=<n>/``, with the segment as a column."""
-    return spark.read.schema(schema + ", segment int").option("header", True).option("basePath", path).csv(f"{path}/segment=*")
+def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def segment_tables(spark: SparkSession, path: str, schema: str, by_game: bool = False) -> DataFrame:
+    """Tables of all segments under ``path/segment=<n>/``, with the segment as a column; ``by_game``
+    those of all games under ``path/game_id=<id>/segment=<n>/``, with the game too."""
+    parts, folders = (", game_id long, segment int", "game_id=*/segment=*") if by_game else (", segment int", "segment=*")
+    return spark.read.schema(schema + parts).option("header", True).option("basePath", path).csv(f"{path}/{folders}")
 
 
-def identities(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.IDENTITIES).parquet(path)
+def identities(spark: SparkSession, path: str, by_game: bool = False) -> DataFrame:
+    return spark.read.schema(schemas.IDENTITIES + (", game_id long" if by_game else "")).parquet(path)
 
 
 def named_players(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import pixels
 from spanloom.functions import scalars as S
 from spanloom.operators import activity, clustering, evaluation, game, intervals, rollups, tracks, vectors, votes
+from spanloom.plans import catalog
 
 
 def value(spark, column, schema="a double", row=(1.0,)):
@@ -92,6 +93,12 @@ def lines(spark):
     )
 
 
+def test_first_seen_label_wins_a_tie(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (1, 9, "b"), (1, 7, "a"), (2, 1, "c"), (2, 2, "a"), (2, 3, "a"), (3, 1, None)], "k int, frame long, l string")
+    assert {r.k: r.l for r in votes.majority(df, ["k"], "l", seen="frame").collect()} == {1: "b", 2: "a"}
+    assert {r.k: r.l for r in votes.majority(df, ["k"], "l").collect()} == {1: "a", 2: "a"}
+
+
 def test_team_totals_and_box_score(spark):
     totals = rollups.team_totals(lines(spark), [], 10.0).orderBy(rollups.team_order()).collect()
     assert [(r.team, r.n_players, r.active_s) for r in totals] == [(0, 2, 8.0), (1, 1, 4.0), (None, 1, 0.5)]
@@ -144,11 +151,13 @@ def test_identities_of_four_people():
 
 
 def slow_merge(points, veto, target, threshold):
-    """Average linkage from scratch in every step."""
-    groups = [[i] for i in range(len(points))]
+    """Average linkage from scratch in every step; also how often the closest pair of all was vetoed."""
+    groups, blocked = [[i] for i in range(len(points))], 0
     d = np.clip(1 - points @ points.T, 0, 2)
     while len(groups) > (target or 1):
-        pairs = [(d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j and not veto[np.ix_(a, b)].any()]
+        every = [(d[np.ix_(a, b)].mean(), i, j, veto[np.ix_(a, b)].any()) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        pairs = [x[:3] for x in every if not x[3]]
+        blocked += bool(min(every)[3])
         if not pairs or (target is None and min(pairs)[0] > threshold):
             break
         _, i, j = min(pairs)
@@ -156,7 +165,7 @@ def slow_merge(points, veto, target, threshold):
     out = np.zeros(len(points), int)
     for k, g in enumerate(groups):
         out[g] = k
-    return out
+    return out, blocked
 
 
 def test_merging_equals_the_slow_way():
@@ -168,7 +177,77 @@ def test_merging_equals_the_slow_way():
         veto |= veto.T
         np.fill_diagonal(veto, False)
         target = None if trial % 2 else 3
-        assert same_partition(clustering.constrained_merge(x, veto, target, 0.6)[0], slow_merge(x, veto, target, 0.6))
+        (labels, blocked), (expected, vetoed) = clustering.constrained_merge(x, veto, target, 0.6), slow_merge(x, veto, target, 0.6)
+        assert same_partition(labels, expected) and blocked == vetoed
+
+
+def test_a_veto_counts_where_merging_ends():
+    x = clustering.unit_rows(np.array([[1.0, 0, 0], [1, 0.01, 0], [0, 1, 0]]))
+    veto = np.zeros((3, 3), bool)
+    veto[0, 1] = veto[1, 0] = True
+    assert clustering.constrained_merge(x, veto, None, 0.3)[1] == 1
+
+
+VECTORS = "/root/testdata/sf0.001"
+
+
+def test_clustering_queries_equal_the_slow_way(spark):
+    """The queries without SQL, over the whole table, against plain loops."""
+    made = {n: catalog.QUERIES[n](spark, VECTORS).toPandas() for n in ("q_constrained_agglomerative", "q_cross_segment_merge", "q_hungarian_accuracy", "q_team_cluster", "q_kit_split")}
+    clips = catalog._clips(spark, VECTORS).toPandas().sort_values("track_id")
+    right = []
+    for g, own in clips.groupby("game"):
+        x = clustering.identity_reduction(np.stack(own["embedding"].to_numpy()).astype(float))
+        first, last = own["first_frame"].to_numpy(), own["last_frame"].to_numpy()
+        veto = np.array([[i != j and max(first[i], first[j]) <= min(last[i], last[j]) for j in range(len(own))] for i in range(len(own))])
+        labels, blocked = slow_merge(x, veto, None, 0.6)
+        found = made["q_constrained_agglomerative"].query("game == @g").sort_values("track_id")
+        assert same_partition(found["player"].to_numpy(), labels) and set(found["blocked"]) == {blocked}
+        assert found["player"].drop_duplicates().tolist() == list(range(labels.max() + 1))  # numbered by first appearance
+        pinned, _ = slow_merge(x, veto, 10, 0.35)
+        table = np.array([[((pinned == a) & (own["label"].to_numpy() == b)).sum() for b in range(10)] for a in range(pinned.max() + 1)])
+        right.append((g, len(own), permuted_most(table)))
+        segment = own["track_id"].to_numpy() % 5
+        order = np.lexsort((own["track_id"].to_numpy(), segment))
+        conflict = (segment[:, None] == segment) & ~np.eye(len(own), dtype=bool)
+        players, _ = slow_merge(clustering.identity_reduction(np.stack(own["embedding"].to_numpy()[order]).astype(float)), conflict[np.ix_(order, order)], None, 0.6)
+        found = made["q_cross_segment_merge"].query("game == @g").sort_values(["segment", "local_id"])
+        assert same_partition(found["player"].to_numpy(), players)
+    found = made["q_hungarian_accuracy"]
+    assert sorted(zip(found["game"], found["n"], found["correct"], strict=True)) == sorted(right)
+    for name in ("q_team_cluster", "q_kit_split"):
+        assert len(made[name]) == len(clips) and set(made[name]["team"]) <= {0, 1} and made[name]["team_conf"].between(0, 1).all()
+    kits = made["q_kit_split"].merge(clips[["track_id", "label"]], on="track_id")
+    split = kits.groupby("game")["team"].nunique() == 2
+    assert split.all()
+
+
+def permuted_most(table):
+    """The largest total of a one-to-one map, by dynamic programming over sets of columns."""
+    best = {0: 0}
+    for row in table:
+        new = dict(best)  # the row may stay without a column
+        for used, total in best.items():
+            for j, n in enumerate(row):
+                if not used >> j & 1:
+                    key = used | 1 << j
+                    new[key] = max(new.get(key, 0), total + int(n))
+        best = new
+    return max(best.values())
+
+
+def test_team_numbers_follow_colors(spark):
+    labels = np.array([0, 0, 1, 1, 1])
+    hsv = np.array([[10, 50, 90], [12, 60, 80], [90, 200, 70], [91, 10, 60], [95, 190, 50.0]])
+    assert clustering.by_color(labels, hsv).tolist() == [1, 1, 0, 0, 0]
+    assert clustering.by_color(np.array([3, 3]), hsv[:2]).tolist() == [0, 0]
+    even = np.array([[30, 9, 9], [20, 9, 9.0]])
+    assert clustering.by_color(np.array([0, 1]), even).tolist() == [1, 0]
+    x, true = blobs(2, 8)
+    rows = [(1, i, v.tolist(), [5.0, 40.0 + 100 * float(t), 50.0], [0.0, 0.0]) for i, (v, t) in enumerate(zip(x, true, strict=True))]
+    df = spark.createDataFrame(rows, "g int, track_id long, embedding array<double>, hsv array<double>, chroma array<double>")
+    teams = {r.track_id: r.team for r in clustering.assign_teams(df, ["g"], chroma="chroma", hsv="hsv").collect()}
+    assert teams == {i: int(1 - t) for i, t in enumerate(true.tolist())}
 
 
 def test_two_teams_and_kits():
@@ -301,6 +380,15 @@ def test_pixels(spark):
     df = spark.createDataFrame([(crop.tobytes(), 40, 20), (None, 40, 20)], "p binary, h int, w int")
     found = df.select(pixels.kit_chroma_column("p", "h", "w").alias("c"), pixels.torso_hsv_column("p", "h", "w").alias("t")).collect()
     assert np.allclose(found[0].c, pixels.kit_chroma(crop)) and found[1].c is None
+    boxes = df.withColumn("box", F.array(*[F.lit(float(v)) for v in (2, 3, 18, 30)]))
+    found = boxes.select(
+        pixels.without_background_column("p", "h", "w").alias("s"),
+        pixels.box_color_column("p", "h", "w", "box").alias("b"),
+        pixels.network_input_column("p", "h", "w").alias("n"),
+    ).collect()
+    assert bytes(found[0].s.pixels) == kept.tobytes() and (found[0].s.height, found[0].s.width) == kept.shape[:2] and found[1].s is None
+    assert found[0].b == pytest.approx(pixels.box_color(crop, (2, 3, 18, 30)).tolist()) and found[1].b is None
+    assert np.allclose(found[0].n, pixels.network_input(crop).ravel(), atol=1e-6) and found[1].n is None
 
 
 def test_intervals_of_no_rows(spark):

@@ -59,12 +59,14 @@ def test_analysis(spark):
 
 def test_live_segments_from_samples(spark):
     d, c, _ = scene(spark)
-    segs = autoclip.live_segments(d, c, ["game_id"], FPS, FRAMES, 900, 400, stride=5)
+    c = c.union(spark.createDataFrame([(2, FPS, 900, 400, 50)], schemas.CLIPS))
+    segs = autoclip.live_segments(d, c, ["game_id"], FPS, 900, 400, stride=5)
     found = segs.collect()
     assert len(found) == 1 and found[0].start_frame == 0 and 120 <= found[0].end_frame <= 145
-    extra = autoclip.extras(segs, "x.mp4", FRAMES, FPS, False, 5)
-    document = json.loads(writers.segments_document(segs, FPS, extra).first().value)
-    assert document["n_segments"] == 1 and document["segments"][0]["segment"] == 0 and 0 < document["savings_frac"] < 1
+    extra = autoclip.extras(segs, c, ["game_id"], FPS, "x.mp4", False, 5)
+    documents = {r.game_id: json.loads(r.value) for r in writers.segments_document(segs, extra, ["game_id"]).collect()}
+    assert documents[1]["n_segments"] == 1 and documents[1]["segments"][0]["segment"] == 0 and 0 < documents[1]["savings_frac"] < 1
+    assert (documents[2]["n_segments"], documents[2]["segments"], documents[2]["savings_frac"], documents[2]["total_seconds"]) == (0, [], 1.0, 5.0)
     assert writers.cut_plan(segs).first().filename.startswith("segment_000_0s-")
 
 
@@ -96,34 +98,99 @@ def test_csv_rules(spark, tmp_path):
     assert readers.json_document(spark, str(tmp_path / "none.json")) is None
 
 
+def saved(tmp_path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    return {name: str(tmp_path / name) for name in tables}
+
+
 def test_command_line_from_analysis_to_labels(spark, tmp_path):
     d, c, v = scene(spark)
-    for name, df in (("d", d), ("c", c), ("v", v)):
-        df.write.parquet(str(tmp_path / name))
+    at = saved(tmp_path, d=d, c=c, v=v)
     out = str(tmp_path / "run")
-    common = [str(tmp_path / "d"), "--clips", str(tmp_path / "c"), "--out", out]
+    common = [at["d"], "--clip-table", at["c"], "--out", out]
     assert "9 tracks" in cli.main(common, spark)
-    text = cli.main([*common, "--phase2", "--embeddings", str(tmp_path / "v"), "--label-crops", "--reid-distance", "0.3"], spark)
-    assert "Box score" in text
+    text = cli.main([*common, "--phase2", "--reid", "--embeddings", at["v"], "--label-crops", "--clips", "--reid-distance", "0.3"], spark)
+    assert "Box score" in text and spark.read.parquet(f"{out}/clips").count() == 1
     assert "6 players" in cli.main(["--report", out], spark)
+    page = "".join(p.read_text() for p in (tmp_path / "run" / "report.html").glob("part*"))
+    assert page.count("<svg") == 2
+    assert bytes(spark.read.parquet(f"{out}/shift_chart").first().image).startswith(b"\x89PNG")
     (tmp_path / "labels.csv").write_text("track_id,team,role,player\n0,white,player,Ana\n1,dark,player,Ben\n99,,spectator,\n")
     tags = str(tmp_path / "labels.csv")
     assert "2 tracks tagged" in cli.main(["--apply-labels", tags, "--out", out], spark)
     first = readers.text_csv(spark, f"{out}/tracks.csv")
     cli.main(["--apply-labels", tags, "--out", out], spark)
     again = readers.text_csv(spark, f"{out}/tracks.csv")
-    assert again.columns == readers.text_csv(spark, f"{out}/tracks.csv").columns and len(set(again.columns)) == len(again.columns)
-    assert first.columns == again.columns
+    assert len(set(again.columns)) == len(again.columns) and first.columns == again.columns
+    assert not [p for p in (tmp_path / "run").iterdir() if ".csv." in p.name]
     assert {r.player_name for r in again.where("track_id IN (0, 10)").collect()} == {"Ana"}
     players = readers.text_csv(spark, f"{out}/players.csv")
     assert players.columns[:2] == ["player", "name"] and players.where("name = 'Ben'").count() == 1
-    assert "Ana" in "".join(Path(p).read_text() for p in (tmp_path / "run" / "report.html").glob("part*")) or cli.main(["--report", out], spark)
+    cli.main(["--report", out], spark)
+    assert "Ana" in "".join(p.read_text() for p in (tmp_path / "run" / "report.html").glob("part*"))
     scored = cli.main(["--evaluate", tags, "--out", out], spark)
     assert "team" in scored and "100.0 %" in scored
-    clipped = cli.main([*common, "--autoclip", "--clip-stride", "5", "--cut"], spark)
-    assert clipped.startswith("1 live segments")
+    clipped = cli.main([*common, "--autoclip", "--clip-stride", "5", "--cut", "--reencode-clips"], spark)
+    assert clipped.startswith("1 live segments") and spark.read.parquet(f"{out}/cut_plan").first().reencode
     with pytest.raises(SystemExit):
         cli.main([], spark)
+    with pytest.raises(SystemExit, match="embeddings"):
+        cli.main([*common, "--phase2"], spark)
+
+
+def test_command_line_with_clips_of_two_rates(spark, tmp_path):
+    d, c, v = scene(spark)
+    shift = lambda df: df.withColumn("game_id", F.lit(2).cast("long"))
+    clips = c.union(spark.createDataFrame([(2, 2 * FPS, 900, 400, FRAMES)], schemas.CLIPS))
+    at = saved(tmp_path, d=d.union(shift(d)), c=clips, v=v.union(shift(v)))
+    out = str(tmp_path / "run")
+    common = [at["d"], "--clip-table", at["c"], "--out", out]
+    assert cli.main(common, spark).count("9 tracks") == 2
+    text = cli.main([*common, "--phase2", "--reid", "--embeddings", at["v"], "--label-crops", "--reid-distance", "0.3"], spark)
+    assert text.count("Box score") == 2
+    one, two = (readers.text_csv(spark, f"{out}/tracks.csv/game_id={i}") for i in (1, 2))
+    assert one.count() == two.count() == 9
+    seconds = [{r.track_id: float(r.seconds_on_surface) for r in df.collect()} for df in (one, two)]
+    assert seconds[1] == {k: pytest.approx(s / 2) for k, s in seconds[0].items()}
+    assert "6 players" in cli.main(["--report", out, "--clip", "2"], spark)
+    (tmp_path / "labels.csv").write_text("track_id,team,role,player\n0,white,player,Ana\n")
+    assert "1 tracks tagged" in cli.main(["--apply-labels", str(tmp_path / "labels.csv"), "--out", out, "--clip", "1"], spark)
+    assert cli.main([*common, "--autoclip", "--clip-stride", "5"], spark).count("1 live segments") == 2
+    documents = [json.loads(p.read_text()) for i in (1, 2) for p in (tmp_path / "run" / "segments.json" / f"game_id={i}").glob("part*")]
+    assert [x["fps"] for x in documents] == [FPS, 2 * FPS] and documents[0]["segments"][0]["end_time_s"] > documents[1]["segments"][0]["end_time_s"]
+
+
+def test_second_phase_without_teams_or_identities(spark, tmp_path):
+    d, c, v = scene(spark)
+    at = saved(tmp_path, d=d, c=c)
+    cli.main([at["d"], "--clip-table", at["c"], "--out", str(tmp_path / "run"), "--phase2", "--no-siglip"], spark)
+    rows = readers.text_csv(spark, str(tmp_path / "run" / "tracks.csv")).collect()
+    assert len(rows) == 9 and {(r.team, r.player) for r in rows} == {(None, None)} and not (tmp_path / "run" / "players.csv").exists()
+
+
+def test_command_line_merges_games(spark, tmp_path):
+    """Two games of two segments; local identity 0 of either segment is one player."""
+    clips = spark.createDataFrame([(1, FPS, 900, 400, 400), (2, FPS, 900, 400, 500)], schemas.CLIPS)
+    at = saved(tmp_path, c=clips, d=spark.createDataFrame([], schemas.DETECTIONS))
+    segs, tracks, found = [], [], []
+    for g in (1, 2):
+        for s, (a, b) in enumerate([(0, 99), (200, 299)]):
+            segs.append((g, s, a, b, 100, a / FPS, (b + 1) / FPS, 10.0))
+            for local in (0, 1):
+                tracks.append((g, s, local, "player", local, 0.9, local, 0.9, 0, 79, 80, 8.0, 8.0, 1.0, 2000))
+                found.append((s, local, np.eye(4)[local].tolist(), "siglip", g))
+    run = str(tmp_path / "run")
+    spark.createDataFrame(segs, "game_id long, " + schemas.SEGMENTS).repartition("game_id").write.partitionBy("game_id").option("header", True).csv(f"{run}/segments.csv")
+    spark.createDataFrame(tracks, "game_id long, segment int, " + schemas.TRACKS).write.partitionBy("game_id", "segment").option("header", True).csv(f"{run}/tracks")
+    spark.createDataFrame(found, schemas.IDENTITIES + ", game_id long").write.partitionBy("game_id").parquet(f"{run}/identities")
+    text = cli.main([at["d"], "--clip-table", at["c"], "--out", run, "--game", "--shift-gap", "3"], spark)
+    assert text.count("4 identities of segments became 2 players") == 2
+    players = spark.read.parquet(f"{run}/game_players")
+    assert players.groupBy("game_id").count().orderBy("game_id").collect() == [(1, 2), (2, 2)]
+    assert {r.active_seconds for r in players.collect()} == {16.0} and spark.read.parquet(f"{run}/game_shifts").count() == 4
+    documents = [json.loads(p.read_text()) for i in (1, 2) for p in (tmp_path / "run" / "game_boxscore.json" / f"game_id={i}").glob("part*")]
+    assert [x["duration_s"] for x in documents] == [40.0, 50.0] and all(x["live_play_s"] == 20.0 for x in documents)
 
 
 def test_labels_template(spark):
