@@ -354,14 +354,19 @@ def test_long_text_in_chunks(spark, monkeypatch):
 # --- top-k search ---
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("at_once", [2, 1000])
+def test_topk(spark, at_once):
     rng = np.random.default_rng(0)
     rows = [(i, 0, [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(230)]
     rows += [(500, 1, None), (501, 1, [1.0, float("nan"), 0.0, 0.0, 0.0]), (502, 1, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (None, 1, [1.0] * 5), (600, 1, [1.0, 2.0]), (7, 1, [1.0] * 5)]
     rows += [(700, 1, [1.0, None, 0.0, 0.0, 0.0])]
+    if at_once == 2:
+        rows += [(650, 1, []), (651, 1, []), (652, 1, []), (750, 1, [2.0, -1.0])]
+    else:
+        rows = [r for r in rows if r[0] != 600]  # queries of one length are broadcast
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(7)
     found = defaultdict(list)
-    for r in topk_search.topk_search(df, F.col("vec_id") % 50 == 0, k=4, queries_per_round=2, tile=16, fan_in=2).collect():
+    for r in topk_search.topk_search(df, F.col("vec_id") % 50 == 0, k=4, queries_at_once=at_once, shard_rows=40, tile=16, fan_in=2).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
     real = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, _, v in rows if v is not None and i is not None and None not in v and np.isfinite(np.array(v, float)).all()]
     for q, v in real:
