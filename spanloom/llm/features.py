@@ -6,6 +6,8 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from math import log1p, sqrt
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,31 @@ def word_blocks(text: str, most: int = 1_000_000) -> Iterator[list[str]]:
     yield (text[at:] if at else text).split()
 
 
+#: Stands for a word that follows itself.
+AGAIN = "\0again"
+
+
+def word_counts(text: str, again: bool = False) -> Counter:
+    """How often each word of a text occurs, and with ``again`` how often a word follows itself (``AGAIN``)."""
+    counts: Counter = Counter()
+    last = None
+    for words in word_blocks(text):
+        counts.update(words)
+        if again and words:
+            n = sum(map(eq, words, words[1:])) + (words[0] == last)
+            if n:
+                counts[AGAIN] += n
+            last = words[-1]
+    return counts
+
+
+def damped(counts: Iterable[int]) -> list[float]:
+    """Logarithms of counts, to unit length: a word that matters is not lost among many others."""
+    values = [log1p(c) for c in counts]
+    length = sqrt(sum(v * v for v in values)) or 1.0
+    return [v / length for v in values]
+
+
 def hashed_sample(rows: DataFrame, label: str, id_: str, most: int) -> DataFrame:
     """The ``most`` rows of each label with the smallest hash of the id, ties by id.
 
@@ -54,8 +81,9 @@ def labelled_words(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_id_col: str = "doc_id",
+    again: bool = False,
 ) -> DataFrame:
-    """``label, words, counts`` of a sample of labelled documents.
+    """``label, words, counts`` of a sample of labelled documents; ``again`` as in ``word_counts``.
 
     At most ``per_class`` documents of each label value are taken, those with the smallest
     hash of the id, and never one of the held-out fold; that bounds the sample, and its ids
@@ -77,9 +105,7 @@ def labelled_words(
                 part = batch.slice(lo, 256)
                 words, counts = [], []
                 for text in part.column(0).to_pylist():
-                    c: Counter = Counter()
-                    for block in word_blocks(text):
-                        c.update(block)
+                    c = word_counts(text, again)
                     words.append(list(c))
                     counts.append(list(c.values()))
                 yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembering, frugal, is_held_out, text_or_empty
-from .features import Adam, Bags, fit, labelled_words, logistic, word_blocks
+from .features import AGAIN, Adam, Bags, damped, fit, labelled_words, logistic, word_counts
 
 WIDTH = 1 << 17
-OUT = "doc_id long, held_out boolean, n_words long, expected_grade double, tail_probability double, selected boolean"
+OUT = (
+    "doc_id long, held_out boolean, n_words long, expected_grade double, tail_probability double, selected boolean,"
+    " tail_probabilities array<double>"
+)
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+")
 
 
 def word_features(word: str) -> list[int]:
     """A word's hashed lower-case form and its shape (runs of capitals, letters and digits)."""
+    if word == AGAIN:
+        return [zlib.crc32(b"again") % WIDTH]
     shape = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
     return [zlib.crc32(b"w" + word.lower().encode()) % WIDTH, zlib.crc32(b"s" + shape.encode()) % WIDTH]
 
@@ -33,8 +39,7 @@ def train(
     labels = []
     for label, words, counts in rows:
         if 0 <= label < grades:
-            n = max(1, sum(counts))
-            bag.add(words, [c / n for c in counts])
+            bag.add(words, damped(counts))
             labels.append(label)
     bag.close()
     y = np.array(labels)
@@ -46,7 +51,7 @@ def train(
     above = np.array([np.clip((y > k).mean(), 0.01, 0.99) for k in range(grades - 1)])
     cuts = np.log((1 - above) / above)
     free = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
-    adam = Adam(WIDTH + grades - 1, 0.1)
+    adam = Adam(WIDTH + grades - 1, 0.3)
     for _ in range(rounds):
         gaps = np.exp(free[1:])
         cuts = np.cumsum(np.concatenate([free[:1], gaps]))
@@ -84,10 +89,11 @@ def quality(
 
     ``grade`` is a rating 0 .. ``grades`` - 1 over the columns of ``labels``; by default 0 for
     low quality, 1 for good but toxic, 2 for good text. All grades share one vector of weights
-    over hashed words and word shapes, each with its share of the text's words; ordered
-    thresholds cut the score into grades. ``tail_probability`` is P(grade >= select_from), and
-    a text is selected from ``least_probability`` on. The model learns from at most
-    ``per_grade`` documents of each grade outside the held-out fold.
+    over hashed words, word shapes and immediate repetition, each with the logarithm of its
+    count in the text, to unit length; ordered thresholds cut the score into grades.
+    ``tail_probabilities`` are P(grade >= 1), P(grade >= 2), ..; ``tail_probability`` is the one
+    of ``select_from``, and a text is selected from ``least_probability`` on. The model learns
+    from at most ``per_grade`` documents of each grade outside the held-out fold.
 
     Null and empty texts score 0 before the thresholds. With fewer than two grades among the
     labels nothing is learnt, and the probabilities are those of equal grades. Repeated rows
@@ -95,7 +101,7 @@ def quality(
     """
     if grade is None:
         grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
-    sample = labelled_words(docs, labels, grade, per_grade, id_col, text_col)
+    sample = labelled_words(docs, labels, grade, per_grade, id_col, text_col, again=True)
     weights, cuts = fit(sample, lambda rows: train(rows, grades))
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), cuts))
 
@@ -107,12 +113,9 @@ def quality(
         for batch in batches:
             total, count = [], []
             for text in batch.column(2):
-                s, n = 0.0, 0
-                for words in word_blocks(text.as_py()):
-                    s += sum(map(get, words))
-                    n += len(words)
-                total.append(s / n if n else 0.0)
-                count.append(n)
+                own = word_counts(text.as_py(), again=True)
+                total.append(sum(map(mul, damped(own.values()), map(get, own))))
+                count.append(own.total() - own[AGAIN])
             above = logistic(np.array(total, np.float64)[:, None] - at[None, :])
             tail = above[:, select_from - 1] if select_from else np.ones(len(total))
             yield pa.RecordBatch.from_arrays(
@@ -123,8 +126,9 @@ def quality(
                     pa.array(above.sum(1)),
                     pa.array(tail),
                     pa.array(tail >= least_probability),
+                    pa.array(list(above), pa.list_(pa.float64())),
                 ],
-                names=["doc_id", "held_out", "n_words", "expected_grade", "tail_probability", "selected"],
+                names=["doc_id", "held_out", "n_words", "expected_grade", "tail_probability", "selected", "tail_probabilities"],
             )
 
     rows = docs.select(
