@@ -515,6 +515,60 @@ def test_language_held_out_and_mixtures(spark):
     assert kept.columns == df.columns and not {r.doc_id for r in kept.collect()} & {1000, 1001, 1002, 1003} and kept.count() == df.count() - 4
 
 
+def mixture_by_hand(words, langs, steps, most, penalty):
+    """EM over (likelihoods, count) of a text's words, a word at a time, then sets of languages by penalised likelihood."""
+
+    def fit(share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * langs
+            for p, n in words:
+                total = sum(a * b for a, b in zip(p, share, strict=True))
+                for k in range(langs):
+                    new[k] += n * p[k] * share[k] / total
+            mass = sum(n for _, n in words)
+            share = [x / mass for x in new]
+        return share, sum(n * np.log(sum(a * b for a, b in zip(p, share, strict=True))) for p, n in words)
+
+    full, _ = fit([1 / langs] * langs, steps)
+    order = sorted(range(langs), key=lambda k: (-full[k], k))
+    best, chosen = -np.inf, None
+    for size in range(1, min(most, langs) + 1):
+        share = [max(full[k], 1e-6) if k in order[:size] else 0.0 for k in range(langs)]
+        share, like = fit([x / sum(share) for x in share], 0 if size == 1 else 3)
+        like -= penalty * (size - 1) * np.log(sum(n for _, n in words) + 1)
+        if like > best:
+            best, chosen = like, share
+    return chosen
+
+
+def test_language_mixture_equals_plain_em():
+    rng = np.random.default_rng(3)
+    mixture = language.Mixture(4)
+    texts = []
+    for size in (1, 2, 7, 40, 40, 60):
+        p = rng.random((size, 4)) ** 4 + 1e-3
+        p[: size // 2, rng.integers(4)] += 2
+        texts.append((p / p.max(1, keepdims=True), rng.integers(1, 4, size).astype(float)))
+    found = mixture.infer(
+        np.concatenate([p for p, _ in texts]).astype(np.float32), np.concatenate([n for _, n in texts]).astype(np.float32), np.array([len(n) for _, n in texts])
+    )
+    for own, (p, n) in zip(found, texts, strict=True):
+        assert np.allclose(own, mixture_by_hand(list(zip(p.tolist(), n.tolist(), strict=True)), 4, mixture.steps, mixture.most, mixture.penalty), atol=2e-3)
+    assert len({int((own > 0).sum()) for own in found}) > 1
+
+
+def test_language_and_classifiers_take_null_and_repeated_ids(spark):
+    table, word = language_table(spark, 60)
+    odd = documents(spark, [" ".join(word("aa") for _ in range(20))] * 3, [None, None, 5], ["aa", None, "bb"])
+    found = language.identify(table.unionByName(odd)).collect()
+    assert len(found) == 63 and {(r.lang_pred, r.held_out) for r in found if r.doc_id is None} == {("aa", False)}
+    docs, labels = rated(spark, 80)
+    odd = documents(spark, ["vilk zogge"] * 3, [None, None, 5])
+    for made in (toxicity.toxicity(docs.unionByName(odd), labels), quality.quality(docs.unionByName(odd), labels)):
+        rows = made.collect()
+        assert len(rows) == 83 and sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 5 for r in rows) == 2
+
+
 def test_language_learns_from_nothing(spark):
     df = documents(spark, ["abc", None], langs=[None, "en"])
     assert {r.lang_pred for r in language.identify(df).collect()} == {"und"}
@@ -570,6 +624,82 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_equals_a_plain_fit(spark):
+    """Naive Bayes ratios times logistic weights on a dense table of named n-grams, without hashes."""
+    docs, labels = rated(spark, 120, seed=4)
+    found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    texts = {r.doc_id: {w.lower().strip("!") for w in r.text.split()} for r in docs.collect()}
+    own = {i: Counter(g for w in words for g in {f"<{w}>"[a : a + n] for n in (3, 4, 5) for a in range(len(w) + 3 - n)}) for i, words in texts.items()}
+    true = {r.doc_id: r.toxic for r in labels.collect()}
+    train = [i for i in sorted(own) if not found[i].held_out]
+    names = {g: k for k, g in enumerate(sorted({g for i in train for g in own[i]}))}
+    x, y = np.zeros((len(train), len(names))), np.array([true[i] for i in train])
+    for row, i in enumerate(train):
+        for g, n in own[i].items():
+            x[row, names[g]] = n
+    positive, negative = x[y == 1].sum(0), x[y == 0].sum(0)
+    # The smoothing of all hashed cells counts, used or not.
+    p, q = ((c + 1) / (c.sum() + toxicity.WIDTH) for c in (positive, negative))
+    ratio = np.where(positive + negative >= 3, np.log(p / q), 0)
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    beta, m, v = np.zeros(len(names) + 1), 0, 0
+    for t in range(1, 151):
+        error = weight * (1 / (1 + np.exp(-(x @ (ratio * beta[:-1]) + beta[-1]))) - y)
+        gradient = np.append(ratio * (error @ x) + 1e-3 * beta[:-1], error.sum())
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        beta -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    final = ratio * beta[:-1]
+    score = {i: 1 / (1 + np.exp(-(beta[-1] + sum(n * final[names[g]] for g, n in own[i].items() if g in names)))) for i in own}
+    off = [abs(score[i] - found[i].score) for i in own]
+    assert np.median(off) < 0.01 and np.mean(np.array(off) < 0.05) > 0.95
+
+
+def quality_by_hand(text, weights, cuts):
+    words = text.split()
+    counts = Counter(words)
+    if n := sum(a == b for a, b in zip(words, words[1:], strict=False)):
+        counts[features.AGAIN] = n
+    length = np.sqrt(sum(np.log1p(c) ** 2 for c in counts.values())) or 1
+    f = sum(np.log1p(c) / length * sum(weights[g] for g in quality.word_features(w)) for w, c in counts.items())
+    return [1 / (1 + np.exp(c - f)) for c in cuts]
+
+
+def test_quality_equals_plain_formulas(spark):
+    docs, labels = rated(spark, 150, seed=6)
+    odd = documents(spark, ["a a a b", "a b a b", "", None, "x " * 30], range(900, 905))
+    every = docs.unionByName(odd)
+    found = {r.doc_id: r for r in quality.quality(every, labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in every.collect()}
+    true = {r.doc_id: (0 if r.quality == 0 else 2 - r.toxic) for r in labels.collect()}
+    sample = [i for i in true if not found[i].held_out]
+    counts = {i: features.word_counts(texts[i], True) for i in sample}
+    weights, cuts = quality.train([(true[i], list(counts[i]), list(counts[i].values())) for i in sample], 3)
+    for i, r in found.items():
+        above = quality_by_hand(texts[i], weights, cuts)
+        assert list(r.tail_probabilities) == pytest.approx(above, abs=0.02) and r.tail_probability == r.tail_probabilities[0]
+        assert r.expected_grade == pytest.approx(sum(above), abs=0.03) and r.selected == (r.tail_probability >= 0.5)
+        assert r.n_words == len(texts[i].split())
+
+    def likelihood(weights, cuts):
+        """Of the sample's grades, by differences of tails."""
+        out = 0.0
+        for i in sample:
+            tails = [1.0, *quality_by_hand(texts[i], weights, cuts), 0.0]
+            out += np.log(max(tails[true[i]] - tails[true[i] + 1], 1e-12))
+        return out
+
+    best = likelihood(weights, cuts)
+    share = np.bincount([true[i] for i in sample], minlength=3) / len(sample)
+    assert best > len(sample) * (share * np.log(share)).sum() * 0.2
+    rng = np.random.default_rng(0)
+    used = np.unique([g for i in sample for w in counts[i] for g in quality.word_features(w)])
+    for _ in range(3):
+        other = weights.copy()
+        other[used] += rng.normal(0, 1.5, len(used))
+        assert likelihood(other, cuts) < best
+    assert likelihood(weights, cuts + np.array([2.0, 0])) < best and likelihood(weights, cuts + np.array([0, -2.0])) < best
+
+
 def test_quality_grades_held_out(spark):
     docs, labels = rated(spark, 600)
     found = {r.doc_id: r for r in quality.quality(awkward(docs), labels, per_grade=300).collect()}
