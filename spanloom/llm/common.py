@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -29,17 +30,39 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The folder of this process under each shared folder; all are deleted when it ends.
+_OWN: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    root = scratch_root(spark)
+    if root not in _OWN:
+        _OWN[root] = f"{root}/spanloom-{uuid.uuid4().hex}"
+        # Results are read from these tables as late as the caller likes, so nothing earlier may delete the last ones.
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), _OWN[root])
+    return _OWN[root]
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    """Delete a folder, if the JVM is still there to do so."""
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(configuration).delete(target, True)
+    except Exception:  # noqa: BLE001 - at the end of a process nothing is left to handle it
+        pass
+
+
 class Scratch:
     """Tables written under the shared folder by one run of an operator.
 
     ``save`` cuts the lineage: the rows are written as Parquet and read again, so a lost
     executor never forces the earlier stages to run anew. ``drop`` deletes a table that no
-    later step reads.
+    later step reads; those that results are read from go when the process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._tables: list[DataFrame] = []  # alive, so that ids stay theirs
         self._n = 0

@@ -24,11 +24,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between models of good texts and of all texts."""
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return score_documents(_table(spark, sf_dir, "documents"), good)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text by the ranks of the public byte-level tokenizer."""
     import public_tokenizers
 
     return byte_bpe(
@@ -42,32 +44,39 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language mixture of every text, learnt outside the held-out fold."""
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every text by the labels of quality and toxicity."""
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every vector whose id is divisible by 100."""
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 2048 tokens of the public word tokenizer."""
     import public_tokenizers
 
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text, learnt outside the held-out fold."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; the largest id stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the strings of 400 bytes that occur again; all copies go."""
     return suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=400, later=False)
 
 

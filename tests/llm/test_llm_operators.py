@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -796,6 +799,27 @@ def test_lm_counts_have_no_caps(spark, monkeypatch):
     check_losses(lm_scoring.score_documents(documents(spark, texts), ids).collect(), texts, losses_by_hand(texts, own))
 
 
+def test_scratch_tables_go_with_the_process(tmp_path):
+    """Dropped tables go at once, the others at the end of the process that wrote them."""
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+from spanloom.llm.common import Scratch
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()
+scratch = Scratch(spark, 'x')
+one, two = scratch.save(spark.range(3)), scratch.save(spark.range(4))
+scratch.keep_only(two)
+import glob
+found = glob.glob('{tmp_path}/spanloom-*/*/*')
+assert len(found) == 1 and two.count() == 4, found
+if len(sys.argv) > 1:
+    spark.stop()
+"""
+    for extra in ([], ["stop"]):
+        subprocess.run([sys.executable, "-c", code, *extra], check=True, cwd=Path(__file__).parents[2], timeout=120)
+        assert not list(tmp_path.glob("spanloom-*"))
+
+
 def test_remembering_holds_two_generations():
     made = []
     memo = Remembering(lambda k: made.append(k) or k * 2, 3)
