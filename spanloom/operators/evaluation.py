@@ -6,7 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text
@@ -177,23 +177,40 @@ def label_conflicts(tracks: DataFrame, labels: DataFrame, cluster: str = "player
     return mixed.unionByName(split)
 
 
+def overlapping_pairs(spans: DataFrame, keys: list[str], start: str, end: str, out: str = "n") -> DataFrame:
+    """Per key the number of pairs of spans (inclusive ends) that share a frame, without making the pairs.
+
+    Swept in time: a span that opens overlaps those that opened before it and have not closed.
+    """
+    whole = spans.where(F.col(start) <= F.col(end))
+    opens = whole.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_close"))
+    closes = whole.select(*keys, F.col(end).alias("_t"), F.lit(1).alias("_close"))
+    before = Window.partitionBy(*keys).orderBy("_t", "_close").rowsBetween(Window.unboundedPreceding, -1)
+    swept = opens.unionByName(closes).withColumn("_open", F.coalesce(F.sum(1 - 2 * F.col("_close")).over(before), F.lit(0)))
+    return swept.where("_close = 0").groupBy(*keys).agg(F.sum("_open").cast("long").alias(out))
+
+
 def validate_identities(tracks: DataFrame, keys: list[str]) -> DataFrame:
     """Counters per game: pairs of one identity that overlap in time, and pairs with known teams.
 
-    A run passes without overlaps; ``same`` and ``cross`` count checkable pairs by team.
+    A run passes without overlaps; ``same`` and ``cross`` count checkable pairs by team. Pairs
+    are counted, not made: from the sizes of identities and of their teams, and by a sweep in time.
     """
-    order = Window.partitionBy(*keys, "player").orderBy("track_id")
-    rows = tracks.where(F.col("player").isNotNull()).withColumn("_n", F.row_number().over(order))
-    left = rows.select(*keys, "player", F.col("_n").alias("i"), F.col("first_frame").alias("a1"), F.col("last_frame").alias("a2"), F.col("team").alias("ta"))
-    right = rows.select(*keys, "player", F.col("_n").alias("j"), F.col("first_frame").alias("b1"), F.col("last_frame").alias("b2"), F.col("team").alias("tb"))
-    pairs = left.join(right, [*keys, "player"]).where(F.col("i") < F.col("j"))
-    known = F.col("ta").isNotNull() & F.col("tb").isNotNull()
-    counters = [
-        F.count(F.lit(1)).alias("pairs"),
-        F.count_if(F.greatest("a1", "b1") <= F.least("a2", "b2")).alias("violations"),
-        F.count_if(known).alias("checkable"),
-        F.count_if(known & (F.col("ta") == F.col("tb"))).alias("same"),
-        F.count_if(known & (F.col("ta") != F.col("tb"))).alias("cross"),
-    ]
-    found = pairs.groupBy(*keys).agg(*counters) if keys else pairs.agg(*counters)
+
+    def pairs_of(n: str) -> Column:
+        return F.sum(F.col(n) * (F.col(n) - 1) / 2).cast("long")
+
+    rows = tracks.where(F.col("player").isNotNull())
+    who = [*keys, "player"]
+    teams = rows.groupBy(*who, "team").agg(F.count(F.lit(1)).alias("_n")).withColumn("_known", F.when(F.col("team").isNotNull(), F.col("_n")).otherwise(0))
+    sizes = teams.groupBy(*who).agg(F.sum("_n").alias("_n"), F.sum("_known").alias("_of_team"), pairs_of("_known").alias("same"))
+    zero = F.lit(0).cast("long")
+    counted = sizes.groupBy(*keys).agg(pairs_of("_n").alias("pairs"), pairs_of("_of_team").alias("checkable"), F.sum("same").alias("same"))
+    swept = overlapping_pairs(rows, who, "first_frame", "last_frame", "violations")
+    parts = counted.withColumn("violations", zero).unionByName(
+        swept.select(*keys, "violations", *[zero.alias(c) for c in ("pairs", "checkable", "same")])
+    )
+    sums = [F.coalesce(F.sum(c), zero).alias(c) for c in ("pairs", "violations", "checkable", "same")]
+    found = parts.groupBy(*keys).agg(*sums) if keys else parts.agg(*sums)
+    found = found.withColumn("cross", F.col("checkable") - F.col("same"))
     return found.withColumn("verdict", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))

@@ -23,13 +23,14 @@ def running_presence(detections: DataFrame, keys: list[str]) -> DataFrame:
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, delay: str | None = None) -> DataFrame:
     """Session windows per key, closed when the watermark passes their end.
 
-    Rows later than ``delay`` (by default the gap) behind the newest are dropped. Sessions that
-    are still open when a stream ends are not emitted; a batch of the same rows has them too.
+    Rows later than ``delay`` (by default the gap) behind the newest are dropped. Emitted are
+    exactly the sessions of a batch over the same rows that end by the last watermark; those
+    that are open when a stream ends stay in its state. The bounds are aggregates: a filter on
+    the bounds of the window itself would be pushed below the merging of sessions and split them.
     """
     windowed = events.withWatermark(time, delay or gap).groupBy(*keys, F.session_window(time, gap).alias("w"))
-    return windowed.agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"
-    )
+    bounds = F.min(time).alias("start"), (F.max(time) + F.expr(f"INTERVAL {gap}")).alias("end")
+    return windowed.agg(*bounds, F.count(F.lit(1)).alias("n")).select(*keys, "start", "end", "n")
 
 
 def color_teams(colors: DataFrame, min_samples: int = 8) -> DataFrame:

@@ -335,6 +335,22 @@ def test_heavier_label_wins_and_conflicts_show(spark):
     assert [(r.kind, r.key, r.labels) for r in evaluation.label_conflicts(t, lab).collect()] == [("mixed cluster", "5", ["Ana", "Ben"])]
 
 
+def test_overlaps_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(rng.integers(4)), i, int(a), int(a + n), None if t == 2 else int(t)) for i, (k, a, n, t) in enumerate(zip(rng.integers(0, 3, 150), rng.integers(0, 60, 150), rng.integers(-1, 9, 150), rng.integers(0, 3, 150), strict=True))]
+    df = spark.createDataFrame(rows, "g int, player long, track_id long, first_frame long, last_frame long, team int")
+    found = {r.g: r for r in evaluation.validate_identities(df, ["g"]).collect()}
+    for g in range(3):
+        pairs = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] == g and a[1] == b[1]]
+        known = [(a, b) for a, b in pairs if a[5] is not None and b[5] is not None]
+        violations = sum(max(a[3], b[3]) <= min(a[4], b[4]) for a, b in pairs)
+        same = sum(a[5] == b[5] for a, b in known)
+        r = found[g]
+        assert (r.pairs, r.violations, r.checkable, r.same, r.cross, r.verdict) == (len(pairs), violations, len(known), same, len(known) - same, "FAIL")
+    none = evaluation.validate_identities(df.where("false"), []).first()
+    assert (none.pairs, none.violations, none.verdict) == (0, 0, "PASS")
+
+
 def test_validation_counts(spark):
     df = spark.createDataFrame([(1, 1, 0, 10, 0), (2, 1, 5, 20, 0), (3, 1, 30, 40, 1), (4, 2, 0, 9, None)], "track_id int, player int, first_frame long, last_frame long, team int")
     assert tuple(evaluation.validate_identities(df, []).first()) == (3, 1, 3, 1, 2, "FAIL")
