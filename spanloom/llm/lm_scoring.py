@@ -25,8 +25,8 @@ from .features import word_blocks
 
 #: The count that every word has beforehand, and the weight of the unigrams in tokens of a context.
 SMOOTH, PRIOR = 0.5, 4.0
-#: Target ids up to this number are broadcast (8 MB); more are joined by a shuffle of both sides.
-BROADCAST_IDS = 1_000_000
+#: Target ids up to this number are broadcast (15 MB); more are joined by a shuffle of both sides.
+BROADCAST_IDS = 200_000
 #: A chunk is closed at this many tokens, a bucket gets about so many keys of all chunks.
 CHUNK_TOKENS = 700_000
 BUCKET_WORDS, BUCKET_PAIRS = 1_000_000, 2_000_000
