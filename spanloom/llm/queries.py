@@ -76,8 +76,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every text without the strings of 400 bytes that occur again; all copies go."""
-    return suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=400, later=False)
+    """What is left of every text without the strings of 400 bytes that occur again; all copies go.
+
+    ``n_repeated`` also counts passages from 200 bytes on, which stay.
+    """
+    return suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=400, later=False, report_bytes=200)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -147,9 +150,17 @@ ORACLES: dict[str, str] = {
         ), text AS (
             SELECT doc_id, string_agg(CASE WHEN t >= f THEN hex(b[f:t]) ELSE '' END, '' ORDER BY f) AS x FROM kept GROUP BY doc_id
         )
+        , short AS (
+            SELECT doc_id, i, md5(hex(b[i:i + 199])) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM bytes WHERE octet_length(b) >= 200)
+        ), shown AS (
+            SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 200) AS j FROM short
+            WHERE h IN (SELECT h FROM short GROUP BY h HAVING count(*) > 1)
+        ), passages AS (
+            SELECT doc_id, sum(least(j - i, 200)) AS n FROM shown GROUP BY doc_id
+        )
         SELECT b.doc_id, octet_length(b.b) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
-               sha256(unhex(t.x)) AS kept_sha256
-        FROM bytes b JOIN text t ON b.doc_id = t.doc_id LEFT JOIN cuts c ON b.doc_id = c.doc_id
+               sha256(unhex(t.x)) AS kept_sha256, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeated
+        FROM bytes b JOIN text t ON b.doc_id = t.doc_id LEFT JOIN cuts c ON b.doc_id = c.doc_id LEFT JOIN passages p ON b.doc_id = p.doc_id
     """,
     "op6_topk_search": """
         WITH usable AS (

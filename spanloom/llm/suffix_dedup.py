@@ -12,7 +12,9 @@ that all suffixes with equal first ``min_bytes`` bytes (a *window*) meet:
   the task of its anchor with its bytes. There the suffixes that begin the windows are put
   into suffix order by prefix doubling, the previous and next smaller positions in that order
   are found, and the longer of the two matches is the suffix's longest previous factor. A
-  window repeats an earlier one exactly if that factor has ``min_bytes`` bytes.
+  window repeats an earlier one exactly if that factor has ``min_bytes`` bytes. Where strings of
+  more lengths than one are asked for, the shortest deals the suffixes, their bytes reach as far
+  as the longest, and the factors tell them all.
 * An anchor with too many contents for one task is cut finer: its windows are dealt by their
   distance to the anchor and the bytes that all windows of such a block share, first in a few
   blocks, then one by one, and equal pieces settle each other again. Equal windows still meet.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,10 @@ _POSITION_BITS = 21
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-ANCHORS = "anchor long, run binary, doc long, start long, windows int, off int"
-PIECES = "anchor long, doc long, start long, bytes binary"
-RANGES = "doc long, first long, last long"
+ANCHORS = "anchor long, run binary, doc long, start long, windows int, off int, reach int"
+PIECES = "anchor long, doc long, start long, windows int, bytes binary"
+SINGLES = "size int, run binary, doc long, start long"
+RANGES = "doc long, size int, first long, last long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,10 +101,15 @@ def gram_size(min_bytes: int) -> int:
     return max(1, min(64, min_bytes // 4))
 
 
-def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first window, number of windows and anchor's offset of each run.
+def runs(
+    buffer: bytes, starts: np.ndarray, windows: np.ndarray, ends: np.ndarray, size: int, reach: int
+) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, content hash, first window, number of windows, anchor's offset and bytes of each run.
 
-    ``starts`` and ``ends`` delimit the texts that the buffer joins; windows never cross them.
+    ``starts`` and ``ends`` delimit the texts that the buffer joins and ``windows`` says how many
+    windows of ``size`` bytes begin in each; none crosses its end. The bytes of a run are those
+    up to ``reach`` from its last window, or the end of the text, and its content is these
+    bytes and the number of windows.
     """
     from xxhash import xxh3_128_digest
 
@@ -111,129 +120,136 @@ def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tupl
     at = (sliding_minimum(key, size - gram + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
     edge = np.zeros(len(at) + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, ends - size + 1, -1)
+    np.add.at(edge, starts + windows, -1)
     window = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     at = at[window]
-    text = np.searchsorted(starts, window, side="right")
+    text = np.searchsorted(starts, window, side="right") - 1
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     count = np.diff(np.r_[first, len(at)])
     begin, anchor = window[first], at[first]
+    length = np.minimum(count - 1 + reach, ends[text[first]] - begin)
     view = memoryview(buffer)
-    content = [xxh3_128_digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + size).tolist(), strict=True)]
-    return hashes[anchor], content, begin, count, anchor - begin
+    content = [xxh3_128_digest(view[a : a + n], c) for a, n, c in zip(begin.tolist(), length.tolist(), count.tolist(), strict=True)]
+    return hashes[anchor], content, begin, count, anchor - begin, length
 
 
-def _buffers(texts: Iterator[tuple[int, bytes]], size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, list[int], list[int]]]:
-    """Texts of at least ``size`` bytes joined into buffers; a long text in pieces that overlap by size - 1."""
-    parts, ids, bases, total = [], [], [], 0
+def _buffers(texts: Iterator[tuple[int, bytes]], size: int, reach: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
+    """Texts of at least ``size`` bytes joined into buffers; a long text in pieces that overlap by reach - 1.
+
+    Yields the buffer, the texts' starts, windows and ends in it, their numbers and their offsets.
+    """
+    parts, counts, ids, bases, total = [], [], [], [], 0
 
     def out():
         lengths = np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)
-        return b"".join(parts), ends - lengths, ends, list(ids), list(bases)
+        return b"".join(parts), ends - lengths, np.array(counts), ends, list(ids), list(bases)
 
     for i, text in texts:
         for base in range(0, len(text) - size + 1, CHUNK):
-            part = text[base : base + CHUNK + size - 1]
+            part = text[base : base + CHUNK + reach - 1]
             parts.append(part)
+            counts.append(min(CHUNK, len(text) - size + 1 - base))
             ids.append(i)
             bases.append(base)
             total += len(part)
             if total >= CHUNK:
                 yield out()
-                parts, ids, bases, total = [], [], [], 0
+                parts, counts, ids, bases, total = [], [], [], [], 0
     if parts:
         yield out()
 
 
-def anchors(rows: DataFrame, size: int) -> DataFrame:
+def anchors(rows: DataFrame, size: int, reach: int) -> DataFrame:
     """The runs of every text of ``rows`` (doc, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             texts = ((i, t.as_py()) for i, t in enumerate(batch.column(1)))
-            for buffer, starts, ends, ids, bases in _buffers(texts, size):
-                anchor, content, begin, count, off = runs(buffer, starts, ends, size)
+            for buffer, starts, windows, ends, ids, bases in _buffers(texts, size, reach):
+                anchor, content, begin, count, off, length = runs(buffer, starts, windows, ends, size, reach)
                 text = np.searchsorted(starts, begin, side="right") - 1
                 start = begin - starts[text] + np.array(bases)[text]
-                yield _runs_batch(anchor.view(np.int64), content, docs[np.array(ids)[text]], start, count, off)
+                yield _batch(ANCHORS, (anchor.view(np.int64), content, docs[np.array(ids)[text]], start, count, off, length))
 
     return rows.mapInArrow(frugal(run), ANCHORS)
 
 
-def _runs_batch(anchor, content, doc, start, windows, off) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    columns = (anchor, content, doc, start, np.asarray(windows, np.int32), np.asarray(off, np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "run", "doc", "start", "windows", "off"]
-    )
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
 
+def _batch(ddl: str, columns) -> pa.RecordBatch:
+    fields = [f.split() for f in ddl.split(", ")]
+    arrays = [pa.array(np.asarray(c, np.int32) if t == "int" else c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
-def _with_text(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``doc, text, runs``: the texts that hold chosen runs (doc, anchor, start, windows, off)."""
-    own = chosen.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "off")).alias("runs"))
-    return rows.join(own, "doc").select("doc", "text", "runs")
 
+def _of_each_run(rows: DataFrame, chosen: DataFrame, ddl: str, made, at_once: int) -> DataFrame:
+    """Rows of ``ddl`` that ``made`` gives for each chosen run (doc, anchor, start, windows, off, reach) and its text."""
+    own = chosen.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "off", "reach")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                for r in found.as_py():
+                    out += made(doc, text, r)
+                    if len(out) >= at_once:
+                        yield _batch(ddl, zip(*out, strict=True))
+                        out = []
+            if out:
+                yield _batch(ddl, zip(*out, strict=True))
 
-def _each_run(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, dict]]:
-    for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-        text = text.as_py()
-        for r in own.as_py():
-            yield doc, text, r
+    return rows.join(own, "doc").select("doc", "text", "runs").mapInArrow(frugal(run), ddl)
 
 
-def finer(rows: DataFrame, chosen: DataFrame, size: int, blocks: int) -> DataFrame:
+def finer(rows: DataFrame, chosen: DataFrame, size: int, reach: int, blocks: int = BLOCKS) -> DataFrame:
     """Chosen runs cut into ``blocks`` by the windows' distance to the anchor, as runs of finer anchors.
 
     The finer anchor is the block with the bytes that all of its windows share.
     """
-    reach = size - gram_size(size) + 1
-    width = -(-reach // blocks)
+    most = size - gram_size(size) + 1
+    width = -(-most // blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(doc: int, text: bytes, r: dict) -> Iterator[tuple]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text, r in _each_run(batch):
-                at = r["start"] + r["off"]
-                for block in range((r["off"] - r["windows"] + 1) // width, r["off"] // width + 1):
-                    near, far = block * width, min((block + 1) * width, reach) - 1
-                    high, low = min(far, r["off"]), max(near, r["off"] - r["windows"] + 1)
-                    start = at - high
-                    shared = xxh3_64_intdigest(text[at - near : at - far + size], block)
-                    key = (shared ^ (r["anchor"] & 0xFFFFFFFFFFFFFFFF)) - (1 << 63)
-                    out.append((key, xxh3_128_digest(text[start : at - low + size]), doc, start, high - low + 1, high))
-                if len(out) >= 20_000:
-                    yield _runs_batch(*zip(*out, strict=True))
-                    out = []
-            if out:
-                yield _runs_batch(*zip(*out, strict=True))
+        at = r["start"] + r["off"]
+        for block in range((r["off"] - r["windows"] + 1) // width, r["off"] // width + 1):
+            near, far = block * width, min((block + 1) * width, most) - 1
+            high, low = min(far, r["off"]), max(near, r["off"] - r["windows"] + 1)
+            start, count = at - high, high - low + 1
+            shared = xxh3_64_intdigest(text[at - near : at - far + size], block)
+            key = (shared ^ (r["anchor"] & 0xFFFFFFFFFFFFFFFF)) - (1 << 63)
+            own = text[start : start + count - 1 + reach]
+            yield key, xxh3_128_digest(own, count), doc, start, count, high, len(own)
 
-    return _with_text(rows, chosen).mapInArrow(frugal(run), ANCHORS)
+    return _of_each_run(rows, chosen, ANCHORS, made, 20_000)
 
 
-def pieces(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """The bytes of chosen runs."""
+def single_windows(rows: DataFrame, chosen: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """Every window of chosen runs by the 128-bit hash of its bytes, for each size that the text has room for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(out: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "start", "bytes"])
+    def made(doc: int, text: bytes, r: dict) -> Iterator[tuple]:
+        from xxhash import xxh3_128_digest
+
+        for start in range(r["start"], r["start"] + r["windows"]):
+            for size in sizes:
+                if start + size <= len(text):
+                    yield size, xxh3_128_digest(text[start : start + size]), doc, start
+
+    return _of_each_run(rows, chosen, SINGLES, made, 20_000)
 
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text, r in _each_run(batch):
-                out.append((r["anchor"], doc, r["start"], text[r["start"] : r["start"] + r["windows"] - 1 + size]))
-                if len(out) >= 5000:
-                    yield made(out)
-                    out = []
-            if out:
-                yield made(out)
 
-    return _with_text(rows, chosen).mapInArrow(frugal(run), PIECES)
+def pieces(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The bytes of chosen runs."""
+
+    def made(doc: int, text: bytes, r: dict) -> list[tuple]:
+        return [(r["anchor"], doc, r["start"], r["windows"], text[r["start"] : r["start"] + r["reach"]])]
+
+    return _of_each_run(rows, chosen, PIECES, made, 5000)
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -246,30 +262,35 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 
 class SuffixOrder:
-    """Suffixes of a buffer in the order of their first ``size`` bytes, equal ones by position.
+    """Suffixes of a buffer in the order of their first bytes, by prefix doubling.
 
-    Prefix doubling: the rank of the first 2 h bytes comes from the ranks of two halves. The
-    ranks of every length are kept, since they give the common prefix of any two suffixes.
+    The rank of the first 2 h bytes comes from the ranks of two halves. The ranks of every
+    length up to ``most`` bytes are kept: they give the order of any number of bytes, and the
+    common prefix of any two suffixes.
     """
 
-    def __init__(self, text: np.ndarray, at: np.ndarray, size: int):
-        """``at``: the suffixes asked for, in ascending order, each with ``size`` bytes or more (or to the end)."""
+    def __init__(self, text: np.ndarray, most: int):
         n = len(text)
-        self.size, self.at = size, at
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
         self.levels: list[tuple[int, np.ndarray]] = []
-        if size <= 8:
-            last = _dense(self.words[at] >> np.uint64(64 - 8 * size))
-        else:
-            rank, h = _dense(self.words), 8
+        rank, h = _dense(self.words), 8
+        while h <= most:
             self.levels.append((h, rank.astype(np.int32)))
-            while 2 * h <= size:
-                rank = _dense(self._joined(rank, np.arange(n), h))
-                h *= 2
-                self.levels.append((h, rank.astype(np.int32)))
-            last = _dense(self._joined(rank, at, size - h)) if size > h else rank[at]
-        self.order = np.argsort(last * (len(at) + 1) + np.arange(len(at)))
+            rank = self._joined(rank, np.arange(n), h)
+            h *= 2
+            if h <= most:
+                rank = _dense(rank)
+
+    def order(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The places in ``at`` (ascending suffixes) by the first ``size`` bytes, equal ones by position."""
+        known = [(h, rank) for h, rank in self.levels if h <= size]
+        if not known:
+            last = self.words[at] >> np.uint64(64 - 8 * size)
+        else:
+            h, rank = known[-1]
+            last = self._joined(rank.astype(np.int64), at, size - h) if size > h else rank[at]
+        return np.argsort(_dense(last) * (len(at) + 1) + np.arange(len(at)))
 
     @staticmethod
     def _joined(rank: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
@@ -277,12 +298,12 @@ class SuffixOrder:
         second = np.append(rank, 0)[np.minimum(at + h, len(rank))]
         return rank[at] * (len(rank) + 2) + second
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def common(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """The common prefix of suffixes at ``a`` and ``b``, ``size`` at most."""
         n, length = len(self.words), np.zeros(len(a), np.int64)
         for h, rank in reversed(self.levels):
             x, y = a + length, b + length
-            inside = (length + h <= self.size) & (np.maximum(x, y) + h <= n)
+            inside = (length + h <= size) & (np.maximum(x, y) + h <= n)
             same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
             length += np.where(same, h, 0)
         x, y = a + length, b + length
@@ -290,7 +311,7 @@ class SuffixOrder:
         equal = np.full(len(a), 8, np.int64)
         for k in range(7, -1, -1):
             equal[differ >> np.uint64(56 - 8 * k) & np.uint64(255) != 0] = k
-        rest = np.minimum(np.minimum(self.size - length, n - np.maximum(x, y)), 8)
+        rest = np.minimum(np.minimum(size - length, n - np.maximum(x, y)), 8)
         return length + np.minimum(equal, np.maximum(rest, 0))
 
 
@@ -307,7 +328,7 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_previous(text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_previous(suffixes: SuffixOrder, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The longest previous factors of the suffixes ``at`` among them, and the place in ``at`` of that earlier match or -1.
 
     Factors are counted up to ``size`` bytes. Of the suffixes before one in the text, the one
@@ -317,52 +338,51 @@ def longest_previous(text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nd
     best, match = np.zeros(len(at), np.int64), np.full(len(at), -1)
     if not len(at):
         return best, match
-    ordered = SuffixOrder(text, at, size)
-    order = ordered.order
+    order = suffixes.order(at, size)
     before = previous_smaller(order)
     after = len(order) - 1 - previous_smaller(order[::-1])[::-1]
     for near in (before, after):
         real = np.flatnonzero((near >= 0) & (near < len(order)))
         own, earlier = order[real], order[near[real]]
-        length = ordered.common(at[own], at[earlier])
+        length = suffixes.common(at[own], at[earlier], size)
         better = length > best[own]
         best[own[better]], match[own[better]] = length[better], earlier[better]
     return best, match
 
 
-def repeated_windows(text: np.ndarray, at: np.ndarray, size: int, later: bool) -> np.ndarray:
+def repeated_windows(suffixes: SuffixOrder, at: np.ndarray, size: int, later: bool) -> np.ndarray:
     """Which windows, given in order of position, match another (``later``: an earlier) one."""
-    factor, match = longest_previous(text, at, size)
+    factor, match = longest_previous(suffixes, at, size)
     found = factor >= size
     if not later:
         found[match[found]] = True
     return found
 
 
-def _matched(size: int, later: bool):
-    """A mapInArrow function over ``PIECES`` sorted by anchor: ranges of bytes to remove."""
+def _matched(sizes: tuple[int, ...], later: bool):
+    """A mapInArrow function over ``PIECES`` sorted by anchor: ranges of repeated bytes."""
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, start = (table.column(c).to_numpy() for c in ("doc", "start"))
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]  # rows alike in id and text bring a piece twice
         order, doc, start = order[new], doc[new], start[new]
+        windows = table.column("windows").to_numpy()[order].astype(np.int64)
         own = table.column("bytes").to_pylist()
         own = [own[i] for i in order.tolist()]
         n = np.fromiter(map(len, own), np.int64, len(own))
-        windows = n - size + 1
         begin = np.cumsum(n) - n
         row = np.repeat(np.arange(len(own)), windows)
         j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        found = np.flatnonzero(repeated_windows(np.frombuffer(b"".join(own), np.uint8), begin[row] + j, size, later))
-        row, j = row[found], j[found]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
-        last = np.r_[first[1:], len(row)] - 1 if len(row) else first
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row[first]]), pa.array(start[row[first]] + j[first]), pa.array(start[row[last]] + j[last] + size)],
-            names=["doc", "first", "last"],
-        )
+        suffixes = SuffixOrder(np.frombuffer(b"".join(own), np.uint8), sizes[-1])
+        for size in sizes:
+            room = np.flatnonzero(j + size <= n[row])  # of the shortest size all, of others those that the text has
+            hit = room[repeated_windows(suffixes, begin[row[room]] + j[room], size, later)]
+            r, k = row[hit], j[hit]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1)]) if len(r) else np.empty(0, np.int64)
+            last = np.r_[first[1:], len(r)] - 1 if len(r) else first
+            yield _batch(RANGES, (doc[r[first]], np.full(len(first), size), start[r[first]] + k[first], start[r[last]] + k[last] + size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -377,28 +397,29 @@ def _matched(size: int, later: bool):
                 anchor = table.column("anchor").to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut:
-                    yield solve(table.slice(0, cut))
+                    yield from solve(table.slice(0, cut))
                     waiting = table.slice(cut).to_batches()
                     held = sum(x.column("bytes").nbytes for x in waiting)
         if waiting:
-            yield solve(pa.Table.from_batches(waiting))
+            yield from solve(pa.Table.from_batches(waiting))
 
     return run
 
 
-def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, spread_from: int | None = None) -> DataFrame:
-    """``doc, first, last``: byte ranges of ``rows`` (doc, text as binary) made of repeated windows."""
+def repeated_ranges(rows: DataFrame, sizes: tuple[int, ...], later: bool, scratch: Scratch, spread_from: int | None = None) -> DataFrame:
+    """``doc, size, first, last``: byte ranges of ``rows`` (doc, text as binary) made of repeated windows
+    of each of the ``sizes``, which ascend."""
     most = SPREAD_FROM if spread_from is None else spread_from
-    every = anchors(rows, size)
-    found: DataFrame | None = None
-    for blocks in (BLOCKS, size, None):
+    size, reach = sizes[0], sizes[-1]
+    every, found = anchors(rows, size, reach), []
+    for finest in (False, True):
         every = scratch.save(every)
         # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
         often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
         shared = scratch.save(every.join(often, "anchor"))
         scratch.drop(every)
         scratch.drop(often)
-        place = F.struct("doc", "start", "windows", "off")
+        place = F.struct("doc", "start", "windows", "off", "reach")
         contents = scratch.save(
             shared.groupBy("anchor", "run")
             .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
@@ -408,28 +429,45 @@ def repeated_ranges(rows: DataFrame, size: int, later: bool, scratch: Scratch, s
         settled = shared.join(copies, ["anchor", "run"])
         if later:
             settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
-        settled = scratch.save(
-            settled.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + size).alias("last"))
-        )
+        ends = [
+            F.struct(
+                F.lit(s).alias("size"), (F.col("start") + F.least(F.col("windows") - 1 + s, "reach")).alias("last"), (F.col("reach") >= s).alias("real")
+            )
+            for s in sizes
+        ]
+        settled = settled.select("doc", F.col("start").alias("first"), F.explode(F.array(*ends)).alias("e")).where("e.real")
+        found.append(scratch.save(settled.select("doc", "e.size", "first", "e.last")))
         scratch.drop(shared)
-        found = settled if found is None else found.unionByName(settled)
-        if blocks is None:  # single windows: equal ones have settled each other
-            break
         open_anchors = scratch.save(
             contents.groupBy("anchor")
             .agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least"))
             .where("runs > 1" if later else "runs > 1 AND least = 1")
             .select("anchor", (F.col("runs") > most).alias("hot"))
         )
-        chosen = scratch.save(contents.join(open_anchors, "anchor").select("anchor", "doc", "start", "windows", "off", "hot"))
+        chosen = scratch.save(contents.join(open_anchors, "anchor").select("anchor", "doc", "start", "windows", "off", "reach", "hot"))
         scratch.drop(contents)
-        cold = pieces(rows, chosen.where("NOT hot"), size).repartition("anchor").sortWithinPartitions("anchor")
-        found = found.unionByName(scratch.save(cold.mapInArrow(frugal(_matched(size, later)), RANGES)))
+        scratch.drop(open_anchors)
+        cold = pieces(rows, chosen.where("NOT hot")).repartition("anchor").sortWithinPartitions("anchor")
+        found.append(scratch.save(cold.mapInArrow(frugal(_matched(sizes, later)), RANGES)))
         hot = chosen.where("hot")
         if hot.isEmpty():
             break
-        every = finer(rows, hot, size, blocks)
-    return found
+        if finest:
+            found.append(_equal_windows(single_windows(rows, hot, sizes), later, scratch))
+        else:
+            every = finer(rows, hot, size, reach)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _equal_windows(singles: DataFrame, later: bool, scratch: Scratch) -> DataFrame:
+    """The ranges of single windows whose bytes occur again, by their hashes."""
+    singles = scratch.save(singles)
+    place = F.struct("doc", "start")
+    again = singles.groupBy("size", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    joined = singles.join(scratch.save(again), ["size", "run"])
+    if later:
+        joined = joined.where(F.struct("doc", "start") != F.col("first"))
+    return scratch.save(joined.select("doc", "size", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last")))
 
 
 def union_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -468,7 +506,7 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, sizes: tuple[int, ...], later: bool, id_col: str, text_col: str) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
@@ -476,43 +514,55 @@ def _marked(docs: DataFrame, min_bytes: int, later: bool, id_col: str, text_col:
     docs, _ = numbered_rows(docs, scratch, id_col, text_col)
     kept = scratch.tables()
     rows = docs.select(F.col("_doc").alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
-    found = repeated_ranges(rows, min_bytes, later, scratch)
-    by_doc = scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_ranges")))
+    found = repeated_ranges(rows, sizes, later, scratch)
+    by_doc = scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("size", "first", "last")).alias("_ranges")))
     scratch.keep_only(by_doc, *kept)
     whole = docs.select(F.col("_doc").alias("doc"), F.struct(*[F.col(c) for c in columns]).alias("_row"))
     return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
 
 
-def _spans(text: bytes, ranges: pa.Scalar) -> list[tuple[int, int]]:
-    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or []], len(text))
+def _spans(text: bytes, ranges: pa.Scalar, size: int) -> list[tuple[int, int]]:
+    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or [] if r["size"] == size], len(text))
+
 
+DIGEST_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+DIGEST = pa.struct([*[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string()), ("n_repeated", pa.int64())])
 
-DIGEST_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-DIGEST = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
+def _digest(size: int, report: int):
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ranges in columns:
+            out = []
+            for text, own in zip(texts, ranges, strict=True):
+                body = text.as_py() or b""
+                spans = _spans(body, own, size)
+                removed = sum(b - a for a, b in spans)
+                again = removed if report == size else sum(b - a for a, b in _spans(body, own, report))
+                out.append((len(body), removed, len(spans), hashlib.sha256(cut(body, spans)).hexdigest(), again))
+            yield pa.array([dict(zip(DIGEST.names, x, strict=True)) for x in out], DIGEST)
 
-def _digest(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, ranges in columns:
-        out = []
-        for text, own in zip(texts, ranges, strict=True):
-            body = text.as_py() or b""
-            spans = _spans(body, own)
-            kept = hashlib.sha256(cut(body, spans)).hexdigest()
-            out.append({"n_bytes": len(body), "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "kept_sha256": kept})
-        yield pa.array(out, DIGEST)
+    return F.arrow_udf(run, DIGEST_DDL)
 
 
-def _remaining(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, ranges in columns:
-        out = []
-        for text, own in zip(texts, ranges, strict=True):
-            body = text.as_py()
-            out.append(None if body is None else cut(body, whole_characters(body, _spans(body, own))).decode())
-        yield pa.array(out, pa.string())
+def _remaining(size: int):
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ranges in columns:
+            out = []
+            for text, own in zip(texts, ranges, strict=True):
+                body = text.as_py()
+                out.append(None if body is None else cut(body, whole_characters(body, _spans(body, own, size))).decode())
+            yield pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def suffix_dedup(
-    docs: DataFrame, min_bytes: int = 400, later: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_bytes: int = 400,
+    later: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    report_bytes: int | None = None,
 ) -> DataFrame:
     """What removing every byte covered by a repeated string of ``min_bytes`` bytes leaves of each text.
 
@@ -520,15 +570,21 @@ def suffix_dedup(
     so the first one stays; without it all occurrences go. A string may repeat within one
     text, occurrences may overlap, and all are judged on the input. Strings never span texts.
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, where spans are maximal
-    removed runs; ``without_repeats`` returns the remaining texts. Null texts count as empty.
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated``, where spans are
+    maximal removed runs; ``without_repeats`` returns the remaining texts. ``n_repeated`` counts
+    the bytes covered by repeated strings of ``report_bytes`` bytes, at most ``min_bytes`` and
+    by default the same, so that shorter passages show that are not removed. Null texts count
+    as empty.
     Rows that repeat an id, null included, are texts of their own, in the order of id (null
     last) and MD5 of the text. Rows that repeat id and text are occurrences each, but treated
     alike: with ``later`` all stay if they are the first. An empty table gives an empty
     result; other columns are ignored.
     """
-    marked = _marked(docs.select(id_col, text_col), min_bytes, later, id_col, text_col)
-    found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), F.arrow_udf(_digest, DIGEST_DDL)("_text", "_ranges").alias("_found"))
+    report = min_bytes if report_bytes is None else report_bytes
+    if not 0 < report <= min_bytes:
+        raise ValueError("report_bytes is from 1 to min_bytes")
+    marked = _marked(docs.select(id_col, text_col), tuple(sorted({report, min_bytes})), later, id_col, text_col)
+    found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), _digest(min_bytes, report)("_text", "_ranges").alias("_found"))
     return found.select("doc_id", "_found.*")
 
 
@@ -545,9 +601,7 @@ def without_repeats(
     Removed spans are shrunk to whole characters. A null text stays null. ``length_col``
     names a column that then gets the number of characters of the new text.
     """
-    marked = _marked(docs, min_bytes, later, id_col, text_col).withColumn(
-        "_left", F.arrow_udf(_remaining, "string")("_text", "_ranges")
-    )
+    marked = _marked(docs, (min_bytes,), later, id_col, text_col).withColumn("_left", _remaining(min_bytes)("_text", "_ranges"))
     columns = []
     for c in docs.columns:
         if c == text_col:

@@ -257,15 +257,17 @@ def passages(seed):
     return [*texts, texts[3], texts[3], "ab" * 900, "x" * 500, "yx" * 20 + "x" * 450]
 
 
-@pytest.mark.parametrize("size, later", [(60, False), (60, True), (200, False), (200, True), (7, True)])
-def test_suffix_dedup(spark, size, later):
+@pytest.mark.parametrize("size, later, report", [(60, False, 25), (60, True, 41), (200, False, None), (200, True, 60), (7, True, 3)])
+def test_suffix_dedup(spark, size, later, report):
     texts = [*ODD, *passages(size)]
     data = [(t or "").encode() for t in texts]
     cover = removed_by_hand(data, size, later)
     df = awkward(documents(spark, texts))
-    found = suffix_dedup.suffix_dedup(df, size, later).collect()
+    shown = removed_by_hand(data, report or size, later)
+    found = suffix_dedup.suffix_dedup(df, size, later, report_bytes=report).collect()
     assert len(found) == len(texts)
     for r in found:
+        assert r.n_repeated == int(shown[r.doc_id].sum())
         own, body = cover[r.doc_id], np.frombuffer(data[r.doc_id], np.uint8)
         spans = int((np.diff(np.r_[0, own.astype(int)]) == 1).sum())
         expected = (len(body), int(own.sum()), spans, hashlib.sha256(body[~own].tobytes()).hexdigest())
@@ -280,18 +282,27 @@ def test_suffix_dedup(spark, size, later):
             assert r.n_chars == len(r.text) and len(r.text.encode()) >= len(data[r.doc_id]) - cover[r.doc_id].sum()
 
 
-def test_hot_anchors_are_dealt_out(spark):
+@pytest.mark.parametrize("later", [False, True])
+def test_hot_anchors_are_dealt_out(spark, later):
+    """Anchors of more than one content are cut to blocks, and those again to single windows."""
     texts = passages(1)
+    data = [(t or "").encode() for t in texts]
     rows = documents(spark, texts).select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
-    one, many = (
-        {r.doc: None for r in []} or sorted(
-            (r.doc, *span)
-            for r in suffix_dedup.repeated_ranges(rows, 60, True, Scratch(spark, "t"), spread).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("x")).collect()
-            for span in suffix_dedup.union_of([(x["first"], x["last"]) for x in r.x], 10**6)
-        )
-        for spread in (10**6, 2)
-    )
-    assert one == many and len(one) > 10
+    for most in (10**6, 1):
+        found = suffix_dedup.repeated_ranges(rows, (30, 60), later, Scratch(spark, "t"), most).collect()
+        for size in (30, 60):
+            cover = removed_by_hand(data, size, later)
+            own = defaultdict(list)
+            for r in found:
+                if r.size == size:
+                    own[r.doc].append((r.first, r.last))
+            for i, c in enumerate(cover):
+                mine = np.zeros(len(c), bool)
+                for a, b in own[i]:
+                    assert b <= len(c)
+                    mine[a:b] = True
+                assert (mine == c).all()
+    assert len(found) > 10
 
 
 def test_suffix_dedup_odd_tables(spark):
@@ -341,7 +352,8 @@ def test_longest_previous_factors(size):
     for n in (0, 1, 40, 150):
         for text in (bytes(rng.choice(b"ab") for _ in range(n)), b"ab" * (n // 2) + b"x" * n):
             at = sorted(rng.sample(range(len(text)), len(text) * 2 // 3))
-            factor, match = suffix_dedup.longest_previous(np.frombuffer(text, np.uint8), np.array(at, int), size)
+            suffixes = suffix_dedup.SuffixOrder(np.frombuffer(text, np.uint8), size + rng.randrange(40))
+            factor, match = suffix_dedup.longest_previous(suffixes, np.array(at, int), size)
             assert factor.tolist() == factors_by_hand(text, at, size)
             assert all(m < i and factors_by_hand(text, [at[m], at[i]], size)[1] == f for i, (f, m) in enumerate(zip(factor.tolist(), match.tolist(), strict=True)) if f)
 
