@@ -111,22 +111,23 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def numbered_rows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """``docs`` with ``_doc``, a long that tells rows apart and stands in the order of ids; and whether ids did so.
+    """``_doc``, a long that tells rows apart and stands in the order of ids, and ``_row``, a struct
+    of all columns; and whether ids alone tell rows apart.
 
     ``_doc`` is the id itself if all ids are there and differ. Otherwise the distinct pairs of
     id (null last) and text (null as empty, by its MD5) are sorted and numbered, so that only
     rows that repeat both share a number, and the result is a written table.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
-    odd = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("_id IS NULL OR n > 1")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    odd = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("_id IS NULL OR n > 1")
     if odd.isEmpty():
-        return docs.withColumn("_doc", F.col(id_col).cast("long")), True
-    tagged = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_md5", F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
+        return rows.select(F.col("_id").alias("_doc"), "_row"), True
+    tagged = rows.withColumn("_md5", F.unhex(F.md5(text_or_empty(f"_row.{text_col}").cast("binary"))))
     pairs = tagged.select("_id", "_md5").distinct().sort(F.col("_id").asc_nulls_last(), "_md5")
     numbers = scratch.save(pairs.withColumn("_doc", F.monotonically_increasing_id()))
     numbers = numbers.select(F.col("_id").alias("_same_id"), F.col("_md5").alias("_same_md5"), "_doc")
     joined = tagged.join(numbers, F.col("_id").eqNullSafe(F.col("_same_id")) & (F.col("_md5") == F.col("_same_md5")))
-    return scratch.save(joined.select(*docs.columns, "_doc")), False
+    return scratch.save(joined.select("_doc", "_row")), False
 
 
 def is_held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

@@ -55,14 +55,27 @@ def damped(counts: Iterable[int]) -> list[float]:
     return [v / length for v in values]
 
 
-def hashed_sample(rows: DataFrame, label: str, id_: str, most: int) -> DataFrame:
+#: Sampled ids up to this number are broadcast (15 MB); more, of very many labels, are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def label_sizes(rows: DataFrame, label: str) -> dict:
+    """The number of rows of each label. Labels are few: they are collected."""
+    return {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def sample_hint(sizes: dict, most: int) -> str:
+    """How a sample of ``most`` rows of each label at most is joined."""
+    return "broadcast" if sum(min(n, most) for n in sizes.values()) <= BROADCAST_IDS else "merge"
+
+
+def hashed_sample(rows: DataFrame, label: str, id_: str, most: int, sizes: dict | None = None) -> DataFrame:
     """The ``most`` rows of each label with the smallest hash of the id, ties by id.
 
     A cut of the hash's range, from the number of rows of each label, leaves little more than
-    that before rows of a label meet, however frequent the label is. Labels are few: their
-    sizes are collected.
+    that before rows of a label meet, however frequent the label is.
     """
-    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = label_sizes(rows, label) if sizes is None else sizes
     ample = most + 20 * most**0.5 + 100
     cuts = [F.lit(x) for k, n in sizes.items() if k is not None for x in (k, min(1.0, ample / n))]
     if not cuts:
@@ -86,8 +99,8 @@ def labelled_words(
     """``label, words, counts`` of a sample of labelled documents; ``again`` as in ``word_counts``.
 
     At most ``per_class`` documents of each label value are taken, those with the smallest
-    hash of the id, and never one of the held-out fold; that bounds the sample, and its ids
-    are what is broadcast. A label that repeats for an id counts once, the largest.
+    hash of the id, and never one of the held-out fold; that bounds the sample, whose ids are
+    broadcast if there are few enough labels. A label that repeats for an id counts once, the largest.
     """
     bounded_batches(docs.sparkSession)
     own = (
@@ -96,7 +109,8 @@ def labelled_words(
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
     )
-    sample = hashed_sample(own, "_label", "_id", per_class)
+    sizes = label_sizes(own, "_label")
+    sample = hashed_sample(own, "_label", "_id", per_class, sizes)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +128,7 @@ def labelled_words(
                 )
 
     return (
-        rows.join(F.broadcast(sample), "_id")
+        rows.join(sample.hint(sample_hint(sizes, per_class)), "_id")
         .select("_text", "_label")
         .mapInArrow(frugal(count), "label int, words array<string>, counts array<long>")
     )

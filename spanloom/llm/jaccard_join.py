@@ -465,7 +465,7 @@ class _Join:
         self.words, self.num, self.den = words, num, den
         self.scratch = scratch = Scratch(spark, "jaccard")
         self.docs, self.unique = numbered_rows(docs, scratch, id_col, text_col)
-        self.rows = self.docs.select(F.col("_doc").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+        self.rows = self.docs.select(F.col("_doc").alias("id"), text_or_empty(f"_row.{text_col}").cast("binary").alias("text"))
         levels = token_levels(self.rows, words, scratch)
         model = spark.sparkContext.broadcast(levels)
         cells = len(levels)
@@ -551,7 +551,7 @@ def jaccard_components(
         found = found.join(degree.withColumnRenamed("id", "member_of"), "member_of", "left").withColumn(
             "n_links", F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1
         )
-    ids = join.docs.select("_doc", F.col(id_col).cast("long").alias("doc_id"))
+    ids = join.docs.select("_doc", F.col(f"_row.{id_col}").cast("long").alias("doc_id"))
     out = ids.join(found.withColumnRenamed("id", "_doc"), "_doc", "left")
     if join.unique:
         out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -573,4 +573,4 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 1
     dropped = join.found().where("id <> component").select(F.col("id").alias("_doc"))
     kept = join.docs if join.unique else join.docs.dropDuplicates(["_doc"])
     join.scratch.keep_only(join.members, join.components, *([] if join.unique else [join.docs]))
-    return kept.join(dropped, "_doc", "left_anti").select(*docs.columns)
+    return kept.join(dropped, "_doc", "left_anti").select(*[F.col(f"_row.{c}") for c in docs.columns])

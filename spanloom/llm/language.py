@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, frugal, is_held_out
-from .features import hashed_sample, word_blocks
+from .features import hashed_sample, label_sizes, sample_hint, word_blocks
 
 WIDTH = 1 << 15
 SIZES = 4
@@ -59,7 +59,8 @@ def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: s
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    sample = hashed_sample(ids, "_lang", "_id", per_language).select("_id").distinct()
+    sizes = label_sizes(ids, "_lang")
+    sample = hashed_sample(ids, "_lang", "_id", per_language, sizes).select("_id").distinct()
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def language_counts(docs: DataFrame, per_language: int, id_col: str, text_col: s
             )
 
     found = (
-        rows.join(F.broadcast(sample), "_id")
+        rows.join(sample.hint(sample_hint(sizes, per_language)), "_id")
         .select("lang", "text")
         .mapInArrow(frugal(count), "lang string, gram int, n long")
         .groupBy("lang", "gram")

@@ -510,14 +510,13 @@ def _marked(docs: DataFrame, sizes: tuple[int, ...], later: bool, id_col: str, t
     """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
-    columns = docs.columns
-    docs, _ = numbered_rows(docs, scratch, id_col, text_col)
+    numbered, _ = numbered_rows(docs, scratch, id_col, text_col)
     kept = scratch.tables()
-    rows = docs.select(F.col("_doc").alias("doc"), text_or_empty(text_col).cast("binary").alias("text"))
+    rows = numbered.select(F.col("_doc").alias("doc"), text_or_empty(f"_row.{text_col}").cast("binary").alias("text"))
     found = repeated_ranges(rows, sizes, later, scratch)
     by_doc = scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("size", "first", "last")).alias("_ranges")))
     scratch.keep_only(by_doc, *kept)
-    whole = docs.select(F.col("_doc").alias("doc"), F.struct(*[F.col(c) for c in columns]).alias("_row"))
+    whole = numbered.select(F.col("_doc").alias("doc"), "_row")
     return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
 
 

@@ -86,6 +86,14 @@ def test_bpe_equals_the_library(spark, reference):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and bytes(r.decoded) == text.encode()
 
 
+def test_bpe_of_repeated_and_null_ids(spark, reference):
+    texts, ids = ["a b", "a b", "c", None, "c"], [1, 1, 1, None, None]
+    found = bpe.byte_bpe(documents(spark, texts, ids), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    expected = [(i, len(reference.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(((r.doc_id, r.n_tokens, r.decoded_sha256) for r in found), key=repr) == sorted(expected, key=repr)
+    assert bpe.byte_bpe(documents(spark, []), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+
+
 def test_bpe_in_blocks(monkeypatch, reference):
     monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
     coder = bpe.BytePairCodec(bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()))

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm.language import identify
@@ -121,3 +122,36 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, df.where("false"), "").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, df.where("false"), "").count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "suffix_array_dedup", "best_fit_packing"]
+
+
+def test_stages_judge_rows_whatever_their_ids(spark):
+    """Repeated and null ids, fully repeated rows and clashing columns through every stage."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c, d = text(60), text(60), text(60), text(60)
+    passage = text(80)
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (7, c + " end"), (8, d + " " + passage), (8, passage + " " + b), (9, None), (9, "12 !!"), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({x: F.lit(1) for x in ("_doc", "_text", "_row", "_id", "id", "_md5", "_hash", "component")})
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, docs):
+        made = stages[name](spark, docs, "")
+        assert made.columns == df.columns and made.where("_doc <> 1 OR _row <> 1 OR _id <> 1 OR id <> 1").count() == 0
+        return spark.createDataFrame(made.collect(), df.schema)
+
+    kept = lambda docs: sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    docs = after("language_id", df)
+    assert kept(docs) == sorted([(i, t) for i, t in rows if any(map(str.isalpha, t or ""))], key=repr)
+    docs = after("exact_dedup", docs)
+    assert kept(docs) == sorted([(3, a), (5, b), (None, c), (7, c + " end"), (8, d + " " + passage), (8, passage + " " + b)], key=repr)
+    docs = after("ngram_jaccard_join", docs)
+    assert kept(docs) == sorted([(3, a), (5, b), (7, c + " end"), (8, d + " " + passage), (8, passage + " " + b)], key=repr)
+    docs = after("suffix_array_dedup", docs)
+    left = kept(docs)
+    assert len(left) == 5 and {(3, a), (5, b), (7, c + " end")} <= set(left)
+    shorter = [t for i, t in left if i == 8]
+    assert sum(map(len, shorter)) <= len(d) + len(passage) + 30 and all(r.n_chars == len(r.text) for r in docs.collect())
+    packed = stages["best_fit_packing"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in packed) == [3, 5, 7, 8, 8]
