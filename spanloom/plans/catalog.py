@@ -545,6 +545,12 @@ def q_cannot_link_same_segment(spark, d):
     return game.cannot_link(rows, [])
 
 
+@query("""WITH n AS (SELECT vec_id // 100 AS game, label, count(*) AS n FROM embeddings GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY game ORDER BY n DESC, label) - 1 AS INTEGER) AS anchor FROM n) SELECT * FROM r WHERE anchor < 2""")
+def q_largest_two(spark, d):
+    return vectors.largest_two(_vectors(spark, d).withColumn("game", F.floor(F.col("vec_id") / 100)), ["game"], "label")
+
+
 @query("""WITH m AS (SELECT l_returnflag AS label, median(l_discount) AS h, median(l_quantity) AS s, median(l_tax) AS v FROM lineitem GROUP BY 1)
     SELECT label, h, s, v, CAST(row_number() OVER (ORDER BY s DESC, v DESC, h, label) - 1 AS INTEGER) AS new_label FROM m""")
 def q_color_anchor(spark, d):
@@ -705,6 +711,19 @@ def q_game_players(spark, d):
     return game.game_players(placed, found, [], 2.0)
 
 
+@query(f"""WITH {SEGS} SELECT CAST(0 AS BIGINT) AS game, round_even({HOURS} / 2.0::DOUBLE, 2) AS duration_s, round_even(sum(end_frame - start_frame + 1) / 2.0::DOUBLE, 2) AS live_play_s, count(*) AS n_segments,
+    (SELECT count(DISTINCT track_id) FROM det WHERE frame < {HOURS}) AS n_players, round_even(sum(end_frame - start_frame + 1) / {HOURS}.0::DOUBLE, 4) AS active_fraction FROM seg HAVING count(*) > 0""")
+def q_game_header(spark, d):
+    segs = _segments(spark, d).withColumn("total_frames", F.lit(HOURS))
+    players = _detections(spark, d).select("game", F.col("track_id").alias("player"))
+    return game.game_header(segs, players, ["game"], 2.0, F.col("total_frames"))
+
+
+@query(f"WITH {SEGS} SELECT CAST(segment AS INTEGER) AS segment, start_frame, end_frame FROM seg WHERE segment < 5")
+def q_first_segments(spark, d):
+    return game.first_segments(_segments(spark, d), ["game"], 5).select("segment", "start_frame", "end_frame")
+
+
 @query("""SELECT l_orderkey, l_linenumber, greatest(0, CAST(trunc(l_quantity * 20 - 15.5) AS INTEGER)) AS x1, greatest(0, CAST(trunc(l_tax * 1000 - 9.25) AS INTEGER)) AS y1,
     least(800, CAST(trunc(l_quantity * 20 + 170.5) AS INTEGER)) AS x2, least(70, CAST(trunc(l_tax * 1000 + 101.75) AS INTEGER)) AS y2 FROM lineitem
     WHERE least(800, CAST(trunc(l_quantity * 20 + 170.5) AS INTEGER)) > greatest(0, CAST(trunc(l_quantity * 20 - 15.5) AS INTEGER))

@@ -1,11 +1,12 @@
+import inspect
 import json
-from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import cli
+from spanloom.operators import activity, clustering, intervals
 from spanloom.plans import autoclip, clip, labels, report
 from spanloom.sources import readers, schemas, writers
 
@@ -198,3 +199,24 @@ def test_labels_template(spark):
     template = writers.label_template(made.tracks, made.crops)
     assert template.columns == schemas.names(schemas.LABEL_TEMPLATE) and template.where("track_id = 99").count() == 0
     assert labels.applied(made.tracks.select("track_id", "team", "player", "frames_seen"), spark.createDataFrame([(0, "w", "", "A")], "track_id long, team string, role string, player string")).where("player_name = 'A'").count() == 2
+
+
+def test_defaults_of_the_command_line_and_the_operators():
+    a = vars(cli.parser().parse_args([]))
+    expected = {
+        "out": "runs/output", "model": "yolo11n.pt", "conf": 0.3, "tracker": "bytetrack.yaml", "embedder": "siglip", "crops_per_track": 6,
+        "shift_gap": 15.0, "clip_stride": 15, "min_segment": 3.0, "merge_gap": 2.0, "pad": 1.0,
+    }
+    none = ("reid_weights", "roster", "reid_distance", "report", "apply_labels", "evaluate", "tracks", "max_segments", "detections")
+    flags = ("teams", "phase2", "no_siglip", "no_surface_filter", "no_bg_suppress", "clips", "label_crops", "reid", "game", "autoclip", "cut", "reencode_clips")
+    assert {k: a[k] for k in expected} == expected and not any(a[k] for k in flags) and all(a[k] is None for k in none)
+    assert cli.DISTANCE == {"siglip": 0.35, "osnet": 0.45}
+
+    def default(f, name):
+        return inspect.signature(f).parameters[name].default
+
+    assert [default(activity.detect_activity, n) for n in ("min_players", "min_spread", "smooth_window")] == [5, 0.15, 15]
+    assert [default(intervals.segments, n) for n in ("min_seconds", "bridge_seconds")] == [2.0, 1.0]
+    assert [default(intervals.shifts, n) for n in ("gap_seconds", "min_seconds")] == [15.0, 0.0]
+    assert [default(autoclip.live_segments, n) for n in ("conf", "stride", "min_segment_seconds", "merge_gap_seconds", "pad_seconds")] == [0.25, 15, 3.0, 2.0, 1.0]
+    assert default(clustering.constrained_merge, "threshold") == 0.35 and default(intervals.overlap_pairs, "min_gap") == 0
