@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import pixels, scalars
 from ..functions.scalars import l2_normalised, log_size, safe_corr, seconds
 from ..operators import activity, clustering, evaluation, game, intervals, rollups, tracks, vectors, votes
 from . import labels as label_plans
@@ -159,6 +159,24 @@ def q_surface_test(spark, d):
     return marked.groupBy("l_returnflag").agg(F.count_if("on_surface").alias("inside"), F.count_if(~F.col("on_surface")).alias("outside"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey AS track_id, CAST((l_quantity + (l_quantity + 30.5)) / 2 AS FLOAT) AS foot_x, CAST(l_extendedprice / 100 AS FLOAT) AS foot_y,
+    round_even((l_quantity + 30.5 - l_quantity) * (l_extendedprice / 100 - l_tax), 6) AS area FROM lineitem WHERE l_linenumber % 2 = 0 AND l_discount >= 0.03 AND l_suppkey % 3 <> 0""")
+def q_geometry(spark, d):
+    rows = _read(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("track_id"),
+        (F.col("l_linenumber") % 2).alias("class_id"),
+        F.col("l_discount").alias("conf"),
+        F.col("l_quantity").alias("x1"),
+        (F.col("l_quantity") + 30.5).alias("x2"),
+        F.col("l_tax").alias("y1"),
+        (F.col("l_extendedprice") / 100).alias("y2"),
+    )
+    found = tracks.with_geometry(tracks.tracked(tracks.people(rows, 0.03)))
+    return found.select("l_orderkey", "l_linenumber", "track_id", "foot_x", "foot_y", F.bround("area", 6).alias("area"))
+
+
 # --- activity -------------------------------------------------------------------------------
 
 
@@ -560,6 +578,19 @@ def q_color_anchor(spark, d):
     return vectors.ordered_by_color(rows, [], "label")
 
 
+@query("""WITH c AS (SELECT l_returnflag AS label, l_partkey * 7 % 256 / 255.0::DOUBLE AS b, l_suppkey * 31 % 256 / 255.0::DOUBLE AS g, l_orderkey * 13 % 256 / 255.0::DOUBLE AS r FROM lineitem),
+    x AS (SELECT *, greatest(b, g, r) AS hi, greatest(b, g, r) - least(b, g, r) AS span FROM c),
+    f AS (SELECT label, 30 * CASE WHEN span < 1e-9 THEN 0 WHEN hi = r THEN ((g - b) / span % 6 + 6) % 6 WHEN hi = g THEN (b - r) / span + 2 ELSE (r - g) / span + 4 END AS h,
+        255 * CASE WHEN hi < 1e-9 THEN 0 ELSE span / hi END AS s, 255 * hi AS v FROM x)
+    SELECT label, round_even(median(h), 6) AS h, round_even(median(s), 6) AS s, round_even(median(v), 6) AS v FROM f GROUP BY 1""")
+def q_hsv_medians(spark, d):
+    rows = _read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("label"), scalars.hsv(F.col("l_partkey") * 7 % 256, F.col("l_suppkey") * 31 % 256, F.col("l_orderkey") * 13 % 256).alias("c")
+    )
+    medians = rows.groupBy("label").agg(pixels.element_medians(F.array("c.h", "c.s", "c.v"), 3).alias("m"))
+    return medians.select("label", *[F.bround(F.col("m")[i], 6).alias(c) for i, c in enumerate("hsv")])
+
+
 @query("""SELECT p_brand, round_even(corr(CAST(l_extendedprice AS DOUBLE), ln(CAST(p_size AS DOUBLE) + 1e-6)), 6) AS r
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def q_scale_corr(spark, d):
@@ -633,6 +664,21 @@ def q_propagate_labels(spark, d):
     return evaluation.propagate_labels(*_tagged(spark, d))
 
 
+APPLIED = f"""{TAGS}, ap AS (SELECT track_id, coalesce(t.lt, vt.lt, '') AS team_name, coalesce(t.lp, vp.lp, '') AS player_name, t.lt IS NOT NULL AS dt, t.lp IS NOT NULL AS dp,
+        t.lt IS NULL AND vt.lt IS NOT NULL AS it, t.lp IS NULL AND vp.lp IS NOT NULL AS ip
+    FROM t LEFT JOIN vt ON t.cl = vt.cl AND vt.r = 1 LEFT JOIN vp ON t.cp = vp.cp AND vp.r = 1)"""
+
+
+@query(f"WITH {APPLIED} SELECT track_id, team_name, player_name FROM ap")
+def q_applied_labels(spark, d):
+    return label_plans.applied(*_tagged(spark, d)).select("track_id", "team_name", "player_name")
+
+
+@query(f"WITH {APPLIED} SELECT count(*) FILTER (dt OR dp) AS n_direct, count(*) FILTER (it) + count(*) FILTER (ip) AS n_propagated FROM ap")
+def q_propagation_summary(spark, d):
+    return evaluation.propagation_summary(evaluation.propagate_labels(*_tagged(spark, d)))
+
+
 @query(f"""WITH {TAGS} SELECT 'mixed cluster' AS kind, cp AS key, string_agg(DISTINCT lp, ' ' ORDER BY lp) AS labels FROM t WHERE lp IS NOT NULL GROUP BY cp HAVING count(DISTINCT lp) > 1
     UNION ALL SELECT 'split label', lp, string_agg(DISTINCT cp, ' ' ORDER BY cp) FROM t WHERE lp IS NOT NULL GROUP BY lp HAVING count(DISTINCT cp) > 1""")
 def q_label_conflicts(spark, d):
@@ -748,7 +794,7 @@ def q_named_players(spark, d):
 @query("""SELECT n_nationkey, 'T' || (n_nationkey % 4) AS team, 'P' || n_nationkey || CASE WHEN n_nationkey % 4 < 3 THEN ' (T' || (n_nationkey % 4) || ')' ELSE '' END AS player,
     CASE n_nationkey % 4 WHEN 0 THEN '#3cdc3c' WHEN 1 THEN '#f03c3c' ELSE '#9c9c9c' END AS color, replace('<' || n_name || '&>', '&', '&amp;').replace('<', '&lt;').replace('>', '&gt;') AS html,
     format('segment_{:03d}_{}s-{}s.mp4', n_nationkey, n_nationkey * 3 // 2, n_nationkey * 2) AS file, 'data:text/plain;base64,' || to_base64(encode(n_name)) AS uri,
-    least(abs(n_nationkey * 7 - 90), 180 - abs(n_nationkey * 7 - 90)) AS hue, greatest(0, n_nationkey - 5.0::DOUBLE) AS bar,
+    CAST(least(abs(n_nationkey * 7 - 90), 180 - abs(n_nationkey * 7 - 90)) AS BIGINT) AS hue, greatest(0, n_nationkey - 5.0::DOUBLE) AS bar,
     CASE WHEN n_nationkey + 3 > 0 THEN least(1, greatest(0, 3 / (n_nationkey + 3.0::DOUBLE))) END AS margin FROM nation""")
 def q_labels_and_colors(spark, d):
     key = F.col("n_nationkey")
