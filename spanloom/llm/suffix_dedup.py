@@ -12,9 +12,7 @@ that all suffixes with equal first ``min_bytes`` bytes (a *window*) meet:
   the task of its anchor with its bytes. There the suffixes that begin the windows are put
   into suffix order by prefix doubling, the previous and next smaller positions in that order
   are found, and the longer of the two matches is the suffix's longest previous factor. A
-  window repeats an earlier one exactly if that factor has ``min_bytes`` bytes. Where strings of
-  more lengths than one are asked for, the shortest deals the suffixes, their bytes reach as far
-  as the longest, and the factors tell them all.
+  window repeats an earlier one exactly if that factor has ``min_bytes`` bytes.
 * An anchor with too many contents for one task is cut finer: its windows are dealt by their
   distance to the anchor and the bytes that all windows of such a block share, first in a few
   blocks, then one by one, and equal pieces settle each other again. Equal windows still meet.
@@ -36,16 +34,17 @@ from .common import Scratch, bounded_batches, frugal, numbered_rows, text_or_emp
 CHUNK = 500_000
 #: Bytes of dealt runs that are put into suffix order at once.
 AT_ONCE = 2_000_000
-#: Contents of an anchor from which it is cut finer, and the blocks of the first cut.
-SPREAD_FROM, BLOCKS = 1000, 8
+#: Contents of an anchor from which it is cut finer, the blocks of the first cut, and how many
+#: times as many contents a block may have, whose pieces are so much shorter.
+SPREAD_FROM, BLOCKS, OF_A_BLOCK = 1000, 8, 10
 _POSITION_BITS = 21
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-ANCHORS = "anchor long, run binary, doc long, start long, windows int, off int, reach int"
-PIECES = "anchor long, doc long, start long, windows int, bytes binary"
-SINGLES = "size int, run binary, doc long, start long"
-RANGES = "doc long, size int, first long, last long"
+ANCHORS = "anchor long, run binary, doc long, start long, windows int, off int"
+PIECES = "anchor long, doc long, start long, bytes binary"
+SINGLES = "run binary, doc long, start long"
+RANGES = "doc long, first long, last long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,15 +100,10 @@ def gram_size(min_bytes: int) -> int:
     return max(1, min(64, min_bytes // 4))
 
 
-def runs(
-    buffer: bytes, starts: np.ndarray, windows: np.ndarray, ends: np.ndarray, size: int, reach: int
-) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first window, number of windows, anchor's offset and bytes of each run.
+def runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, content hash, first window, number of windows and anchor's offset of each run.
 
-    ``starts`` and ``ends`` delimit the texts that the buffer joins and ``windows`` says how many
-    windows of ``size`` bytes begin in each; none crosses its end. The bytes of a run are those
-    up to ``reach`` from its last window, or the end of the text, and its content is these
-    bytes and the number of windows.
+    ``starts`` and ``ends`` delimit the texts that the buffer joins; windows never cross them.
     """
     from xxhash import xxh3_128_digest
 
@@ -120,59 +114,70 @@ def runs(
     at = (sliding_minimum(key, size - gram + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
     edge = np.zeros(len(at) + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + windows, -1)
+    np.add.at(edge, ends - size + 1, -1)
     window = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     at = at[window]
-    text = np.searchsorted(starts, window, side="right") - 1
+    text = np.searchsorted(starts, window, side="right")
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     count = np.diff(np.r_[first, len(at)])
     begin, anchor = window[first], at[first]
-    length = np.minimum(count - 1 + reach, ends[text[first]] - begin)
     view = memoryview(buffer)
-    content = [xxh3_128_digest(view[a : a + n], c) for a, n, c in zip(begin.tolist(), length.tolist(), count.tolist(), strict=True)]
-    return hashes[anchor], content, begin, count, anchor - begin, length
+    content = [xxh3_128_digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + size).tolist(), strict=True)]
+    return hashes[anchor], content, begin, count, anchor - begin
 
 
-def _buffers(texts: Iterator[tuple[int, bytes]], size: int, reach: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
-    """Texts of at least ``size`` bytes joined into buffers; a long text in pieces that overlap by reach - 1.
+def _buffers(texts: Iterator[tuple[int, int, bytes]], size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, list[int], list[int]]]:
+    """Texts of at least ``size`` bytes joined into buffers; a long text in pieces that overlap by size - 1.
 
-    Yields the buffer, the texts' starts, windows and ends in it, their numbers and their offsets.
+    A text comes with its number and its place; yields the buffer, the starts and ends in it,
+    and the numbers and places.
     """
-    parts, counts, ids, bases, total = [], [], [], [], 0
+    parts, ids, bases, total = [], [], [], 0
 
     def out():
         lengths = np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)
-        return b"".join(parts), ends - lengths, np.array(counts), ends, list(ids), list(bases)
+        return b"".join(parts), ends - lengths, ends, list(ids), list(bases)
 
-    for i, text in texts:
+    for i, place, text in texts:
         for base in range(0, len(text) - size + 1, CHUNK):
-            part = text[base : base + CHUNK + reach - 1]
+            part = text[base : base + CHUNK + size - 1]
             parts.append(part)
-            counts.append(min(CHUNK, len(text) - size + 1 - base))
             ids.append(i)
-            bases.append(base)
+            bases.append(place + base)
             total += len(part)
             if total >= CHUNK:
                 yield out()
-                parts, counts, ids, bases, total = [], [], [], [], 0
+                parts, ids, bases, total = [], [], [], 0
     if parts:
         yield out()
 
 
-def anchors(rows: DataFrame, size: int, reach: int) -> DataFrame:
-    """The runs of every text of ``rows`` (doc, text as binary)."""
+def anchors(rows: DataFrame, size: int, regions: DataFrame | None = None) -> DataFrame:
+    """The runs of every text of ``rows`` (doc, text as binary), or of its ``regions`` (doc, list of first, last)."""
+
+    whole = regions is None
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+        for i, text in enumerate(batch.column(1)):
+            if whole:
+                yield i, 0, text.as_py()
+            else:
+                body = text.as_py()
+                for r in batch.column(2)[i].as_py():
+                    yield i, r["first"], body[r["first"] : r["last"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = ((i, t.as_py()) for i, t in enumerate(batch.column(1)))
-            for buffer, starts, windows, ends, ids, bases in _buffers(texts, size, reach):
-                anchor, content, begin, count, off, length = runs(buffer, starts, windows, ends, size, reach)
+            for buffer, starts, ends, ids, bases in _buffers(parts(batch), size):
+                anchor, content, begin, count, off = runs(buffer, starts, ends, size)
                 text = np.searchsorted(starts, begin, side="right") - 1
                 start = begin - starts[text] + np.array(bases)[text]
-                yield _batch(ANCHORS, (anchor.view(np.int64), content, docs[np.array(ids)[text]], start, count, off, length))
+                yield _batch(ANCHORS, (anchor.view(np.int64), content, docs[np.array(ids)[text]], start, count, off))
 
+    if not whole:
+        rows = rows.join(regions, "doc").select("doc", "text", "regions")
     return rows.mapInArrow(frugal(run), ANCHORS)
 
 
@@ -186,8 +191,8 @@ def _batch(ddl: str, columns) -> pa.RecordBatch:
 
 
 def _of_each_run(rows: DataFrame, chosen: DataFrame, ddl: str, made, at_once: int) -> DataFrame:
-    """Rows of ``ddl`` that ``made`` gives for each chosen run (doc, anchor, start, windows, off, reach) and its text."""
-    own = chosen.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "off", "reach")).alias("runs"))
+    """Rows of ``ddl`` that ``made`` gives for each chosen run (doc, anchor, start, windows, off) and its text."""
+    own = chosen.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "off")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +210,7 @@ def _of_each_run(rows: DataFrame, chosen: DataFrame, ddl: str, made, at_once: in
     return rows.join(own, "doc").select("doc", "text", "runs").mapInArrow(frugal(run), ddl)
 
 
-def finer(rows: DataFrame, chosen: DataFrame, size: int, reach: int, blocks: int = BLOCKS) -> DataFrame:
+def finer(rows: DataFrame, chosen: DataFrame, size: int, blocks: int = BLOCKS) -> DataFrame:
     """Chosen runs cut into ``blocks`` by the windows' distance to the anchor, as runs of finer anchors.
 
     The finer anchor is the block with the bytes that all of its windows share.
@@ -223,31 +228,28 @@ def finer(rows: DataFrame, chosen: DataFrame, size: int, reach: int, blocks: int
             start, count = at - high, high - low + 1
             shared = xxh3_64_intdigest(text[at - near : at - far + size], block)
             key = (shared ^ (r["anchor"] & 0xFFFFFFFFFFFFFFFF)) - (1 << 63)
-            own = text[start : start + count - 1 + reach]
-            yield key, xxh3_128_digest(own, count), doc, start, count, high, len(own)
+            yield key, xxh3_128_digest(text[start : start + count - 1 + size]), doc, start, count, high
 
     return _of_each_run(rows, chosen, ANCHORS, made, 20_000)
 
 
-def single_windows(rows: DataFrame, chosen: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """Every window of chosen runs by the 128-bit hash of its bytes, for each size that the text has room for."""
+def single_windows(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """Every window of chosen runs by the 128-bit hash of its bytes."""
 
     def made(doc: int, text: bytes, r: dict) -> Iterator[tuple]:
         from xxhash import xxh3_128_digest
 
         for start in range(r["start"], r["start"] + r["windows"]):
-            for size in sizes:
-                if start + size <= len(text):
-                    yield size, xxh3_128_digest(text[start : start + size]), doc, start
+            yield xxh3_128_digest(text[start : start + size]), doc, start
 
     return _of_each_run(rows, chosen, SINGLES, made, 20_000)
 
 
-def pieces(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+def pieces(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """The bytes of chosen runs."""
 
     def made(doc: int, text: bytes, r: dict) -> list[tuple]:
-        return [(r["anchor"], doc, r["start"], r["windows"], text[r["start"] : r["start"] + r["reach"]])]
+        return [(r["anchor"], doc, r["start"], text[r["start"] : r["start"] + r["windows"] - 1 + size])]
 
     return _of_each_run(rows, chosen, PIECES, made, 5000)
 
@@ -274,13 +276,13 @@ class SuffixOrder:
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
         self.levels: list[tuple[int, np.ndarray]] = []
-        rank, h = _dense(self.words), 8
+        h, key, every = 8, self.words, np.arange(n)
         while h <= most:
+            rank = _dense(key)
             self.levels.append((h, rank.astype(np.int32)))
-            rank = self._joined(rank, np.arange(n), h)
+            if 2 * h <= most:
+                key = self._joined(rank, every, h)
             h *= 2
-            if h <= most:
-                rank = _dense(rank)
 
     def order(self, at: np.ndarray, size: int) -> np.ndarray:
         """The places in ``at`` (ascending suffixes) by the first ``size`` bytes, equal ones by position."""
@@ -359,30 +361,28 @@ def repeated_windows(suffixes: SuffixOrder, at: np.ndarray, size: int, later: bo
     return found
 
 
-def _matched(sizes: tuple[int, ...], later: bool):
+def _matched(size: int, later: bool):
     """A mapInArrow function over ``PIECES`` sorted by anchor: ranges of repeated bytes."""
 
-    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def solve(table: pa.Table) -> pa.RecordBatch:
         doc, start = (table.column(c).to_numpy() for c in ("doc", "start"))
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]  # rows alike in id and text bring a piece twice
         order, doc, start = order[new], doc[new], start[new]
-        windows = table.column("windows").to_numpy()[order].astype(np.int64)
         own = table.column("bytes").to_pylist()
         own = [own[i] for i in order.tolist()]
         n = np.fromiter(map(len, own), np.int64, len(own))
+        windows = n - size + 1
         begin = np.cumsum(n) - n
         row = np.repeat(np.arange(len(own)), windows)
         j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        suffixes = SuffixOrder(np.frombuffer(b"".join(own), np.uint8), sizes[-1])
-        for size in sizes:
-            room = np.flatnonzero(j + size <= n[row])  # of the shortest size all, of others those that the text has
-            hit = room[repeated_windows(suffixes, begin[row[room]] + j[room], size, later)]
-            r, k = row[hit], j[hit]
-            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1)]) if len(r) else np.empty(0, np.int64)
-            last = np.r_[first[1:], len(r)] - 1 if len(r) else first
-            yield _batch(RANGES, (doc[r[first]], np.full(len(first), size), start[r[first]] + k[first], start[r[last]] + k[last] + size))
+        suffixes = SuffixOrder(np.frombuffer(b"".join(own), np.uint8), size)
+        hit = np.flatnonzero(repeated_windows(suffixes, begin[row] + j, size, later))
+        r, k = row[hit], j[hit]
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1)]) if len(r) else np.empty(0, np.int64)
+        last = np.r_[first[1:], len(r)] - 1 if len(r) else first
+        return _batch(RANGES, (doc[r[first]], start[r[first]] + k[first], start[r[last]] + k[last] + size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -397,21 +397,21 @@ def _matched(sizes: tuple[int, ...], later: bool):
                 anchor = table.column("anchor").to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut:
-                    yield from solve(table.slice(0, cut))
+                    yield solve(table.slice(0, cut))
                     waiting = table.slice(cut).to_batches()
                     held = sum(x.column("bytes").nbytes for x in waiting)
         if waiting:
-            yield from solve(pa.Table.from_batches(waiting))
+            yield solve(pa.Table.from_batches(waiting))
 
     return run
 
 
-def repeated_ranges(rows: DataFrame, sizes: tuple[int, ...], later: bool, scratch: Scratch, spread_from: int | None = None) -> DataFrame:
-    """``doc, size, first, last``: byte ranges of ``rows`` (doc, text as binary) made of repeated windows
-    of each of the ``sizes``, which ascend."""
+def repeated_ranges(
+    rows: DataFrame, size: int, later: bool, scratch: Scratch, spread_from: int | None = None, regions: DataFrame | None = None
+) -> DataFrame:
+    """``doc, first, last``: byte ranges of ``rows`` (doc, text as binary), or of their ``regions``, made of repeated windows."""
     most = SPREAD_FROM if spread_from is None else spread_from
-    size, reach = sizes[0], sizes[-1]
-    every, found = anchors(rows, size, reach), []
+    every, found = anchors(rows, size, regions), []
     for finest in (False, True):
         every = scratch.save(every)
         # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
@@ -419,7 +419,7 @@ def repeated_ranges(rows: DataFrame, sizes: tuple[int, ...], later: bool, scratc
         shared = scratch.save(every.join(often, "anchor"))
         scratch.drop(every)
         scratch.drop(often)
-        place = F.struct("doc", "start", "windows", "off", "reach")
+        place = F.struct("doc", "start", "windows", "off")
         contents = scratch.save(
             shared.groupBy("anchor", "run")
             .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
@@ -429,14 +429,8 @@ def repeated_ranges(rows: DataFrame, sizes: tuple[int, ...], later: bool, scratc
         settled = shared.join(copies, ["anchor", "run"])
         if later:
             settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
-        ends = [
-            F.struct(
-                F.lit(s).alias("size"), (F.col("start") + F.least(F.col("windows") - 1 + s, "reach")).alias("last"), (F.col("reach") >= s).alias("real")
-            )
-            for s in sizes
-        ]
-        settled = settled.select("doc", F.col("start").alias("first"), F.explode(F.array(*ends)).alias("e")).where("e.real")
-        found.append(scratch.save(settled.select("doc", "e.size", "first", "e.last")))
+        last = (F.col("start") + F.col("windows") - 1 + size).alias("last")
+        found.append(scratch.save(settled.select("doc", F.col("start").alias("first"), last)))
         scratch.drop(shared)
         open_anchors = scratch.save(
             contents.groupBy("anchor")
@@ -444,37 +438,36 @@ def repeated_ranges(rows: DataFrame, sizes: tuple[int, ...], later: bool, scratc
             .where("runs > 1" if later else "runs > 1 AND least = 1")
             .select("anchor", (F.col("runs") > most).alias("hot"))
         )
-        chosen = scratch.save(contents.join(open_anchors, "anchor").select("anchor", "doc", "start", "windows", "off", "reach", "hot"))
+        chosen = scratch.save(contents.join(open_anchors, "anchor").select("anchor", "doc", "start", "windows", "off", "hot"))
         scratch.drop(contents)
         scratch.drop(open_anchors)
-        cold = pieces(rows, chosen.where("NOT hot")).repartition("anchor").sortWithinPartitions("anchor")
-        found.append(scratch.save(cold.mapInArrow(frugal(_matched(sizes, later)), RANGES)))
+        cold = pieces(rows, chosen.where("NOT hot"), size).repartition("anchor").sortWithinPartitions("anchor")
+        found.append(scratch.save(cold.mapInArrow(frugal(_matched(size, later)), RANGES)))
         hot = chosen.where("hot")
         if hot.isEmpty():
             break
         if finest:
-            found.append(_equal_windows(single_windows(rows, hot, sizes), later, scratch))
+            found.append(_equal_windows(single_windows(rows, hot, size), size, later, scratch))
         else:
-            every = finer(rows, hot, size, reach)
+            every, most = finer(rows, hot, size), most * OF_A_BLOCK
     return reduce(DataFrame.unionByName, found)
 
 
-def _equal_windows(singles: DataFrame, later: bool, scratch: Scratch) -> DataFrame:
+def _equal_windows(singles: DataFrame, size: int, later: bool, scratch: Scratch) -> DataFrame:
     """The ranges of single windows whose bytes occur again, by their hashes."""
     singles = scratch.save(singles)
-    place = F.struct("doc", "start")
-    again = singles.groupBy("size", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    joined = singles.join(scratch.save(again), ["size", "run"])
+    again = singles.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("first")).where("n > 1")
+    joined = singles.join(scratch.save(again), "run")
     if later:
         joined = joined.where(F.struct("doc", "start") != F.col("first"))
-    return scratch.save(joined.select("doc", "size", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last")))
+    return scratch.save(joined.select("doc", F.col("start").alias("first"), (F.col("start") + size).alias("last")))
 
 
-def union_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+def union_of(ranges: list[tuple[int, int]], length: int | None) -> list[tuple[int, int]]:
     """The maximal runs of covered bytes."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
-        b = min(b, length)
+        b = b if length is None else min(b, length)
         if a >= b:
             continue
         if out and a <= out[-1][1]:
@@ -506,53 +499,75 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _marked(docs: DataFrame, sizes: tuple[int, ...], later: bool, id_col: str, text_col: str) -> DataFrame:
-    """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove or null."""
+def _by_doc(found: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+
+
+def _long_regions(by_doc: DataFrame, size: int) -> DataFrame:
+    """``doc, regions``: what the ranges of a text cover, where that is ``size`` bytes or more at a stretch."""
+
+    def joined(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ranges in arrays:
+            spans = ([x for x in _spans(own, None) if x[1] - x[0] >= size] for own in ranges)
+            yield pa.array([[{"first": a, "last": b} for a, b in own] for own in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+
+    regions = F.arrow_udf(joined, "array<struct<first:bigint,last:bigint>>")("ranges").alias("regions")
+    return by_doc.select("doc", regions).where(F.size("regions") > 0)
+
+
+def _marked(docs: DataFrame, min_bytes: int, report_bytes: int, later: bool, id_col: str, text_col: str) -> DataFrame:
+    """``_row`` (all columns of ``docs``), ``_text`` as binary, and ``_ranges`` to remove and ``_report`` or nulls."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     numbered, _ = numbered_rows(docs, scratch, id_col, text_col)
     kept = scratch.tables()
     rows = numbered.select(F.col("_doc").alias("doc"), text_or_empty(f"_row.{text_col}").cast("binary").alias("text"))
-    found = repeated_ranges(rows, sizes, later, scratch)
-    by_doc = scratch.save(found.groupBy("doc").agg(F.collect_list(F.struct("size", "first", "last")).alias("_ranges")))
-    scratch.keep_only(by_doc, *kept)
-    whole = numbered.select(F.col("_doc").alias("doc"), "_row")
-    return whole.join(by_doc, "doc", "left").withColumn("_text", F.col(f"_row.{text_col}").cast("binary")).drop("doc")
-
-
-def _spans(text: bytes, ranges: pa.Scalar, size: int) -> list[tuple[int, int]]:
-    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or [] if r["size"] == size], len(text))
+    report, regions = None, None
+    if report_bytes < min_bytes:
+        report = _by_doc(repeated_ranges(rows, report_bytes, later, scratch), scratch)
+        kept.append(report)
+        if not later:
+            # Longer strings that occur again lie where shorter ones do: nothing else is searched for them.
+            regions = scratch.save(_long_regions(report, min_bytes))
+            kept.append(regions)
+        scratch.keep_only(*kept)
+    ranges = _by_doc(repeated_ranges(rows, min_bytes, later, scratch, regions=regions), scratch)
+    if regions is not None:
+        kept.remove(regions)
+    scratch.keep_only(ranges, *kept)
+    marked = numbered.select(F.col("_doc").alias("doc"), "_row").join(ranges.withColumnRenamed("ranges", "_ranges"), "doc", "left")
+    report = F.col("_ranges") if report is None else F.col("_report")
+    if report_bytes < min_bytes:
+        marked = marked.join(kept[-1].withColumnRenamed("ranges", "_report"), "doc", "left")
+    return marked.select("_row", F.col(f"_row.{text_col}").cast("binary").alias("_text"), "_ranges", report.alias("_report"))
+
+
+def _spans(ranges: pa.Scalar, length: int | None) -> list[tuple[int, int]]:
+    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or []], length)
 
 
 DIGEST_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 DIGEST = pa.struct([*[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string()), ("n_repeated", pa.int64())])
 
 
-def _digest(size: int, report: int):
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, ranges in columns:
-            out = []
-            for text, own in zip(texts, ranges, strict=True):
-                body = text.as_py() or b""
-                spans = _spans(body, own, size)
-                removed = sum(b - a for a, b in spans)
-                again = removed if report == size else sum(b - a for a, b in _spans(body, own, report))
-                out.append((len(body), removed, len(spans), hashlib.sha256(cut(body, spans)).hexdigest(), again))
-            yield pa.array([dict(zip(DIGEST.names, x, strict=True)) for x in out], DIGEST)
+def _digest(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, ranges, reports in columns:
+        out = []
+        for text, own, report in zip(texts, ranges, reports, strict=True):
+            body = text.as_py() or b""
+            spans = _spans(own, len(body))
+            again = sum(b - a for a, b in _spans(report, len(body)))
+            out.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(body, spans)).hexdigest(), again))
+        yield pa.array([dict(zip(DIGEST.names, x, strict=True)) for x in out], DIGEST)
 
-    return F.arrow_udf(run, DIGEST_DDL)
-
-
-def _remaining(size: int):
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, ranges in columns:
-            out = []
-            for text, own in zip(texts, ranges, strict=True):
-                body = text.as_py()
-                out.append(None if body is None else cut(body, whole_characters(body, _spans(body, own, size))).decode())
-            yield pa.array(out, pa.string())
 
-    return F.arrow_udf(run, "string")
+def _remaining(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, ranges in columns:
+        out = []
+        for text, own in zip(texts, ranges, strict=True):
+            body = text.as_py()
+            out.append(None if body is None else cut(body, whole_characters(body, _spans(own, len(body)))).decode())
+        yield pa.array(out, pa.string())
 
 
 def suffix_dedup(
@@ -582,8 +597,9 @@ def suffix_dedup(
     report = min_bytes if report_bytes is None else report_bytes
     if not 0 < report <= min_bytes:
         raise ValueError("report_bytes is from 1 to min_bytes")
-    marked = _marked(docs.select(id_col, text_col), tuple(sorted({report, min_bytes})), later, id_col, text_col)
-    found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), _digest(min_bytes, report)("_text", "_ranges").alias("_found"))
+    marked = _marked(docs.select(id_col, text_col), min_bytes, report, later, id_col, text_col)
+    digest = F.arrow_udf(_digest, DIGEST_DDL)("_text", "_ranges", "_report").alias("_found")
+    found = marked.select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), digest)
     return found.select("doc_id", "_found.*")
 
 
@@ -600,7 +616,8 @@ def without_repeats(
     Removed spans are shrunk to whole characters. A null text stays null. ``length_col``
     names a column that then gets the number of characters of the new text.
     """
-    marked = _marked(docs, (min_bytes,), later, id_col, text_col).withColumn("_left", _remaining(min_bytes)("_text", "_ranges"))
+    marked = _marked(docs, min_bytes, min_bytes, later, id_col, text_col)
+    marked = marked.withColumn("_left", F.arrow_udf(_remaining, "string")("_text", "_ranges"))
     columns = []
     for c in docs.columns:
         if c == text_col:

@@ -291,25 +291,24 @@ def test_suffix_dedup(spark, size, later, report):
 
 
 @pytest.mark.parametrize("later", [False, True])
-def test_hot_anchors_are_dealt_out(spark, later):
+def test_hot_anchors_are_dealt_out(spark, monkeypatch, later):
     """Anchors of more than one content are cut to blocks, and those again to single windows."""
+    monkeypatch.setattr(suffix_dedup, "OF_A_BLOCK", 1)
     texts = passages(1)
     data = [(t or "").encode() for t in texts]
     rows = documents(spark, texts).select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
+    cover = removed_by_hand(data, 60, later)
     for most in (10**6, 1):
-        found = suffix_dedup.repeated_ranges(rows, (30, 60), later, Scratch(spark, "t"), most).collect()
-        for size in (30, 60):
-            cover = removed_by_hand(data, size, later)
-            own = defaultdict(list)
-            for r in found:
-                if r.size == size:
-                    own[r.doc].append((r.first, r.last))
-            for i, c in enumerate(cover):
-                mine = np.zeros(len(c), bool)
-                for a, b in own[i]:
-                    assert b <= len(c)
-                    mine[a:b] = True
-                assert (mine == c).all()
+        found = suffix_dedup.repeated_ranges(rows, 60, later, Scratch(spark, "t"), most).collect()
+        own = defaultdict(list)
+        for r in found:
+            own[r.doc].append((r.first, r.last))
+        for i, c in enumerate(cover):
+            mine = np.zeros(len(c), bool)
+            for a, b in own[i]:
+                assert b <= len(c)
+                mine[a:b] = True
+            assert (mine == c).all()
     assert len(found) > 10
 
 
