@@ -10,7 +10,7 @@ that all suffixes with equal first ``min_bytes`` bytes (a *window*) meet:
   settle each other: all their windows repeat. Contents are told apart by 128-bit hashes.
 * What is left, one run of each content for anchors with runs of several contents, goes to
   the task of its anchor with its bytes. There the suffixes that begin the windows are put
-  into suffix order by prefix doubling, the previous and next smaller positions in that order
+  into suffix order by ranking longer and longer prefixes, the previous and next smaller positions in that order
   are found, and the longer of the two matches is the suffix's longest previous factor. A
   window repeats an earlier one exactly if that factor has ``min_bytes`` bytes.
 * An anchor with too many contents for one task is cut finer: its windows are dealt by their
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, frugal, numbered_rows, text_or_empty
 
 CHUNK = 500_000
-#: Bytes of dealt runs that are put into suffix order at once.
-AT_ONCE = 2_000_000
+#: Bytes of dealt runs that are put into suffix order at once; so few stay in a core's cache.
+AT_ONCE = 400_000
 #: Contents of an anchor from which it is cut finer, the blocks of the first cut, and how many
 #: times as many contents a block may have, whose pieces are so much shorter.
 SPREAD_FROM, BLOCKS, OF_A_BLOCK = 1000, 8, 10
 _POSITION_BITS = 21
+#: Parts of a prefix whose ranks make the rank of the next length.
+_WAYS = 3
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -264,50 +266,59 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 
 class SuffixOrder:
-    """Suffixes of a buffer in the order of their first bytes, by prefix doubling.
+    """Suffixes of a buffer in the order of their first bytes, by multiplying the length of ranked prefixes.
 
-    The rank of the first 2 h bytes comes from the ranks of two halves. The ranks of every
-    length up to ``most`` bytes are kept: they give the order of any number of bytes, and the
-    common prefix of any two suffixes.
+    The rank of the first 3 h bytes comes from the ranks of three parts (of two, where three
+    ranks of a large buffer do not fit one number). The ranks of every length up to ``most``
+    bytes are kept: they give the order of any number of bytes, and the common prefix of any
+    two suffixes.
     """
 
     def __init__(self, text: np.ndarray, most: int):
         n = len(text)
+        self.ways = _WAYS if (n + 2) ** _WAYS < 1 << 62 else 2
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
         self.levels: list[tuple[int, np.ndarray]] = []
         h, key, every = 8, self.words, np.arange(n)
         while h <= most:
             rank = _dense(key)
-            self.levels.append((h, rank.astype(np.int32)))
-            if 2 * h <= most:
-                key = self._joined(rank, every, h)
-            h *= 2
-
-    def order(self, at: np.ndarray, size: int) -> np.ndarray:
-        """The places in ``at`` (ascending suffixes) by the first ``size`` bytes, equal ones by position."""
+            self.levels.append((h, np.append(rank, 0)))  # 0: beyond the end
+            if h * self.ways <= most:
+                key = self._joined(rank, every, [h * k for k in range(self.ways)])
+            h *= self.ways
+
+    def order(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``at`` (ascending suffixes) by the first ``size`` bytes, equal ones by position,
+        and keys that are equal for equal bytes."""
         known = [(h, rank) for h, rank in self.levels if h <= size]
         if not known:
-            last = self.words[at] >> np.uint64(64 - 8 * size)
+            key = self.words[at] >> np.uint64(64 - 8 * size)
         else:
             h, rank = known[-1]
-            last = self._joined(rank.astype(np.int64), at, size - h) if size > h else rank[at]
-        return np.argsort(_dense(last) * (len(at) + 1) + np.arange(len(at)))
+            parts = -(-size // h)  # as many as the ways; the last one overlaps
+            key = self._joined(rank[:-1], at, [h * k for k in range(parts - 1)] + [size - h])
+        key = _dense(key)
+        return np.argsort(key * (len(at) + 1) + np.arange(len(at))), key
 
     @staticmethod
-    def _joined(rank: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
-        """Sort keys of two ranks: that of the suffix, and that ``h`` further on (0 beyond the end)."""
-        second = np.append(rank, 0)[np.minimum(at + h, len(rank))]
-        return rank[at] * (len(rank) + 2) + second
+    def _joined(rank: np.ndarray, at: np.ndarray, offsets: list[int]) -> np.ndarray:
+        """Sort keys from the ranks at the offsets from each suffix."""
+        n, ended = len(rank), np.append(rank, 0)
+        key = np.zeros(len(at), np.int64)
+        for off in offsets:
+            key = key * (n + 2) + ended[np.minimum(at + off, n)]
+        return key
 
     def common(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """The common prefix of suffixes at ``a`` and ``b``, ``size`` at most."""
         n, length = len(self.words), np.zeros(len(a), np.int64)
         for h, rank in reversed(self.levels):
-            x, y = a + length, b + length
-            inside = (length + h <= size) & (np.maximum(x, y) + h <= n)
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            length += np.where(same, h, 0)
+            for _ in range(self.ways - 1):
+                x, y = a + length, b + length
+                inside = (length + h <= size) & (np.maximum(x, y) + h <= n)
+                same = inside & (rank[np.minimum(x, n)] == rank[np.minimum(y, n)])
+                length += np.where(same, h, 0)
         x, y = a + length, b + length
         differ = self.words[np.minimum(x, n - 1)] ^ self.words[np.minimum(y, n - 1)]
         equal = np.full(len(a), 8, np.int64)
@@ -340,15 +351,21 @@ def longest_previous(suffixes: SuffixOrder, at: np.ndarray, size: int) -> tuple[
     best, match = np.zeros(len(at), np.int64), np.full(len(at), -1)
     if not len(at):
         return best, match
-    order = suffixes.order(at, size)
+    order, key = suffixes.order(at, size)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     before = previous_smaller(order)
     after = len(order) - 1 - previous_smaller(order[::-1])[::-1]
     for near in (before, after):
-        real = np.flatnonzero((near >= 0) & (near < len(order)))
-        own, earlier = order[real], order[near[real]]
-        length = suffixes.common(at[own], at[earlier], size)
-        better = length > best[own]
-        best[own[better]], match[own[better]] = length[better], earlier[better]
+        earlier = near[place]  # for each suffix, no longer for each place in the order
+        real = np.flatnonzero((earlier >= 0) & (earlier < len(order)) & (best < size))
+        found = order[earlier[real]]
+        length = np.full(len(real), size)
+        # Equal keys are equal bytes, if the text goes on for so many.
+        part = np.flatnonzero((key[real] != key[found]) | (at[real] + size > len(suffixes.words)))
+        length[part] = suffixes.common(at[real[part]], at[found[part]], size)
+        better = length > best[real]
+        best[real[better]], match[real[better]] = length[better], found[better]
     return best, match
 
 
@@ -463,13 +480,10 @@ def _equal_windows(singles: DataFrame, size: int, later: bool, scratch: Scratch)
     return scratch.save(joined.select("doc", F.col("start").alias("first"), (F.col("start") + size).alias("last")))
 
 
-def union_of(ranges: list[tuple[int, int]], length: int | None) -> list[tuple[int, int]]:
+def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The maximal runs of covered bytes."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
-        b = b if length is None else min(b, length)
-        if a >= b:
-            continue
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -508,8 +522,11 @@ def _long_regions(by_doc: DataFrame, size: int) -> DataFrame:
 
     def joined(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ranges in arrays:
-            spans = ([x for x in _spans(own, None) if x[1] - x[0] >= size] for own in ranges)
-            yield pa.array([[{"first": a, "last": b} for a, b in own] for own in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+            spans = [[x for x in own if x[1] - x[0] >= size] for own in _spans(ranges)]
+            ends = np.cumsum([0, *map(len, spans)]).astype(np.int32)
+            flat = np.array([x for own in spans for x in own], np.int64).reshape(-1, 2)
+            parts = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["first", "last"])
+            yield pa.ListArray.from_arrays(pa.array(ends), parts)
 
     regions = F.arrow_udf(joined, "array<struct<first:bigint,last:bigint>>")("ranges").alias("regions")
     return by_doc.select("doc", regions).where(F.size("regions") > 0)
@@ -542,8 +559,12 @@ def _marked(docs: DataFrame, min_bytes: int, report_bytes: int, later: bool, id_
     return marked.select("_row", F.col(f"_row.{text_col}").cast("binary").alias("_text"), "_ranges", report.alias("_report"))
 
 
-def _spans(ranges: pa.Scalar, length: int | None) -> list[tuple[int, int]]:
-    return union_of([(r["first"], r["last"]) for r in ranges.as_py() or []], length)
+def _spans(ranges: pa.Array) -> Iterator[list[tuple[int, int]]]:
+    """The maximal runs of covered bytes of each row of ranges; none for a null."""
+    first, last = (ranges.values.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("first", "last"))
+    ends = ranges.offsets.to_numpy().tolist()
+    for a, b, real in zip(ends[:-1], ends[1:], ranges.is_valid().to_pylist(), strict=True):
+        yield union_of(list(zip(first[a:b], last[a:b], strict=True))) if real else []
 
 
 DIGEST_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
@@ -553,20 +574,19 @@ DIGEST = pa.struct([*[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans
 def _digest(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, ranges, reports in columns:
         out = []
-        for text, own, report in zip(texts, ranges, reports, strict=True):
+        for text, spans, report in zip(texts, _spans(ranges), _spans(reports), strict=True):
             body = text.as_py() or b""
-            spans = _spans(own, len(body))
-            again = sum(b - a for a, b in _spans(report, len(body)))
-            out.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(body, spans)).hexdigest(), again))
-        yield pa.array([dict(zip(DIGEST.names, x, strict=True)) for x in out], DIGEST)
+            kept = hashlib.sha256(cut(body, spans)).hexdigest()
+            out.append((len(body), sum(b - a for a, b in spans), len(spans), kept, sum(b - a for a, b in report)))
+        yield pa.StructArray.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(DIGEST)], fields=list(DIGEST))
 
 
 def _remaining(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, ranges in columns:
         out = []
-        for text, own in zip(texts, ranges, strict=True):
+        for text, spans in zip(texts, _spans(ranges), strict=True):
             body = text.as_py()
-            out.append(None if body is None else cut(body, whole_characters(body, _spans(own, len(body)))).decode())
+            out.append(None if body is None else cut(body, whole_characters(body, spans)).decode())
         yield pa.array(out, pa.string())
 
 

@@ -353,8 +353,11 @@ def factors_by_hand(text, at, size):
     return [max((common(p, q) for q in at[:i]), default=0) for i, p in enumerate(at)]
 
 
-@pytest.mark.parametrize("size", [1, 5, 8, 9, 16, 33, 100])
-def test_longest_previous_factors(size):
+@pytest.mark.parametrize("size", [1, 5, 8, 9, 16, 24, 33, 100])
+@pytest.mark.parametrize("ways", [2, 3])
+def test_longest_previous_factors(monkeypatch, size, ways):
+    if ways == 2:  # as for a large buffer
+        monkeypatch.setattr(suffix_dedup, "_WAYS", 2)
     rng = random.Random(size)
     for n in (0, 1, 40, 150):
         for text in (bytes(rng.choice(b"ab") for _ in range(n)), b"ab" * (n // 2) + b"x" * n):
