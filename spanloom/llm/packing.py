@@ -19,10 +19,19 @@ from .common import Remembering, Scratch, bounded_batches, frugal, text_or_empty
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Separators of str.split() that the tokenizer's pattern does not count as white space.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of the Latin blocks; most texts need no look at each."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+
+
 class WordTokenizer:
     """A tokenizer whose tokens never span white space; remembers the ids of words.
 
@@ -43,7 +52,7 @@ class WordTokenizer:
         self.merges = self.library.model
         split = self.library.pre_tokenizer.pre_tokenize_str
         self.as_bytes = {i: split(chr(i))[0][0] for i in range(0x250) if chr(i).isalpha()}
-        self.words = Remembering(self._word, 200_000)
+        self.words = Remembering(self._word, 400_000)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,13 +67,14 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         get = self.words.__getitem__
+        whole = [*self.added, *_ODD_SPACE]
         for text in texts:
-            if any(token in text for token in self.added):
+            if [x for x in whole if x in text]:
                 yield self._direct(text)
                 continue
-            if text.isascii() or not _BEYOND_LATIN.search(text):
+            if _is_latin(text):
                 text = text.lower()  # what the library does, here before words are looked up
-            yield self._direct(text) if _ODD_SPACE.search(text) else b"".join(map(get, text.split()))
+            yield b"".join(map(get, text.split()))
 
 
 _TOKENIZERS: dict[bytes, WordTokenizer] = {}
