@@ -44,13 +44,15 @@ def cells(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def packed(x: np.ndarray | bytes) -> bytes:
-    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
+    """Compressed bytes, those of numbers plane by plane: all the lowest bytes first, and so on."""
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(np.ascontiguousarray(x).reshape(-1, 1).view(np.uint8).T).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def packed_words(words) -> bytes:
@@ -79,10 +81,9 @@ def _chunk(chunk: int, numbers: _Numbers, ids: list, parts: list[np.ndarray], le
     words = [np.bincount(x, minlength=size + 1)[:size] for x in (tokens, tokens[own], before, before[own])]
     pairs = len(np.unique(cells(before, tokens)))
     sizes = [size, pairs, len(tokens), int(own.sum()), int(full.sum()), int((full & wanted).sum())]
-    planes = tokens.view(np.uint8).reshape(-1, 4).T
     columns = [pa.array([chunk]), *[pa.array([x], pa.int64()) for x in sizes]]
     columns += [pa.array([x], pa.binary()) for x in (packed_words(numbers), packed(np.stack(words)))]
-    columns += [pa.array([ids], pa.list_(pa.int64())), *[pa.array([packed(x)], pa.binary()) for x in (wanted, n, planes)]]
+    columns += [pa.array([ids], pa.list_(pa.int64())), *[pa.array([packed(x)], pa.binary()) for x in (wanted, n, tokens)]]
     return pa.RecordBatch.from_arrays(columns, names=["chunk", *SIZES, "words", "word_counts", "ids", "targets", "lengths", "tokens"])
 
 
@@ -97,14 +98,14 @@ def _before(tokens: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's distinct pairs of places in its words (the start of a text after them), the pair of each token, and texts' lengths."""
     n = unpacked(row["lengths"], np.int64)
-    tokens = np.ascontiguousarray(unpacked(row["tokens"], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    tokens = unpacked(row["tokens"], np.int32)
     pairs, at_pair = np.unique(cells(_before(tokens, n, row["n_words"]), tokens), return_inverse=True)
     return np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.int64), at_pair, n
 
 
 def chunks_of(rows: DataFrame) -> DataFrame:
     """Texts in chunks (``CHUNK``): distinct words with their counts in all and in target texts, and
-    the place in ``words`` of each token, text by text (byte planes of 32-bit numbers)."""
+    the place in ``words`` of each token, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32

@@ -4,6 +4,7 @@ import hashlib
 import random
 import subprocess
 import sys
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -821,6 +822,34 @@ def test_lm_counts_have_no_caps(spark, monkeypatch):
     check_losses(lm_scoring.score_documents(documents(spark, texts), ids).collect(), texts, losses_by_hand(texts, own))
 
 
+def test_numbers_are_packed_by_planes():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 9, (2, 500)), rng.integers(0, 1 << 40, 77), rng.random(9) < 0.5, np.arange(6, dtype=np.int32), np.empty(0, np.uint64)):
+        assert np.array_equal(lm_scoring.unpacked(lm_scoring.packed(x), x.dtype.type), x.ravel())
+    counts = rng.geometric(0.7, 100_000)
+    assert len(lm_scoring.packed(counts)) < 0.7 * len(lm_scoring.packed(counts.tobytes()))
+
+
+def test_shuffle_files_go_with_the_write_of_a_scratch_table(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {n for n in (blocks.apply(i).name() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = shuffled(), spark.conf.get(setting, None)
+    scratch = Scratch(spark, "shuffled")
+    counts = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    saved = scratch.save(counts.join(spark.range(700).repartition(3).withColumnRenamed("id", "k").hint("merge"), "k"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and saved.count() == 700 and spark.conf.get(setting, None) == own
+    with pytest.raises(Exception, match="own error"):
+        scratch.save(counts.select(F.raise_error(F.lit("own error"))))
+    assert spark.conf.get(setting, None) == own
+
+
 def test_scratch_tables_go_with_the_process(tmp_path):
     """Dropped tables go at once, the others at the end of the process that wrote them."""
     code = f"""
