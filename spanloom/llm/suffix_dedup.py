@@ -37,6 +37,9 @@ AT_ONCE = 400_000
 #: Contents of an anchor from which it is cut finer, the blocks of the first cut, and how many
 #: times as many contents a block may have, whose pieces are so much shorter.
 SPREAD_FROM, BLOCKS, OF_A_BLOCK = 1000, 8, 10
+#: Runs meet the anchors that occur often in so many passes, each over its own anchors: what the
+#: join of one pass shuffles is gone before the next.
+PASSES = 2
 _POSITION_BITS = 21
 #: Parts of a prefix whose ranks make the rank of the next length.
 _WAYS = 3
@@ -431,11 +434,9 @@ def repeated_ranges(
     every, found = anchors(rows, size, regions), []
     for finest in (False, True):
         every = scratch.save(every)
-        # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
-        often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-        shared = scratch.save(every.join(often, "anchor"))
+        parts = _shared(every, scratch)
+        shared = reduce(DataFrame.unionByName, parts)
         scratch.drop(every)
-        scratch.drop(often)
         place = F.struct("doc", "start", "windows", "off")
         contents = scratch.save(
             shared.groupBy("anchor", "run")
@@ -448,7 +449,8 @@ def repeated_ranges(
             settled = settled.where((F.col("doc") != F.col("_doc")) | (F.col("start") != F.col("_start")))
         last = (F.col("start") + F.col("windows") - 1 + size).alias("last")
         found.append(scratch.save(settled.select("doc", F.col("start").alias("first"), last)))
-        scratch.drop(shared)
+        for part in parts:
+            scratch.drop(part)
         open_anchors = scratch.save(
             contents.groupBy("anchor")
             .agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least"))
@@ -470,6 +472,18 @@ def repeated_ranges(
     return reduce(DataFrame.unionByName, found)
 
 
+def _shared(every: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The runs (``ANCHORS``) whose anchor occurs more than once, in ``PASSES`` tables of different anchors."""
+    # Written first, so that nothing above the exchanges of the join keeps Spark from splitting a hot anchor.
+    often = scratch.save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    out = []
+    for i in range(PASSES):
+        own = F.pmod(F.col("anchor"), F.lit(PASSES)) == i
+        out.append(scratch.save(every.where(own).join(often.where(own), "anchor")))
+    scratch.drop(often)
+    return out
+
+
 def _equal_windows(singles: DataFrame, size: int, later: bool, scratch: Scratch) -> DataFrame:
     """The ranges of single windows whose bytes occur again, by their hashes."""
     singles = scratch.save(singles)

@@ -313,6 +313,18 @@ def test_hot_anchors_are_dealt_out(spark, monkeypatch, later):
     assert len(found) > 10
 
 
+def test_runs_of_shared_anchors_come_in_passes(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(-300, 300), bytes([rng.randrange(3)]), i, 0, 1, 0) for i in range(500)]
+    every = spark.createDataFrame(rows, suffix_dedup.ANCHORS)
+    parts = [p.collect() for p in suffix_dedup._shared(every, Scratch(spark, "passes"))]
+    times = Counter(r[0] for r in rows)
+    found = [(r.anchor, bytes(r.run), r.doc, r.start, r.windows, r.off) for p in parts for r in p]
+    assert sorted(found) == sorted(r for r in rows if times[r[0]] > 1)
+    assert len(parts) > 1 and all(len(p) < 0.7 * len(found) for p in parts)
+    assert sum(len({r.anchor for r in p}) for p in parts) == len({r[0] for r in found})
+
+
 def test_suffix_dedup_odd_tables(spark):
     df = documents(spark, ["abc" * 50, "abc" * 50, None], [1, 1, None])
     assert sorted((r.doc_id or -1, r.n_removed) for r in suffix_dedup.suffix_dedup(df, 100, False).collect()) == [(-1, 0), (1, 150), (1, 150)]
